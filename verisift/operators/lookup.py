@@ -1,0 +1,52 @@
+"""Word tables as constants: a hash-bucketed lookup that stays inside one row's expression.
+
+A lexicon of a checked size becomes an array of small maps. A word is found by its hash bucket, so
+each probe compares a handful of keys, needs no shuffle and works on streams. Larger tables go
+through the join versions in ``sentiment`` and ``lemmas``.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+MAX_CONSTANT_ROWS = 20_000
+
+
+def word_lookup(table: DataFrame, key: str, value_cols: list[str]) -> Callable[[Column], Column]:
+    """A function from a word column to its array of doubles, or null when the word is not listed."""
+    return _constant_lookup(table, key, F.array(*[F.col(c).cast("double") for c in value_cols]), "array<double>")
+
+
+def word_mapping(table: DataFrame, key: str, value: str) -> Callable[[Column], Column]:
+    """A function from a word column to its replacement, or the word itself."""
+    find = _constant_lookup(table, key, F.col(value), "string")
+    return lambda word: F.coalesce(find(word), word)
+
+
+def fits_constant(table: DataFrame) -> bool:
+    return table.limit(MAX_CONSTANT_ROWS + 1).count() <= MAX_CONSTANT_ROWS
+
+
+def _constant_lookup(table: DataFrame, key: str, value: Column, value_type: str) -> Callable[[Column], Column]:
+    rows = (
+        table.select(F.col(key).alias("k"), value.alias("v"), F.xxhash64(F.col(key)).alias("h"))
+        .limit(MAX_CONSTANT_ROWS + 1)
+        .collect()
+    )
+    if len(rows) > MAX_CONSTANT_ROWS:
+        raise ValueError(f"more than {MAX_CONSTANT_ROWS} rows; use the join version")
+    n = max(1, len(rows) // 8)
+    buckets: list[dict] = [{} for _ in range(n)]
+    for row in sorted(rows, key=lambda r: r.k):
+        buckets[row.h % n].setdefault(row.k, row.v)
+    constant = F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{value_type}>>")
+
+    def find(word: Column) -> Column:
+        bucket = F.get(constant, F.pmod(F.xxhash64(word), F.lit(n)).cast("int"))
+        return F.try_element_at(bucket, word)
+
+    return find

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus
+from ..session import durable
 from ..sources.tables import FAKE, REAL, with_sequence
 from . import inputs
 from . import sqltext as q
@@ -33,7 +34,7 @@ def all_documents_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.split_corpus(spark, sf).select("doc_id", "label", "split")
+    return inputs.split_texts(spark, sf).select("doc_id", "label", "split")
 
 
 def default_split_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,10 +57,8 @@ def proportion_maps(spark: SparkSession, sf: str) -> DataFrame:
 
 def summary(spark: SparkSession, sf: str) -> DataFrame:
     raw = corpus.with_dedup_key(inputs.labelled_variants(spark, sf))
-    final = corpus.stratified_split(
-        corpus.dedup_canonical(inputs.labelled_variants(spark, sf)), *inputs.SHARES, seed=inputs.SEED
-    )
-    return corpus.preprocess_summary(raw, final)
+    kept = durable(corpus.dedup_canonical(inputs.labelled_variants(spark, sf)).select("doc_id", "label"))
+    return corpus.preprocess_summary(raw, corpus.stratified_split(kept, *inputs.SHARES, seed=inputs.SEED))
 
 
 def baseline(spark: SparkSession, sf: str) -> DataFrame:

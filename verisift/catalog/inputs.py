@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import style, text
 from ..operators.corpus import stratified_split
 from ..operators.features import fixed_score
+from ..session import durable, spread
 from ..sources.tables import read_table, with_sequence
 
 # Documents by themselves hold no publisher marks, links or tags, so some sources get them.
@@ -51,7 +52,11 @@ SEED = 42
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "documents")
+    return spread(read_table(spark, sf, "documents"))
+
+
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(read_table(spark, sf, "pages"))
 
 
 def decorated(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,9 +102,22 @@ def style_features(df: DataFrame) -> DataFrame:
     )
 
 
+def split_features(rows: DataFrame) -> DataFrame:
+    """Narrow feature rows with a 70/20/10 split.
+
+    The split reads its input three times, so the features are materialised without the text first.
+    """
+    features = durable(style_features(rows).select("doc_id", "label", "lexical_density", "caps_ratio", "n_words"))
+    return stratified_split(features, *SHARES, seed=SEED)
+
+
 def split_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled documents with features and a 70/20/10 split."""
-    return stratified_split(style_features(labelled(spark, sf)), *SHARES, seed=SEED)
+    return split_features(labelled(spark, sf))
+
+
+def split_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents with their text and the same split."""
+    return stratified_split(labelled(spark, sf), *SHARES, seed=SEED)
 
 
 def score_rows(features: DataFrame, keep: list[str]) -> DataFrame:
@@ -113,4 +131,4 @@ def score_rows(features: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    return score_rows(split_corpus(spark, sf).drop("raw_text", "text"), ["doc_id", "split"])
+    return score_rows(split_corpus(spark, sf), ["doc_id", "split"])

@@ -76,8 +76,7 @@ def _version_metrics(spark: SparkSession, sf: str, canonical: bool) -> DataFrame
     """Test metrics on the corpus of one version: v1 removes exact copies, v2 canonical ones."""
     rows = inputs.labelled_variants(spark, sf)
     kept = corpus.dedup_canonical(rows) if canonical else corpus.dedup_exact(rows)
-    split = corpus.stratified_split(inputs.style_features(kept), *inputs.SHARES, seed=inputs.SEED)
-    scored = inputs.score_rows(split.filter("split = 'test'").drop("raw_text"), ["doc_id"])
+    scored = inputs.score_rows(inputs.split_features(kept).filter("split = 'test'"), ["doc_id"])
     return metrics.binary_metrics(scored, ["model"])
 
 

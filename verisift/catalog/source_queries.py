@@ -46,11 +46,11 @@ def csv_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "pages").select("page_id", html.main_text(F.col("html")).alias("main_text"))
+    return html.with_main_text(inputs.pages(spark, sf)).select("page_id", "main_text")
 
 
 def page_text_nested(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "pages").select("page_id", html.main_text_nested(F.col("html")).alias("main_text"))
+    return inputs.pages(spark, sf).select("page_id", html.main_text_nested(F.col("html")).alias("main_text"))
 
 
 def text_gate(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,13 +67,13 @@ def saved_splits(spark: SparkSession, sf: str) -> DataFrame:
     """Splits written once, reused by the second call, and read back one folder at a time."""
     path = f"{scratch_dir(spark)}/splits"
     assert artifacts.load_table(spark, path) is None
-    artifacts.save_splits(inputs.split_corpus(spark, sf).select("doc_id", "label", "split"), path)
+    artifacts.save_splits(inputs.split_texts(spark, sf).select("doc_id", "label", "split"), path)
     saved, reused = artifacts.reuse_or_build(spark, path, lambda: None)
     return class_counts(saved).withColumn("reused", F.lit(reused))
 
 
 def _report_rows(spark: SparkSession, sf: str) -> DataFrame:
-    corpus = inputs.split_corpus(spark, sf).select("label", "split")
+    corpus = inputs.split_texts(spark, sf).select("label", "split")
     counts = class_counts(corpus).groupBy("split").agg(F.sum("n_rows").alias("n"))
     place = F.array_position(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), F.col("split"))
     sizes = counts.select(place.cast("long").alias("line_no"), F.format_string("%s rows: %d", "split", "n").alias("line"))

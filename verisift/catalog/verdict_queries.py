@@ -259,7 +259,7 @@ _JUDGE = "CASE WHEN raw_input LIKE '%an%' THEN 0.75 WHEN raw_input LIKE '%er%' T
 
 
 def arriving_articles(spark: SparkSession, sf: str) -> DataFrame:
-    pages = read_table(spark, sf, "pages").select(
+    pages = inputs.pages(spark, sf).select(
         F.col("page_id").alias("article_id"), F.lit("url").alias("input_type"), F.expr(inputs.DECORATED_URL).alias("raw_input"), "html"
     )
     texts = inputs.decorated(spark, sf).select(
@@ -294,7 +294,7 @@ _VERDICT_COLUMNS = (
 
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
     scored = _score(spark, arriving_articles(spark, sf))
-    return scored.select(*_VERDICT_COLUMNS, F.round("final_score", 4).alias("final_score"))
+    return scored.select(*_VERDICT_COLUMNS, F.round("final_score", 6).alias("final_score"))
 
 
 def streamed_verdicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -306,7 +306,7 @@ def streamed_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     stream = read_article_stream(spark, f"{folder}/in", files_per_trigger=2)
     start_scoring(stream, find, fixed_scorer(*_SCORER), f"{folder}/out", f"{folder}/offsets").awaitTermination()
     out = spark.read.parquet(f"{folder}/out")
-    return out.select(*_VERDICT_COLUMNS, F.round("final_score", 4).alias("final_score"))
+    return out.select(*_VERDICT_COLUMNS, F.round("final_score", 6).alias("final_score"))
 
 
 def _verdict_sql() -> str:
@@ -314,7 +314,7 @@ def _verdict_sql() -> str:
     z = " + ".join([f"{b!r}::DOUBLE"] + [f"{v!r}::DOUBLE * {c}" for c, v in w.items()])
     return with_ctes(
         f"""SELECT article_id, status, domain, credibility_tier, word_count, ml_score, ml_label, llm_label, eval_score,
- final_label, {SUMMARY_VALUE} AS summary, round(final_score, 4) AS final_score FROM final""",
+ final_label, {SUMMARY_VALUE} AS summary, round(final_score, 6) AS final_score FROM final""",
         *MAIN_TEXT_CTES,
         inputs.SQL_DECORATED,
         q.LEXICON_CTE,
@@ -352,7 +352,7 @@ def _verdict_sql() -> str:
  CASE WHEN short THEN 'FAKE' WHEN block = '' THEN 'UNKNOWN'
   ELSE upper(coalesce(json_extract_string(j, '$.label'), 'FAKE')) END AS llm_label,
  CASE WHEN text <> '' AND why <> '' THEN judge_score END AS eval_score,
- CASE WHEN domain = '' THEN 'unknown' WHEN coalesce(score, 0.5) >= 0.8 THEN 'high' WHEN coalesce(score, 0.5) >= 0.6
+ CASE WHEN r.domain = '' THEN 'unknown' WHEN coalesce(score, 0.5) >= 0.8 THEN 'high' WHEN coalesce(score, 0.5) >= 0.6
   THEN 'moderate' WHEN coalesce(score, 0.5) >= 0.2 THEN 'low' ELSE 'very_low' END AS credibility_tier
  FROM reviewed r LEFT JOIN rep ON r.domain = rep.domain""",
         ),

@@ -42,17 +42,24 @@ def confusion_matrix(scores: DataFrame, keys: list[str]) -> DataFrame:
     return _cells(scores, keys).select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
 
 
+def _per_score(scores: DataFrame, keys: list[str], score_digits: int | None) -> DataFrame:
+    """Cell counts at every distinct score; all that the metrics need of the score table."""
+    score = F.col("y_score") if score_digits is None else F.round("y_score", score_digits)
+    t, p = F.col("y_true") == 1, F.col("y_pred") == 1
+    return scores.groupBy(*keys, score.alias("score")).agg(
+        _n(t).alias("pos"), _n(~t).alias("neg"), _n(t & p).alias("tp"), _n(~t & p).alias("fp")
+    )
+
+
 def running_counts(scores: DataFrame, keys: list[str], score_digits: int | None = 4) -> DataFrame:
-    """Per distinct score: positives and negatives there, and totals of all lower scores.
+    """Per distinct score: its counts, and positives and negatives of all lower scores.
 
     Scores rounded to ``score_digits`` decimals have at most ``10**digits + 1`` values per key, so a
     plain window is bounded. With ``score_digits=None`` the distinct scores are cut at their
     quantiles and summed in two levels, so no task sees more than a bucket.
     """
-    score = F.col("y_score") if score_digits is None else F.round("y_score", score_digits)
-    at = scores.groupBy(*keys, score.alias("score")).agg(
-        _n(F.col("y_true") == 1).alias("pos"), _n(F.col("y_true") == 0).alias("neg")
-    )
+    at = _per_score(scores, keys, score_digits)
+    columns = [*keys, "score", "pos", "neg", "tp", "fp"]
 
     def before(partition: list[str], order: str, col: str) -> Column:
         window = W.partitionBy(*partition).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
@@ -60,18 +67,13 @@ def running_counts(scores: DataFrame, keys: list[str], score_digits: int | None
 
     if score_digits is not None:
         return at.select(
-            *keys,
-            "score",
-            "pos",
-            "neg",
-            before(keys, "score", "pos").alias("pos_below"),
-            before(keys, "score", "neg").alias("neg_below"),
+            *columns, before(keys, "score", "pos").alias("pos_below"), before(keys, "score", "neg").alias("neg_below")
         )
-    # Edges are at most 255 numbers, fixed on the driver so both levels see the same buckets.
+    # The edges are at most 255 numbers, fixed on the driver so both levels see the same buckets.
     steps = [i / _BUCKETS for i in range(1, _BUCKETS)]
-    edges = sorted(set(at.agg(F.percentile_approx("score", steps, 10_000).alias("e")).first().e or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("score"))) if edges else F.lit(0)
-    at = at.withColumn("bucket", bucket)
+    edges = sorted(set(at.agg(F.percentile_approx("score", steps, 10_000).alias("e")).first()["e"] or []))
+    edge_array = F.array(*[F.lit(e) for e in edges]).cast("array<double>")
+    at = at.withColumn("bucket", F.size(F.filter(edge_array, lambda e: e < F.col("score"))))
     level = at.groupBy(*keys, "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     level = level.select(
         *[F.col(k).alias(f"_{k}") for k in keys],
@@ -86,33 +88,47 @@ def running_counts(scores: DataFrame, keys: list[str], score_digits: int | None
         .withColumn("neg_in", before(part, "score", "neg"))
         .join(level, same)
         .select(
-            *keys,
-            "score",
-            "pos",
-            "neg",
+            *columns,
             (F.col("_pos") + F.col("pos_in")).alias("pos_below"),
             (F.col("_neg") + F.col("neg_in")).alias("neg_below"),
         )
     )
 
 
-def auc_exact(scores: DataFrame, keys: list[str], score_digits: int | None = 4) -> DataFrame:
-    """Area under the ROC curve by pair counting, ties half; null when a class is absent."""
-    counts = running_counts(scores, keys, score_digits)
+def _auc() -> Column:
+    """Pair counting over ``running_counts`` rows of one key; null when a class is absent."""
     won = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return counts.groupBy(*keys).agg(F.round(F.when(pairs > 0, won / pairs), 4).alias("auc_roc"))
+    return F.round(F.when(pairs > 0, won / pairs), 4)
+
+
+def auc_exact(scores: DataFrame, keys: list[str], score_digits: int | None = 4) -> DataFrame:
+    """Area under the ROC curve, ties half."""
+    return running_counts(scores, keys, score_digits).groupBy(*keys).agg(_auc().alias("auc_roc"))
 
 
 def binary_metrics(scores: DataFrame, keys: list[str], score_digits: int | None = 4) -> DataFrame:
-    """Accuracy, precision, recall, F1 and AUC at four decimals, one row per key."""
-    joined = _cells(scores, keys).join(auc_exact(scores, keys, score_digits), keys)
+    """Accuracy, precision, recall, F1 and AUC at four decimals, one row per key.
+
+    All five come from the per-score counts, so the score table is aggregated once.
+    """
+    cells = (
+        running_counts(scores, keys, score_digits)
+        .groupBy(*keys)
+        .agg(
+            F.sum("tp").alias("tp"),
+            F.sum("fp").alias("fp"),
+            F.sum("pos").alias("pos"),
+            F.sum("neg").alias("neg"),
+            _auc().alias("auc_roc"),
+        )
+    )
     p = _ratio(F.col("tp"), F.col("tp") + F.col("fp"))
-    r = _ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    total = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
-    return joined.select(
+    r = _ratio(F.col("tp"), F.col("pos"))
+    right = F.col("tp") + F.col("neg") - F.col("fp")
+    return cells.select(
         *keys,
-        F.round((F.col("tp") + F.col("tn")) / total, 4).alias("accuracy"),
+        F.round(right / (F.col("pos") + F.col("neg")), 4).alias("accuracy"),
         F.round(p, 4).alias("precision"),
         F.round(r, 4).alias("recall"),
         F.round(_f1(p, r), 4).alias("f1"),

@@ -36,8 +36,12 @@ def pair_tool_results(calls: DataFrame, results: DataFrame) -> DataFrame:
 
 def tool_traces(paired: DataFrame) -> DataFrame:
     """The ordered trace of an article as one array; an article holds as many entries as it made calls."""
-    entry = F.struct("pos", "name", "args", "result")
-    return paired.groupBy("article_id").agg(F.sort_array(F.collect_list(entry)).alias("tool_trace"))
+    entries = F.collect_list(F.struct("pos", "name", "args", "result"))
+
+    def by_place(a: Column, b: Column) -> Column:
+        return F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
+
+    return paired.groupBy("article_id").agg(F.array_sort(entries, by_place).alias("tool_trace"))
 
 
 def tool_call_counts(calls: DataFrame) -> DataFrame:

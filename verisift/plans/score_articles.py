@@ -12,7 +12,7 @@ from ..operators import verdict
 from ..operators.features import fixed_score
 from ..operators.reputation import with_credibility
 from ..operators.sentiment import with_article_scores, with_sentiment_profile
-from ..sources.html import main_text, usable_status
+from ..sources.html import usable_status, with_main_text
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -36,8 +36,9 @@ def ingest(articles: DataFrame, find: Callable[[Column], Column], lemma=None) ->
     Rejected pages stay as rows with their status.
     """
     from_page = F.col("input_type") == "url"
-    text = F.when(from_page, main_text(F.col("html"))).otherwise(F.coalesce("raw_input", F.lit("")))
-    staged = articles.withColumn("article_text", text)
+    staged = with_main_text(articles.withColumn("_page", F.when(from_page, F.col("html"))), "_page", "_page_text")
+    text = F.when(from_page, F.col("_page_text")).otherwise(F.coalesce("raw_input", F.lit("")))
+    staged = staged.withColumn("article_text", text).drop("_page", "_page_text")
     staged = staged.withColumn(
         "status", F.when(from_page, usable_status(F.col("article_text"))).otherwise(F.lit("ok"))
     )

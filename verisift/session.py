@@ -44,3 +44,9 @@ def durable(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="verisift-checkpoint-")
         context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a table of fewer files than cores before row-wise work; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

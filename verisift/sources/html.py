@@ -1,6 +1,6 @@
 """Main text of raw web pages.
 
-``main_text`` is made of column expressions and treats a paragraph as the span up to the next
+``with_main_text`` is made of column expressions and treats a paragraph as the span up to the next
 paragraph tag. ``main_text_nested`` follows the tag nesting of an unrepaired parse, where an
 unclosed paragraph holds everything up to the end of its parent; that needs a stack, so it runs in
 an Arrow UDF.
@@ -11,7 +11,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -86,18 +86,26 @@ def _inner_text(fragment: Column) -> Column:
     return F.array_remove(F.transform(F.split(fragment, r"<[^>]*>"), lambda run: strip(_decoded(run))), "")
 
 
-def main_text(html: Column) -> Column:
-    clean = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", "")
+def with_main_text(df: DataFrame, html_col: str = "html", out: str = "main_text") -> DataFrame:
+    """Add the main text, in steps so that no page is cleaned or cut twice."""
+    clean = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"(?s)<!--.*?-->", "")
     for tag in NOISE_TAGS:
         clean = F.regexp_replace(clean, rf"(?is)<{tag}(?:[{WS}][^>]*)?>.*?</{tag}[{WS}]*>", "")
-    main = _main_part(clean)
-    starts = F.split(main, rf"(?i)<p(?:[{WS}][^>]*)?>")
-    bodies = F.transform(
+    starts = F.split("_main", rf"(?i)<p(?:[{WS}][^>]*)?>")
+    paragraphs = F.transform(
         F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))),
         lambda p: F.array_join(_inner_text(F.split(p, "(?i)</p>").getItem(0)), ""),
     )
-    kept = F.filter(bodies, lambda p: F.length(p) > MIN_PARAGRAPH)
-    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(F.array_join(_inner_text(main), " "))
+    text = F.when(F.size("_kept") > 0, F.array_join("_kept", " ")).otherwise(
+        F.array_join(_inner_text(F.col("_main")), " ")
+    )
+    return (
+        df.withColumn("_clean", clean)
+        .withColumn("_main", _main_part(F.col("_clean")))
+        .withColumn("_kept", F.filter(paragraphs, lambda p: F.length(p) > MIN_PARAGRAPH))
+        .withColumn(out, text)
+        .drop("_clean", "_main", "_kept")
+    )
 
 
 class _Node:

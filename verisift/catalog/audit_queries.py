@@ -15,7 +15,10 @@ from .base import Query, with_ctes
 
 
 def _term_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = inputs.split_texts(spark, sf)
+    return _terms_of(inputs.split_texts(spark, sf))
+
+
+def _terms_of(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "label", "split", vocabulary.ngram_terms(F.col("raw_text")).alias("terms"))
 
 
@@ -28,19 +31,18 @@ def _vocabulary(rows: DataFrame) -> tuple[DataFrame, int]:
     return durable(vocabulary.vocabulary(_train(rows), n_docs)), n_docs
 
 
-def _vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """``(id, split, terms, weights)`` of all labelled documents, fitted on the train split."""
-    rows = _term_rows(spark, sf)
+def sides_of(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Test and train vectors ``(id, terms, weights)`` of a split corpus, fitted on its train split."""
+    rows = _terms_of(corpus)
     vocab, n_docs = _vocabulary(rows)
-    vectors = vocabulary.tfidf_vectors(rows, vocab, n_docs)
-    split = rows.select("doc_id", "split")
-    return durable(vectors.join(split, "doc_id").withColumnRenamed("doc_id", "id"))
+    vectors = vocabulary.tfidf_vectors(rows, vocab, n_docs).join(corpus.select("doc_id", "split"), "doc_id")
+    vectors = durable(vectors.withColumnRenamed("doc_id", "id"))
+    test, train = (vectors.filter(F.col("split") == s).drop("split") for s in ("test", "train"))
+    return test, train
 
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    vectors = _vectors(spark, sf)
-    test, train = (vectors.filter(F.col("split") == s).drop("split") for s in ("test", "train"))
-    return test, train
+    return sides_of(inputs.split_texts(spark, sf))
 
 
 def ngrams(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,18 +56,19 @@ def term_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return _vocabulary(_term_rows(spark, sf))[0]
+    return _vocabulary(_term_rows(spark, sf))[0].select("term", "tf", "df")
 
 
 def tfidf(spark: SparkSession, sf: str) -> DataFrame:
     rows = _term_rows(spark, sf)
     vocab, n_docs = _vocabulary(rows)
-    return vocabulary.tfidf_long(vocabulary.tfidf_vectors(rows, vocab, n_docs))
+    return vocabulary.tfidf_long(vocabulary.tfidf_vectors(rows, vocab, n_docs), vocab)
 
 
 def counts(spark: SparkSession, sf: str) -> DataFrame:
     rows = _term_rows(spark, sf)
-    return vocabulary.term_counts(rows, _vocabulary(rows)[0]).select("doc_id", "term", "tf")
+    vocab, _ = _vocabulary(rows)
+    return vocabulary.with_terms(vocabulary.term_counts(rows, vocab), vocab).select("doc_id", "term", "tf")
 
 
 def scaled(spark: SparkSession, sf: str) -> DataFrame:

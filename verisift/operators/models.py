@@ -37,6 +37,7 @@ CANDIDATES = ("logistic_regression", "svm", "random_forest", "neural_network")
 # Model and search settings.
 C = 1.0
 LR_ITERATIONS = 1000
+TOLERANCE = 1e-4
 SVM_ITERATIONS = 1000
 SVM_FOLDS = 3
 TREES, MAX_TREE_DEPTH = 300, 30  # 30 is the deepest tree Spark grows
@@ -54,12 +55,18 @@ def _regularization(c: float, n_rows: int) -> float:
 
 def logistic_regression(n_rows: int, c: float = C) -> LogisticRegression:
     return LogisticRegression(
-        regParam=_regularization(c, n_rows), elasticNetParam=0.0, standardization=False, maxIter=LR_ITERATIONS
+        regParam=_regularization(c, n_rows),
+        elasticNetParam=0.0,
+        standardization=False,
+        maxIter=LR_ITERATIONS,
+        tol=TOLERANCE,
     )
 
 
 def linear_svm(n_rows: int, c: float = C) -> LinearSVC:
-    return LinearSVC(regParam=_regularization(c, n_rows), standardization=False, maxIter=SVM_ITERATIONS)
+    return LinearSVC(
+        regParam=_regularization(c, n_rows), standardization=False, maxIter=SVM_ITERATIONS, tol=TOLERANCE
+    )
 
 
 def random_forest(seed: int = 42, trees: int = TREES, depth: int = MAX_TREE_DEPTH, leaf: int = 1) -> RandomForestClassifier:

@@ -43,12 +43,17 @@ def _averages(c: Column, find: Callable[[Column], Column]) -> Column:
 
 
 def _sample_variance(values: Column) -> Column:
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v) / n
-    spread = F.aggregate(
-        F.transform(values, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda acc, v: acc + v
-    )
-    return F.when(n > 1, spread / (n - 1)).otherwise(F.lit(0.0))
+    """One pass over values between 0 and 1; 0 for fewer than two of them."""
+
+    def add(acc: Column, v: Column) -> Column:
+        return F.struct((acc["s"] + v).alias("s"), (acc["q"] + v * v).alias("q"), (acc["n"] + 1.0).alias("n"))
+
+    def finish(acc: Column) -> Column:
+        spread = F.greatest(acc["q"] - acc["s"] * acc["s"] / F.greatest(acc["n"], F.lit(1.0)), F.lit(0.0))
+        return F.when(acc["n"] > 1.0, spread / (acc["n"] - 1.0)).otherwise(F.lit(0.0))
+
+    zero = F.lit(0.0)
+    return F.aggregate(values, F.struct(zero.alias("s"), zero.alias("q"), zero.alias("n")), add, finish)
 
 
 def with_article_scores(df: DataFrame, text_col: str, find: Callable[[Column], Column]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD
@@ -46,9 +47,11 @@ def vocabulary(
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
 ) -> DataFrame:
-    """The most frequent terms within the document-frequency limits (ties by term)."""
+    """``(term, tf, df, idx)``: the most frequent terms within the document-frequency limits (ties by
+    term), numbered from the rarest on. The numbering runs over ``max_features`` rows at most."""
     kept = term_stats(docs, terms_col).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    return kept.orderBy(F.desc("tf"), "term").limit(max_features)
+    best = kept.orderBy(F.desc("tf"), "term").limit(max_features)
+    return best.withColumn("idx", F.row_number().over(W.orderBy("df", "term")) - 1)
 
 
 def idf(df_col: Column, n_docs: int) -> Column:
@@ -56,27 +59,32 @@ def idf(df_col: Column, n_docs: int) -> Column:
 
 
 def term_counts(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", terms_col: str = "terms") -> DataFrame:
-    """``(id, term, df, tf)`` of vocabulary terms; the vocabulary has at most ``MAX_FEATURES`` rows."""
-    hits = docs.select(id_col, F.explode(terms_col).alias("term")).join(F.broadcast(vocab.select("term", "df")), "term")
-    return hits.groupBy(id_col, "term").agg(F.max("df").alias("df"), F.count(F.lit(1)).alias("tf"))
+    """``(id, idx, df, tf)`` of vocabulary terms; the vocabulary is bounded by its maximum size."""
+    listed = F.broadcast(vocab.select("term", "idx", "df"))
+    hits = docs.select(id_col, F.explode(terms_col).alias("term")).join(listed, "term")
+    return hits.groupBy(id_col, "idx").agg(F.max("df").alias("df"), F.count(F.lit(1)).alias("tf"))
+
+
+def with_terms(rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Replace ``idx`` by its term."""
+    return rows.join(F.broadcast(vocab.select("idx", "term")), "idx").drop("idx")
 
 
 def tfidf_vectors(
     docs: DataFrame, vocab: DataFrame, n_docs: int, id_col: str = "doc_id", terms_col: str = "terms"
 ) -> DataFrame:
-    """One row per document: its terms, rarest first, and their L2-normed weights.
+    """One row per document: its term numbers, rarest first, and their L2-normed weights.
 
     Documents without any vocabulary term keep empty arrays.
     """
     weight = F.col("tf") * idf(F.col("df"), n_docs)
-    rows = term_counts(docs, vocab, id_col, terms_col).select(
-        id_col, F.struct(F.col("df"), F.col("term"), weight.alias("w")).alias("t")
+    rows = term_counts(docs, vocab, id_col, terms_col).select(id_col, "idx", weight.alias("w"))
+    packed = rows.groupBy(id_col).agg(
+        F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("t"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
     )
-    packed = rows.groupBy(id_col).agg(F.sort_array(F.collect_list("t")).alias("t"))
-    norm = F.sqrt(F.aggregate("t", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    vectors = packed.withColumn("norm", norm).select(
+    vectors = packed.select(
         id_col,
-        F.transform("t", lambda x: x["term"]).alias("terms"),
+        F.transform("t", lambda x: x["idx"]).alias("terms"),
         F.transform("t", lambda x: x["w"] / F.col("norm")).alias("weights"),
     )
     return (
@@ -84,17 +92,16 @@ def tfidf_vectors(
         .join(vectors, id_col, "left")
         .select(
             id_col,
-            F.coalesce("terms", F.array().cast("array<string>")).alias("terms"),
+            F.coalesce("terms", F.array().cast("array<int>")).alias("terms"),
             F.coalesce("weights", F.array().cast("array<double>")).alias("weights"),
         )
     )
 
 
-def tfidf_long(vectors: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    pairs = F.explode(F.arrays_zip("terms", "weights")).alias("p")
-    return vectors.select(id_col, pairs).select(
-        id_col, F.col("p.terms").alias("term"), F.round("p.weights", 4).alias("weight")
-    )
+def tfidf_long(vectors: DataFrame, vocab: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    pairs = vectors.select(id_col, F.explode(F.arrays_zip("terms", "weights")).alias("p"))
+    rows = pairs.select(id_col, F.col("p.terms").alias("idx"), F.round("p.weights", 4).alias("weight"))
+    return with_terms(rows, vocab)
 
 
 def scale_numeric(df: DataFrame, columns: list[str], fit_on: DataFrame) -> DataFrame:

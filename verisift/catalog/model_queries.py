@@ -47,8 +47,8 @@ def _trainer(*names: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def tuned(spark: SparkSession, sf: str) -> DataFrame:
-    """Grid search of the two linear families over three folds."""
-    trained = models.fit_candidates(corpus(spark, sf), ("logistic_regression", "svm"), tune=True)
+    """Grid search of one family over three folds."""
+    trained = models.fit_candidates(corpus(spark, sf), ("logistic_regression",), tune=True)
     return models.tuning_table(spark, trained).join(trained.metrics.filter("split = 'validation'"), "model")
 
 
@@ -64,7 +64,7 @@ def feature_vectors(spark: SparkSession, sf: str) -> DataFrame:
 def selected(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates fitted, the winner chosen on validation, everything saved and the models read back."""
     rows = corpus(spark, sf)
-    trained, paths = train_and_select(rows, f"{scratch_dir(spark)}/bundle", ("logistic_regression", "svm"))
+    trained, paths = train_and_select(rows, f"{scratch_dir(spark)}/bundle", ("logistic_regression", "random_forest"))
     saved = {name: paths[name] for name in trained.models}
     saved["missing_model"] = f"{paths['features']}/nothing"
     measured, failed = models.evaluate_families(spark, paths["features"], saved, rows, measure=binary_metrics)
@@ -73,7 +73,7 @@ def selected(spark: SparkSession, sf: str) -> DataFrame:
 
 def family_cells(spark: SparkSession, sf: str) -> DataFrame:
     rows = corpus(spark, sf)
-    trained, paths = train_and_select(rows, f"{scratch_dir(spark)}/bundle", ("logistic_regression",))
+    trained, paths = train_and_select(rows, f"{scratch_dir(spark)}/bundle", ("random_forest",))
     saved = {name: paths[name] for name in trained.models}
     return models.evaluate_families(spark, paths["features"], saved, rows, measure=confusion_matrix)[0]
 
@@ -81,7 +81,7 @@ def family_cells(spark: SparkSession, sf: str) -> DataFrame:
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """A saved winner applied to its articles."""
     rows = corpus(spark, sf)
-    _, paths = train_and_select(rows, f"{scratch_dir(spark)}/bundle", ("logistic_regression",))
+    _, paths = train_and_select(rows, f"{scratch_dir(spark)}/bundle", ("random_forest",))
     name = paths["winner"]
     out = models.score_table(name, load_model(spark, paths[name]), load_model(spark, paths["features"]), rows)
     return out.select("doc_id", "split", "ml_score", "ml_label", "ml_model_name")

@@ -18,7 +18,9 @@ def _term_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _terms_of(inputs.split_texts(spark, sf))
 
 
-def _terms_of(rows: DataFrame) -> DataFrame:
+def _terms_of(corpus: DataFrame) -> DataFrame:
+    """Terms of a split corpus, whose rows are materialised because vocabulary and counts both read them."""
+    rows = durable(corpus.select("doc_id", "label", "split", "raw_text"))
     return rows.select("doc_id", "label", "split", vocabulary.ngram_terms(F.col("raw_text")).alias("terms"))
 
 
@@ -35,7 +37,7 @@ def sides_of(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Test and train vectors ``(id, terms, weights)`` of a split corpus, fitted on its train split."""
     rows = _terms_of(corpus)
     vocab, n_docs = _vocabulary(rows)
-    vectors = vocabulary.tfidf_vectors(rows, vocab, n_docs).join(corpus.select("doc_id", "split"), "doc_id")
+    vectors = vocabulary.tfidf_vectors(rows, vocab, n_docs).join(rows.select("doc_id", "split"), "doc_id")
     vectors = durable(vectors.withColumnRenamed("doc_id", "id"))
     test, train = (vectors.filter(F.col("split") == s).drop("split") for s in ("test", "train"))
     return test, train

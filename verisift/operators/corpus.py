@@ -21,26 +21,34 @@ def with_dedup_key(df: DataFrame, col: str = "raw_text", normalize: bool = True)
 
 
 def first_rows(df: DataFrame, key: Column, order_col: str = "seq") -> DataFrame:
-    """``order_col`` of the first row of every key.
+    """``order_col`` of the first row of every non-empty key.
 
     Keys are hashed before the shuffle, copies collapse on the map side, and each key sends one long
-    per task, so a text that fills a third of the table is no hot spot.
+    per task, so a text that fills a third of the table is no hot spot. Empty keys form one group that
+    is dropped by its aggregated length: a filter on the key itself would be pushed down and compute
+    every key twice.
     """
-    return df.groupBy(F.sha2(key, 256).alias("k")).agg(F.min(order_col).alias(order_col)).select(order_col)
+    keyed = df.select(order_col, key.alias("_key"))
+    first = keyed.groupBy(F.sha2("_key", 256).alias("k")).agg(
+        F.min(order_col).alias(order_col), F.max(F.length("_key")).alias("n")
+    )
+    return first.filter("n > 0").select(order_col)
 
 
-def dedup(df: DataFrame, key_col: str, order_col: str = "seq") -> DataFrame:
-    """Keep the first row of every key; rows are matched back on the unique order column."""
-    return df.join(first_rows(df, F.col(key_col), order_col), order_col, "left_semi")
+def dedup(df: DataFrame, key: Column, order_col: str = "seq") -> DataFrame:
+    """Keep the first row of every non-empty key; rows are matched back on the unique order column."""
+    return df.join(first_rows(df, key, order_col), order_col, "left_semi")
 
 
 def dedup_exact(df: DataFrame) -> DataFrame:
-    return dedup(drop_empty(df), "raw_text")
+    rows = df.withColumn("raw_text", strip(F.coalesce("raw_text", F.lit(""))))
+    return dedup(rows, F.col("raw_text"))
 
 
 def dedup_canonical(df: DataFrame, normalize: bool = True) -> DataFrame:
-    keyed = with_dedup_key(drop_empty(df), normalize=normalize).filter(F.col("dedup_key") != "")
-    return dedup(keyed, "dedup_key")
+    """Rows with an empty text or key are dropped as well; the key stays as ``dedup_key``."""
+    rows = df.withColumn("raw_text", strip(F.coalesce("raw_text", F.lit(""))))
+    return with_dedup_key(dedup(rows, canonical_key(F.col("raw_text"), normalize)), normalize=normalize)
 
 
 def _shares(train: float, val: float, test: float) -> tuple[float, float]:

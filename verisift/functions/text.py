@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Every character Python's str.strip() and \s treat as white space, and the same set
 # as the inside of a character class that Java and RE2 both accept.
@@ -88,7 +89,7 @@ def clean_light(c: Column) -> Column:
     return collapse_spaces(F.regexp_replace(c, MARKUP, ""))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 

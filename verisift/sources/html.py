@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from ..functions.text import WHITESPACE, WS, strip
 
@@ -182,7 +183,7 @@ def nested_page_text(html: str) -> str:
     return " ".join(kept) if kept else " ".join(main.texts())
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def main_text_nested(html: pd.Series) -> pd.Series:
     return html.fillna("").map(nested_page_text)
 

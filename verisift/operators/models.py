@@ -48,6 +48,8 @@ GRID_TREES, GRID_DEPTH, GRID_LEAF = (200, 300), (MAX_TREE_DEPTH, 20), (1, 2)
 GRID_LAYERS = ((128,), (64, 128))
 CV_FOLDS = 3
 
+ROWS_PER_TASK = 2_000
+
 
 def _regularization(c: float, n_rows: int) -> float:
     """Spark divides the loss by the row count, so strength C becomes ``1 / (C * n)``."""
@@ -207,7 +209,12 @@ def fit_candidates(
     train = _split(corpus, "train")
     kwargs = {} if numeric is None else {"numeric": numeric}
     features, feature_names = fit_features(train, text_col, **kwargs)
-    table = apply_features(features, corpus, ["doc_id", "label", "split"]).persist()
+    # Every solver step is a job with one task per partition, so tiny tables get few partitions.
+    parts = max(1, corpus.count() // ROWS_PER_TASK)
+    table = apply_features(features, corpus, ["doc_id", "label", "split"])
+    if parts < table.sparkSession.sparkContext.defaultParallelism:
+        table = table.coalesce(parts)
+    table = table.persist()
     try:
         fit_on = _split(table, "train")
         tuning: dict[str, tuple[str, float]] = {}
@@ -276,7 +283,7 @@ def tune_candidate(
         model = fit_calibrated_svm(train, n_rows, seed, params["c"])
     else:
         model = PipelineModel([search.bestModel])
-    return model, text, round(scores[at], 4)
+    return model, text, round(float(scores[at]), 4)
 
 
 def tuning_table(spark: SparkSession, trained: Trained) -> DataFrame:

@@ -17,14 +17,17 @@ from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import slices
 
 #: Words and token pairs kept per task. Of words a full table becomes the older of two, where seen words are found again;
 #: one of pairs is emptied. Both only cost time.
-WORD_CACHE, PAIR_CACHE = 400_000, 1_000_000
+WORD_CACHE, PAIR_CACHE = 400_000, 500_000
 #: Added to the code point of a word's last character, which the vocabulary tells apart.
 _LAST = 0x1000
 _SUFFIX = "</w>"
@@ -200,25 +203,30 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode_column(text: Column, path: str) -> Column:
-    """array<int> of ids of ``text``; null and empty texts have none. ``path`` is read on each executor."""
-
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = load(path)
-        for batch in batches:
-            yield pd.Series([bpe.encode(t) if t else np.empty(0, dtype=np.int32) for t in batch], dtype=object)
-
-    return encode(text)
-
+def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``token_ids`` (array<int>) and ``decoded`` (the text that these ids decode to).
 
-def decode_column(ids: Column, path: str) -> Column:
-    """The text of the ids; null and empty lists give an empty text."""
+    Null and empty texts have no ids and an empty decoded text. Columns of these two names are replaced, all others
+    stay. ``path`` is read on each executor.
+    """
+    kept = [c for c in docs.columns if c not in ("token_ids", "decoded")]
+    docs = docs.select(*(F.col(f"`{c}`") for c in kept))
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
-            yield pd.Series([bpe.decode(x) if x is not None and len(x) else "" for x in batch], dtype=object)
-
-    return decode(ids)
+        for batch in slices(batches, text_col):
+            ids = [bpe.encode(t.as_py() or "") for t in batch.column(text_col)]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
+            flat = pa.array(np.concatenate(ids), type=pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), flat)
+            decoded = pa.array([bpe.decode(x) if len(x) else "" for x in ids], type=pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, decoded], names=[*kept, "token_ids", "decoded"])
+
+    schema = T.StructType(
+        [
+            *docs.schema.fields,
+            T.StructField("token_ids", T.ArrayType(T.IntegerType())),
+            T.StructField("decoded", T.StringType()),
+        ]
+    )
+    return docs.mapInArrow(run, schema)

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text that a Python task takes at a time, besides one text.
+SLICE_BYTES = 4_000_000
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -44,3 +50,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Words of ``text``; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of at most ``SLICE_BYTES`` of the column ``text``, and at least one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        start = total = 0
+        for i, size in enumerate(sizes):
+            if i > start and total + size > SLICE_BYTES:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += size
+        if start < len(sizes):
+            yield batch.slice(start)

@@ -30,12 +30,11 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of the ids that the encoder gives and the text they decode to."""
-    encoded = docs.select("doc_id", bpe.encode_column(F.col("text"), path).alias("ids"))
-    return encoded.select(
+    return bpe.round_trip(docs.select("doc_id", "text"), path).select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode_column(F.col("ids"), path), 256).alias("decoded_sha256"),
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

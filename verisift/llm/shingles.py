@@ -52,28 +52,18 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(runs)
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum()) if len(a) else 0
-
-
 class MinHashes:
-    """Signatures of ``size`` coordinates, each the least of a multiply-shift hash over the set, in 32 bits."""
+    """Signatures of ``size`` coordinates, each the least of a multiply-add hash over the set, in 64 bits."""
 
     def __init__(self, size: int, seed: int) -> None:
         draw = np.random.default_rng(seed).integers(0, 2**63, size=(size, 2), dtype=np.int64).astype(_U)
         self._factor, self._shift = draw[:, 0] * _U(2) + _U(1), draw[:, 1]
 
     def of(self, sets: list[np.ndarray]) -> np.ndarray:
-        """One row of int32 per set; none of the sets may be empty."""
+        """One row per set; none of the sets may be empty."""
         items = np.concatenate(sets)
         starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-        out = np.empty((len(sets), len(self._factor)), dtype=np.int32)
+        out = np.empty((len(sets), len(self._factor)), dtype=np.int64)
         for k, (factor, shift) in enumerate(zip(self._factor, self._shift, strict=True)):
-            mixed = ((items * factor + shift) >> _U(32)).astype(np.uint32)
-            out[:, k] = np.minimum.reduceat(mixed, starts).view(np.int32)
+            out[:, k] = np.minimum.reduceat(items * factor + shift, starts).view(np.int64)
         return out

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, mixing
+from . import bpe, chat, minhash, mixing, toxicity
 from .common import table
 
 #: Both turns of the conversation that op2 adds.
@@ -27,6 +27,21 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(turns))
 
 
+def crc_mod(ident: Column, divisor: int) -> Column:
+    return F.crc32(ident.cast("string")) % divisor
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), lambda i: crc_mod(i, 3) == 1)
+    return scored.select(
+        "doc_id",
+        F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
@@ -136,6 +151,7 @@ FROM ranked r LEFT JOIN gaps g USING (no_source, source_key) LEFT JOIN fills f U
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_minhash_dedup": (op1_minhash_dedup, None),
     "op2_chat_format": (op2_chat_format, OP2_SQL),
+    "op4_toxicity": (op4_toxicity, None),
     "op8_mix_sources": (op8_mix_sources, OP8_SQL),
     "op10_bpe": (op10_bpe, None),
 }

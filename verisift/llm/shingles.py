@@ -26,7 +26,9 @@ class WordHashes:
         self._known: dict[bytes, int] = {}
 
     def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        return self.hash_words((text or "").encode("utf-8", "surrogatepass").lower().split())
+
+    def hash_words(self, words: list[bytes]) -> np.ndarray:
         known, digest = self._known, xxhash.xxh3_64_intdigest
         if len(known) > WORD_CACHE:
             known.clear()

@@ -7,7 +7,7 @@ import xxhash
 
 _U = np.uint64
 #: Words whose hash a task keeps.
-WORD_CACHE = 500_000
+WORD_CACHE = 100_000
 
 
 def scramble(x: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, mixing, toxicity
+from . import bpe, chat, langid, minhash, mixing, toxicity
 from .common import table
 
 #: Both turns of the conversation that op2 adds.
@@ -31,6 +31,17 @@ def crc_mod(ident: Column, divisor: int) -> Column:
     return F.crc32(ident.cast("string")) % divisor
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify_languages(docs, lambda i: crc_mod(i, 5) == 0)
+    return found.select(
+        "doc_id",
+        F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+    )
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), lambda i: crc_mod(i, 3) == 1)
@@ -151,6 +162,7 @@ FROM ranked r LEFT JOIN gaps g USING (no_source, source_key) LEFT JOIN fills f U
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_minhash_dedup": (op1_minhash_dedup, None),
     "op2_chat_format": (op2_chat_format, OP2_SQL),
+    "op3_language_id": (op3_language_id, None),
     "op4_toxicity": (op4_toxicity, None),
     "op8_mix_sources": (op8_mix_sources, OP8_SQL),
     "op10_bpe": (op10_bpe, None),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, minhash, mixing, toxicity
+from . import bpe, chat, kdtree, langid, minhash, mixing, toxicity
 from .common import table
 
 #: Both turns of the conversation that op2 adds.
@@ -53,6 +53,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(
+        table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, id_col="vec_id", vector_col="embedding"
+    )
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
@@ -90,6 +96,20 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+OP5_SQL = """
+WITH rows_ AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT)
+    AS score
+  FROM rows_ q JOIN rows_ c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
 OP8_SQL = r"""
 WITH docs AS (
   SELECT doc_id, CAST(source IS NULL AS INTEGER) AS no_source, coalesce(source, '') AS source_key,
@@ -164,6 +184,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op2_chat_format": (op2_chat_format, OP2_SQL),
     "op3_language_id": (op3_language_id, None),
     "op4_toxicity": (op4_toxicity, None),
+    "op5_top_k": (op5_top_k, OP5_SQL),
     "op8_mix_sources": (op8_mix_sources, OP8_SQL),
     "op10_bpe": (op10_bpe, None),
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, kdtree, langid, minhash, mixing, toxicity
+from . import bpe, chat, kdtree, langid, minhash, mixing, toxicity, urls
 from .common import table
 
 #: Both turns of the conversation that op2 adds.
@@ -59,6 +59,21 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: (host, path, verdict), fixed by the task.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url", "difference")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
@@ -185,6 +200,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_language_id": (op3_language_id, None),
     "op4_toxicity": (op4_toxicity, None),
     "op5_top_k": (op5_top_k, OP5_SQL),
+    "op6_url_filter": (op6_url_filter, None),
     "op8_mix_sources": (op8_mix_sources, OP8_SQL),
     "op10_bpe": (op10_bpe, None),
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, kdtree, langid, minhash, mixing, toxicity, urls
+from . import bpe, chat, kdtree, langid, minhash, mixing, outliers, toxicity, urls
 from .common import table
 
 #: Both turns of the conversation that op2 adds.
@@ -74,6 +74,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url", "difference")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge_quality(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
@@ -201,6 +205,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op4_toxicity": (op4_toxicity, None),
     "op5_top_k": (op5_top_k, OP5_SQL),
     "op6_url_filter": (op6_url_filter, None),
+    "op7_quality_rules": (op7_quality_rules, None),
     "op8_mix_sources": (op8_mix_sources, OP8_SQL),
     "op10_bpe": (op10_bpe, None),
 }

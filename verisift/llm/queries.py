@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, kdtree, langid, minhash, mixing, outliers, toxicity, urls
+from . import bpe, chat, kdtree, langid, minhash, mixing, outliers, toxicity, urls, warc
 from .common import table
 
 #: Both turns of the conversation that op2 adds.
@@ -83,6 +83,74 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+def capture_records(pages: DataFrame) -> DataFrame:
+    """Records of a crawl of ``pages``: a full response each, changed responses of some, and two revisits of all.
+
+    Times, validators and the spelling of URLs follow from the id, so that every case occurs: revisits before the first
+    response, between two, with the tag of the old one, with a date only, with no validator at all.
+    """
+    ident, text = F.col("page_id"), F.coalesce("html", F.lit(""))
+    start = F.lit(1_700_000_000) + ident * 7919 % 2_592_000
+
+    def record(which: int, kind: str, uri: Column, seconds: Column, payload: Column, headers: list[Column]) -> list[Column]:
+        return [
+            (ident * 4 + which).alias("record_id"),
+            F.lit(kind).alias("kind"),
+            uri.alias("target_uri"),
+            F.timestamp_seconds(seconds).alias("fetched"),
+            F.map_filter(F.create_map(*headers), lambda _, v: v.isNotNull()).alias("headers"),
+            payload.alias("payload"),
+        ]
+
+    def tag(payload: Column) -> Column:
+        return F.concat(F.lit('"'), F.md5(payload), F.lit('"'))
+
+    def response(which: int, seconds: Column, payload: Column) -> list[Column]:
+        headers = [
+            *(F.lit("ETag"), tag(payload), F.lit("Last-Modified"), seconds.cast("string")),
+            *(F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), seconds.cast("string")),
+        ]
+        return record(which, "response", F.col("url"), seconds, payload, headers)
+
+    def revisit(which: int, seconds: Column) -> list[Column]:
+        own = F.when(ident % 11 == 0, None).when(ident % 5 == 0, None)
+        own = own.otherwise(F.when(ident % 7 == 0, '"other"').otherwise(F.concat(F.lit("W/"), tag(text))))
+        changed = F.when((ident % 11 != 0) & (ident % 5 == 0), start.cast("string"))
+        headers = [
+            *(F.lit("etag"), own, F.lit("LAST-MODIFIED"), changed, F.lit("Date"), seconds.cast("string")),
+            *(F.lit("Content-Type"), F.lit("text/plain"), F.lit("Cache-Control"), F.lit("max-age=60")),
+        ]
+        spelled = F.when(ident % 2 == 0, F.concat(F.regexp_replace("url", "^http", "HTTP"), F.lit("#seen")))
+        spelled = spelled.otherwise(F.col("url"))
+        return record(which, "revisit", spelled, seconds, F.lit(None).cast("string"), headers)
+
+    changed = F.concat(text, F.lit("<!-- changed -->"))
+    return (
+        pages.select(*response(0, start, text))
+        .unionByName(pages.filter(ident % 4 == 0).select(*response(1, start + 400_000, changed)))
+        .unionByName(pages.select(*revisit(2, start + ident * 104_729 % 864_000 - 200_000)))
+        .unionByName(pages.select(*revisit(3, start + 600_000)))
+    )
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    resolved = warc.resolve_revisits(capture_records(pages))
+    return resolved.select(
+        "record_id",
+        "url",
+        "response_id",
+        "status",
+        F.col("headers")["etag"].alias("etag"),
+        F.col("headers")["last-modified"].alias("last_modified"),
+        F.col("headers")["content-type"].alias("content_type"),
+        F.col("headers")["cache-control"].alias("cache_control"),
+        F.col("headers")["date"].alias("date"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.length("payload").cast("long").alias("payload_chars"),
+    )
+
+
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of the ids that the encoder gives and the text they decode to."""
     return bpe.round_trip(docs.select("doc_id", "text"), path).select(
@@ -198,6 +266,51 @@ SELECT r.doc_id, r.size, r.source_size, r.target,
 FROM ranked r LEFT JOIN gaps g USING (no_source, source_key) LEFT JOIN fills f USING (no_source, source_key)
 """
 
+OP9_SQL = r"""
+WITH base AS (
+  SELECT page_id, url, coalesce(html, '') AS html, 1700000000 + page_id * 7919 % 2592000 AS start FROM pages),
+canon AS (
+  SELECT *, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN
+    regexp_replace(regexp_replace(lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)),
+      '^(http://.*):80$', ''), '^(https://.*):443$', '')
+    || CASE WHEN rest = '' OR starts_with(rest, '?') THEN '/' || rest ELSE rest END
+    ELSE CASE WHEN page_id % 2 = 0 THEN NULL ELSE url END END AS canonical
+  FROM (SELECT *, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '#.*$', '', 's') AS rest
+    FROM base)),
+responses AS (
+  SELECT page_id * 4 AS id, canonical, start AS t, html AS payload FROM canon
+  UNION ALL SELECT page_id * 4 + 1, canonical, start + 400000, html || '<!-- changed -->' FROM canon
+  WHERE page_id % 4 = 0),
+revisits AS (
+  SELECT page_id * 4 + 2 AS id, canonical, start + page_id * 104729 % 864000 - 200000 AS t, * EXCLUDE (canonical)
+  FROM canon
+  UNION ALL SELECT page_id * 4 + 3, canonical, start + 600000, * EXCLUDE (canonical) FROM canon),
+tagged AS (
+  SELECT id, canonical, t,
+    CASE WHEN page_id % 11 = 0 OR page_id % 5 = 0 THEN NULL WHEN page_id % 7 = 0 THEN '"other"'
+      ELSE '"' || md5(html) || '"' END AS bare_tag,
+    CASE WHEN page_id % 11 <> 0 AND page_id % 5 = 0 THEN CAST(start AS VARCHAR) END AS changed
+  FROM revisits),
+found AS (
+  SELECT r.id, arg_max(s.id, (s.t, s.id)) AS response_id FROM tagged r JOIN responses s
+  ON r.canonical = s.canonical AND s.t < r.t GROUP BY r.id),
+joined AS (
+  SELECT r.*, s.id AS response_id, s.payload, s.t AS stored_t, '"' || md5(s.payload) || '"' AS stored_tag,
+    CASE WHEN bare_tag = '"other"' THEN bare_tag WHEN bare_tag IS NOT NULL THEN 'W/' || bare_tag END AS own_tag,
+    CASE WHEN s.id IS NULL THEN 'no_response' WHEN bare_tag IS NULL AND changed IS NULL THEN 'unverified'
+      WHEN bare_tag IS NOT NULL AND bare_tag = '"' || md5(s.payload) || '"' THEN 'validated'
+      WHEN bare_tag IS NULL AND changed = CAST(s.t AS VARCHAR) THEN 'validated' ELSE 'mismatch' END AS status
+  FROM tagged r LEFT JOIN found f ON r.id = f.id LEFT JOIN responses s ON s.id = f.response_id)
+SELECT id AS record_id, canonical AS url, response_id, status,
+  CASE WHEN status IN ('validated', 'unverified') THEN coalesce(own_tag, stored_tag) ELSE own_tag END AS etag,
+  CASE WHEN status IN ('validated', 'unverified') THEN CAST(stored_t AS VARCHAR) ELSE changed END AS last_modified,
+  CASE WHEN status IN ('validated', 'unverified') THEN 'text/html' ELSE 'text/plain' END AS content_type,
+  'max-age=60' AS cache_control, CAST(t AS VARCHAR) AS date,
+  CASE WHEN status IN ('validated', 'unverified') THEN sha256(payload) END AS payload_sha256,
+  CAST(CASE WHEN status IN ('validated', 'unverified') THEN length(payload) END AS BIGINT) AS payload_chars
+FROM joined
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_minhash_dedup": (op1_minhash_dedup, None),
     "op2_chat_format": (op2_chat_format, OP2_SQL),
@@ -207,5 +320,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op6_url_filter": (op6_url_filter, None),
     "op7_quality_rules": (op7_quality_rules, None),
     "op8_mix_sources": (op8_mix_sources, OP8_SQL),
+    "op9_warc_revisits": (op9_warc_revisits, OP9_SQL),
     "op10_bpe": (op10_bpe, None),
 }

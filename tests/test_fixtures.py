@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from verisift.functions import credibility, style, text
 from verisift.operators import lemmas, sentiment, tools, verdict
-from verisift.operators.lookup import word_lookup
 from verisift.operators.reputation import with_credibility
 from verisift.sources import html
 from verisift.sources.demo import demo_lexicon
@@ -79,20 +78,22 @@ def test_style_shares(spark):
     assert values(spark, style.caps_word_ratio, ["ABC DE fgh A1B", ""]) == [0.5, 0.0]
 
 
-def test_articles_in_row_equal_join(spark):
+def test_tone_of_awkward_texts(spark):
     docs = spark.createDataFrame([(1, REAL), (2, FAKE), (3, ""), (4, None)], "doc_id long, text string")
     lexicon = demo_lexicon(spark)
-    find = word_lookup(lexicon, "word", ["polarity", "subjectivity"])
-    for in_row, joined in (
-        (sentiment.with_article_scores, sentiment.article_scores_by_join),
-        (sentiment.with_sentiment_profile, sentiment.sentiment_profile_by_join),
-    ):
-        a = in_row(docs, "text", find).drop("text")
-        b = joined(docs, "doc_id", "text", lexicon).select(*a.columns)
-        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    tone = {r.doc_id: r for r in sentiment.with_sentiment_profile(docs, "text", find).collect()}
-    assert tone[2].emotional_tone != "neutral" and tone[2].exclamation_ratio == 1.0
-    assert tone[3].tone_score == 0.0 and tone[4].sentence_count == 0
+    rows = {r.doc_id: r for r in sentiment.with_style_and_tone(docs, "doc_id", "text", lexicon).collect()}
+    narrow = sentiment.article_scores(docs, "doc_id", "text", lexicon).collect()
+    assert all(r[c] == rows[r.doc_id][c] for r in narrow for c in sentiment.SCORES)
+    assert rows[2].emotional_tone != "neutral" and rows[2].exclamation_ratio == 1.0
+    assert rows[3].tone_score == 0.0 and rows[4].sentence_count == 0 and rows[4].sub_variance == 0.0
+
+
+def test_lexicon_of_any_size(spark):
+    words = spark.range(50_000).selectExpr("concat('w', id) AS word", "0.5D AS polarity", "0.25D AS subjectivity")
+    docs = spark.createDataFrame([(1, "w1 w49999. other w7"), (2, "none")], "doc_id long, text string")
+    got = {r.doc_id: r for r in sentiment.style_and_tone(docs, "doc_id", "text", words).collect()}
+    assert (got[1].overall_polarity, got[1].mean_subjectivity, got[1].sub_variance) == (0.5, 0.25, 0.0)
+    assert got[2].overall_polarity == 0.0
 
 
 def test_credibility(spark):
@@ -119,7 +120,7 @@ def test_credibility(spark):
     assert len(credibility.REPUTATION) == 14
 
 
-def test_lemmas_by_constant_and_by_join(spark, monkeypatch):
+def test_lemmas(spark):
     vocabulary = spark.createDataFrame([(t,) for t in ("isis", "boxes", "women", "stories", "bus", "run")], "token string")
     nouns = spark.createDataFrame([(t,) for t in ("isis", "isi", "box", "woman", "story", "bus", "run")], "word string")
     table = lemmas.build_lemma_table(vocabulary, nouns)
@@ -133,9 +134,6 @@ def test_lemmas_by_constant_and_by_join(spark, monkeypatch):
     wanted = [(1, "isi woman run box woman"), (2, "")]
     got = lemmas.with_clean_ml(docs, table).select("doc_id", "text_ml")
     assert sorted(map(tuple, got.collect())) == wanted
-    monkeypatch.setattr(lemmas, "fits_constant", lambda _: False)
-    got = lemmas.with_clean_ml(docs, table).select("doc_id", "text_ml")
-    assert sorted(map(tuple, got.collect())) == wanted
 
 
 def test_page_text(spark):
@@ -150,14 +148,27 @@ def test_page_text(spark):
     }
     rows = spark.createDataFrame([(i, h) for i, h in enumerate(pages)], "id int, html string")
     columns = html.with_main_text(rows).orderBy("id").collect()
-    nested = rows.select("id", html.main_text_nested("html").alias("t")).orderBy("id").collect()
-    assert [r.main_text for r in columns] == list(pages.values()) == [r.t for r in nested]
+    assert [r.main_text for r in columns] == list(pages.values())
 
 
-def test_unclosed_paragraphs_differ_by_design():
-    inner, last = "x" * 30, "y" * 30
-    page = f"<article><p><b>{inner}<p>{last}</p></article>"
-    assert html.nested_page_text(page) == f"{inner}{last} {last}"
+def test_page_elements_end_at_their_own_depth(spark):
+    a, b = "first " * 5, "second " * 5
+    pages = {
+        f"<div id='content'><div><p>{a}</p></div><p>{b}</p></div><p>after {a}</p>": f"{a.strip()} {b.strip()}",
+        f"<article><p>{a}</p><article><p>{b}</p></article><p>{a}</p></article><p>after {a}</p>": (
+            f"{a.strip()} {b.strip()} {a.strip()}"
+        ),
+        f"<ul id=content><li><p>{a}</p></li></ul>": a.strip(),
+        f"<article><p>it&rsquo;s caf&eacute; &#8212; &#x2014; &hellip; &amp;lt; &unknown; A&B &#0; {a}</p></article>": (
+            f"it’s café — — … &lt; &unknown; A&B &#0; {a.strip()}"
+        ),
+        f"<section role=main><p>{a}<p>{b}</section>": f"{a.strip()} {b.strip()}",
+        f"<article>{'<p>' * 1500}{a}": a.strip(),
+        f"<input id='content'><body><p>{a}</p></body>": a.strip(),
+    }
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate(pages)], "id int, html string")
+    got = html.with_main_text(rows).orderBy("id").collect()
+    assert [r.main_text for r in got] == list(pages.values())
 
 
 def test_usable_text_needs_more_than_the_minimum(spark):

@@ -12,7 +12,7 @@ from verisift.catalog import all_queries
 from verisift.operators import corpus, metrics, models, similarity
 from verisift.operators.features import apply_features, fit_features
 from verisift.plans.train_and_select import train_and_select
-from verisift.sources import artifacts
+from verisift.sources import artifacts, tables
 from verisift.sources.tables import require_columns
 
 QUERIES = {q.name: q for q in all_queries()}
@@ -113,7 +113,7 @@ def test_prefix_tiles_are_exact(spark):
     left, right = spark.createDataFrame(test, schema), spark.createDataFrame(train, schema)
     brute = _brute(test, train)
     for threshold in (0.95, 0.5):
-        found = similarity._best_per_row(similarity._prefix_tiles(left, right, threshold, bins=4, tile=8)).collect()
+        found = similarity._best_per_row(similarity._prefix_tiles(left, right, threshold, tile=8)).collect()
         got = {r.test_id: (r.train_id, round(r.similarity, 6)) for r in found}
         assert got == {i: b for i, b in brute.items() if b[1] > threshold}
 
@@ -170,6 +170,19 @@ def test_stream_equals_batch(spark, sf_dir):
     assert rows_of(batch) == rows_of(stream)
 
 
-@pytest.mark.parametrize("name", ["read_articles_csv", "html_main_text_nested", "write_report_round_trip"])
-def test_rows_only_queries_return_rows(spark, sf_dir, name):
-    assert QUERIES[name].build(spark, sf_dir).count() > 0
+def test_folds_are_even_within_labels(spark):
+    rows = spark.range(200).selectExpr("id AS doc_id", "cast(id % 7 = 0 AS int) AS label")
+    sizes = models.with_fold(rows, 3).groupBy("label", "fold").count().collect()
+    for label in (0, 1):
+        counts = [r["count"] for r in sizes if r.label == label]
+        assert len(counts) == 3 and max(counts) - min(counts) <= 1
+
+
+def test_two_csv_sources_have_unique_ids(spark, tmp_path):
+    for name, texts in (("fake", ["a, b", "c"]), ("true", ["d", 'e "f"\ng'])):
+        spark.createDataFrame([(t, t) for t in texts], "title string, text string").write.option("header", True).option(
+            "escape", '"'
+        ).csv(str(tmp_path / name))
+    both = tables.read_labelled_sources(*(tables.read_articles_csv(spark, str(tmp_path / n)) for n in ("fake", "true")))
+    rows = both.collect()
+    assert len({r.doc_id for r in rows}) == 4 and sorted(r.label for r in rows) == [0, 0, 1, 1]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, crossref, ranking, similarity, vocabulary
 from ..operators.corpus import stratified_split
-from ..session import durable
+from ..session import stored
 from ..sources.tables import read_table
 from . import inputs
 from . import sqltext as q
@@ -20,8 +20,8 @@ def _term_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def _terms_of(corpus: DataFrame) -> DataFrame:
     """Terms of a split corpus, whose rows are materialised because vocabulary and counts both read them."""
-    rows = durable(corpus.select("doc_id", "label", "split", "raw_text"))
-    return rows.select("doc_id", "label", "split", vocabulary.ngram_terms(F.col("raw_text")).alias("terms"))
+    terms = vocabulary.ngram_terms(F.col("raw_text")).alias("terms")
+    return stored(corpus.select("doc_id", "label", "split", terms), "terms")
 
 
 def _train(rows: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def _train(rows: DataFrame) -> DataFrame:
 
 def _vocabulary(rows: DataFrame) -> tuple[DataFrame, int]:
     n_docs = _train(rows).count()
-    return durable(vocabulary.vocabulary(_train(rows), n_docs)), n_docs
+    return stored(vocabulary.vocabulary(_train(rows), n_docs), "vocabulary"), n_docs
 
 
 def sides_of(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +38,7 @@ def sides_of(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _terms_of(corpus)
     vocab, n_docs = _vocabulary(rows)
     vectors = vocabulary.tfidf_vectors(rows, vocab, n_docs).join(rows.select("doc_id", "split"), "doc_id")
-    vectors = durable(vectors.withColumnRenamed("doc_id", "id"))
+    vectors = stored(vectors.withColumnRenamed("doc_id", "id"), "vectors")
     test, train = (vectors.filter(F.col("split") == s).drop("split") for s in ("test", "train"))
     return test, train
 
@@ -118,7 +118,7 @@ def top(spark: SparkSession, sf: str) -> DataFrame:
 def dense(spark: SparkSession, sf: str) -> DataFrame:
     vectors = read_table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
     split = stratified_split(vectors, *inputs.SHARES, seed=inputs.SEED, id_col="id").select("id", "embedding", "split")
-    split = durable(split)
+    split = stored(split, "split")
     test, train = (split.filter(F.col("split") == s).drop("split") for s in ("test", "train"))
     return _shown(similarity.nearest_dense_match(test, train))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import new_path
+
 
 @dataclass(frozen=True)
 class Query:
@@ -19,14 +20,8 @@ class Query:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder for written results: in the cluster's shared folder, or local in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is not None:
-        stamp = spark.sql("SELECT uuid()").first()[0]
-        return f"{shared}/verisift-{stamp}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="verisift-")
+    """A new folder for written results in the shared folder of the session."""
+    return new_path(spark, "written")
 
 
 def with_ctes(final: str, *ctes: tuple[str, str]) -> str:

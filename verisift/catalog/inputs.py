@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import style, text
 from ..operators.corpus import stratified_split
 from ..operators.features import fixed_score
-from ..session import durable, spread
+from ..session import stored
 from ..sources.tables import read_table, with_sequence
 
 # Documents by themselves hold no publisher marks, links or tags, so some sources get them.
@@ -52,11 +52,11 @@ SEED = 42
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read_table(spark, sf, "documents"))
+    return read_table(spark, sf, "documents")
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read_table(spark, sf, "pages"))
+    return read_table(spark, sf, "pages")
 
 
 def decorated(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,11 +85,12 @@ def labelled_variants(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled rows and three altered copies: respaced, punctuation only, and blank."""
     base = labelled(spark, sf).select("doc_id", "label", F.col("text").alias("raw_text"))
     respaced = base.select(
-        F.col("doc_id") + 1_000_000, "label", F.concat(F.replace("raw_text", F.lit(" "), F.lit("  ")), F.lit(" !!"))
+        F.col("doc_id") * 4 + 1, "label", F.concat(F.replace("raw_text", F.lit(" "), F.lit("  ")), F.lit(" !!"))
     )
-    marks = base.select(F.col("doc_id") + 2_000_000, "label", F.regexp_replace("raw_text", "[^!?.]", ""))
-    blank = base.select(F.col("doc_id") + 3_000_000, "label", F.lit(" \n "))
-    return with_sequence(base.union(respaced).union(marks).union(blank).toDF("doc_id", "label", "raw_text"))
+    marks = base.select(F.col("doc_id") * 4 + 2, "label", F.regexp_replace("raw_text", "[^!?.]", ""))
+    blank = base.select(F.col("doc_id") * 4 + 3, "label", F.lit(" \n "))
+    first = base.select(F.col("doc_id") * 4, "label", "raw_text")
+    return with_sequence(first.union(respaced).union(marks).union(blank).toDF("doc_id", "label", "raw_text"))
 
 
 def style_features(df: DataFrame) -> DataFrame:
@@ -107,7 +108,9 @@ def split_features(rows: DataFrame) -> DataFrame:
 
     The split reads its input three times, so the features are materialised without the text first.
     """
-    features = durable(style_features(rows).select("doc_id", "label", "lexical_density", "caps_ratio", "n_words"))
+    features = stored(
+        style_features(rows).select("doc_id", "label", "lexical_density", "caps_ratio", "n_words"), "features"
+    )
     return stratified_split(features, *SHARES, seed=SEED)
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..operators import audit, models
 from ..operators.corpus import class_counts
 from ..operators.features import apply_features, fit_features
-from ..operators.lookup import word_lookup
 from ..operators.metrics import binary_metrics, confusion_matrix
 from ..operators.similarity import similar_train_matches, similarity_thresholds
 from ..plans.audit_report import report_lines
@@ -28,10 +27,10 @@ LEMMAS = (("isis", "isi"), ("articles", "article"), ("women", "woman"), ("storie
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """The clean split corpus of all labelled documents, written and read back."""
-    find = word_lookup(demo_lexicon(spark), "word", ["polarity", "subjectivity"])
+    lexicon = demo_lexicon(spark)
     lemmas = spark.createDataFrame(list(LEMMAS), "token string, lemma string")
     rows = inputs.labelled(spark, sf).select("doc_id", "label", "seq", "raw_text")
-    built, _ = build_corpus(rows, lemmas, find, f"{scratch_dir(spark)}/corpus", *inputs.SHARES, seed=inputs.SEED)
+    built, _ = build_corpus(rows, lemmas, lexicon, f"{scratch_dir(spark)}/corpus", *inputs.SHARES, seed=inputs.SEED)
     return built
 
 

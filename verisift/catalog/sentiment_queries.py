@@ -1,46 +1,41 @@
-"""Lexicon sentiment, by join and in place."""
+"""Lexicon sentiment, as narrow results and as columns added to the rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import sentiment as se
-from ..operators.lookup import word_lookup
 from ..sources.demo import demo_lexicon
 from . import inputs
 from . import sqltext as q
 from .base import Query, with_ctes
 
 
-def _find(spark: SparkSession):
-    return word_lookup(demo_lexicon(spark), "word", ["polarity", "subjectivity"])
-
-
 def doc_sentiment(spark: SparkSession, sf: str) -> DataFrame:
-    return se.doc_sentiment_by_join(inputs.documents(spark, sf), "doc_id", "text", demo_lexicon(spark))
+    return se.doc_sentiment(inputs.documents(spark, sf), "doc_id", "text", demo_lexicon(spark))
 
 
 def article_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return se.article_scores_by_join(inputs.decorated(spark, sf), "doc_id", "text", demo_lexicon(spark))
+    return se.article_scores(inputs.decorated(spark, sf), "doc_id", "text", demo_lexicon(spark))
 
 
 def article_scores_in_row(spark: SparkSession, sf: str) -> DataFrame:
     docs = inputs.decorated(spark, sf).select("doc_id", "text")
-    return se.with_article_scores(docs, "text", _find(spark)).drop("text")
+    return se.with_style_and_tone(docs, "doc_id", "text", demo_lexicon(spark)).select("doc_id", *se.SCORES)
 
 
 def subjectivity_variance(spark: SparkSession, sf: str) -> DataFrame:
     docs = inputs.documents(spark, sf)
-    return se.article_scores_by_join(docs, "doc_id", "text", demo_lexicon(spark)).select("doc_id", "sub_variance")
+    return se.article_scores(docs, "doc_id", "text", demo_lexicon(spark)).select("doc_id", "sub_variance")
 
 
 def sentiment_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return se.sentiment_profile_by_join(inputs.decorated(spark, sf), "doc_id", "text", demo_lexicon(spark))
+    return se.sentiment_profile(inputs.decorated(spark, sf), "doc_id", "text", demo_lexicon(spark))
 
 
 def sentiment_profile_in_row(spark: SparkSession, sf: str) -> DataFrame:
     docs = inputs.decorated(spark, sf).select("doc_id", "text")
-    return se.with_sentiment_profile(docs, "text", _find(spark)).drop("text")
+    return se.with_style_and_tone(docs, "doc_id", "text", demo_lexicon(spark)).select("doc_id", *se.PROFILE)
 
 
 def doc_hits(source: str) -> tuple[str, str]:

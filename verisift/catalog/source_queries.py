@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import WS
 from ..operators.corpus import class_counts, majority_baseline
 from ..operators.metrics import binary_metrics
+from ..session import stored
 from ..sources import artifacts, html, reports
 from ..sources.tables import read_articles_csv, read_labelled_sources, read_table, require_columns, source_counts
 from . import inputs
@@ -39,20 +40,19 @@ def csv_sources(spark: SparkSession, sf: str) -> DataFrame:
         part = rows.filter(F.col("label") == label).drop("label")
         part.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
         parts.append(read_articles_csv(spark, path))
-    stacked = read_labelled_sources(*parts)
-    return stacked.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("raw_text")).alias("n_chars")
+    stacked = stored(read_labelled_sources(*parts), "csv-sources")
+    # Over both sources: as many ids as rows.
+    ids = stacked.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n_ids"))
+    counts = stacked.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("raw_text")).cast("long").alias("n_chars")
     )
+    return counts.crossJoin(ids)
 
 
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
     return html.with_main_text(inputs.pages(spark, sf)).select("page_id", "main_text")
 
 
-def page_text_nested(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.pages(spark, sf).select("page_id", html.main_text_nested(F.col("html")).alias("main_text"))
-
-
 def text_gate(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.documents(spark, sf).select("doc_id", html.usable_status(F.col("text")).alias("status"))
 
@@ -66,9 +66,9 @@ def metrics_csv(spark: SparkSession, sf: str) -> DataFrame:
 def saved_splits(spark: SparkSession, sf: str) -> DataFrame:
     """Splits written once, reused by the second call, and read back one folder at a time."""
     path = f"{scratch_dir(spark)}/splits"
-    assert artifacts.load_table(spark, path) is None
-    artifacts.save_splits(inputs.split_texts(spark, sf).select("doc_id", "label", "split"), path)
-    saved, reused = artifacts.reuse_or_build(spark, path, lambda: None)
+    rows = inputs.split_texts(spark, sf).select("doc_id", "label", "split")
+    artifacts.reuse_or_build(spark, path, lambda: rows)
+    saved, reused = artifacts.reuse_or_build(spark, path, lambda: rows)
     return class_counts(saved).withColumn("reused", F.lit(reused))
 
 
@@ -101,11 +101,12 @@ def checked_columns(spark: SparkSession, sf: str) -> DataFrame:
 def _main_text_parts() -> tuple[tuple, str]:
     """CTEs ending in ``blocks`` and the main text as an expression over it."""
     x = q.replace("html", "(?s)<!--.*?-->")
-    for tag in html.NOISE_TAGS:
+    for tag in "script style nav footer header aside form iframe button".split():
         x = q.replace(x, rf"(?is)<{tag}(?:[{WS}][^>]*)?>.*?</{tag}[{WS}]*>")
     main = rf"regexp_extract(x, '(?is)<article(?:[{WS}][^>]*)?>(.*?)(?:</article[{WS}]*>|$)', 1)"
     decoded = "r"
-    for entity, char in html.ENTITIES.items():
+    references = ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0")
+    for entity, char in (*references, ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         decoded = "replace({}, '{}', '{}')".format(decoded, entity, char.replace("'", "''"))
     shown = q.strip(decoded)
 
@@ -131,6 +132,16 @@ MAIN_TEXT_CTES, MAIN_TEXT_VALUE = _main_text_parts()
 _FULL_TEXT = q.strip("coalesce(title, '') || ' ' || coalesce(text, '')")
 _SPLIT_COUNTS = (q.LABELLED_CTE, *q.split_ctes("labelled"))
 
+_REPORT_SQL = with_ctes(
+            """SELECT line_no, line FROM (
+ SELECT CASE split WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END AS line_no,
+  split || ' rows: ' || count(*) AS line FROM splits GROUP BY split
+ UNION ALL SELECT 4, 'majority class: ' || m || ', accuracy ' || printf('%.4f', round(
+  (SELECT count(*) FILTER (label = m)::DOUBLE / count(*) FROM splits WHERE split = 'test'), 4))
+  FROM (SELECT label AS m FROM splits WHERE split = 'train' GROUP BY label ORDER BY count(*) DESC, label LIMIT 1))""",
+            *_SPLIT_COUNTS,
+        )
+
 QUERIES = [
     Query(
         "read_labelled_sources",
@@ -141,9 +152,16 @@ QUERIES = [
         ),
     ),
     Query("source_counts", counted_sources, "SELECT quality AS label, count(*) AS n_rows FROM labels GROUP BY 1"),
-    Query("read_articles_csv", csv_sources),
+    Query(
+        "read_articles_csv",
+        csv_sources,
+        with_ctes(
+            f"""SELECT label, count(*) AS n_rows, CAST(sum(length({_FULL_TEXT})) AS BIGINT) AS n_chars,
+ (SELECT count(*) FROM labelled) AS n_ids FROM labelled GROUP BY label""",
+            q.LABELLED_CTE,
+        ),
+    ),
     Query("html_main_text", page_text, with_ctes(f"SELECT page_id, {MAIN_TEXT_VALUE} AS main_text FROM blocks", *MAIN_TEXT_CTES)),
-    Query("html_main_text_nested", page_text_nested),
     Query(
         "usable_text_gate",
         text_gate,
@@ -166,19 +184,7 @@ QUERIES = [
             "SELECT split, label, count(*) AS n_rows, true AS reused FROM splits GROUP BY split, label", *_SPLIT_COUNTS
         ),
     ),
-    Query(
-        "write_report",
-        report_lines,
-        with_ctes(
-            """SELECT line_no, line FROM (
- SELECT CASE split WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END AS line_no,
-  split || ' rows: ' || count(*) AS line FROM splits GROUP BY split
- UNION ALL SELECT 4, 'majority class: ' || m || ', accuracy ' || printf('%.4f', round(
-  (SELECT count(*) FILTER (label = m)::DOUBLE / count(*) FROM splits WHERE split = 'test'), 4))
-  FROM (SELECT label AS m FROM splits WHERE split = 'train' GROUP BY label ORDER BY count(*) DESC, label LIMIT 1))""",
-            *_SPLIT_COUNTS,
-        ),
-    ),
-    Query("write_report_round_trip", written_report),
+    Query("write_report", report_lines, _REPORT_SQL),
+    Query("write_report_round_trip", written_report, f"SELECT line FROM ({_REPORT_SQL})"),
     Query("require_columns", checked_columns, "SELECT quality, count(*) AS n_rows FROM labels GROUP BY quality"),
 ]

@@ -138,10 +138,10 @@ VARIANT_CTES = (
     LABELLED_CTE,
     (
         "variants",
-        """SELECT doc_id, label, text AS raw_text FROM labelled
- UNION ALL SELECT doc_id + 1000000, label, replace(text, ' ', '  ') || ' !!' FROM labelled
- UNION ALL SELECT doc_id + 2000000, label, regexp_replace(text, '[^!?.]', '', 'g') FROM labelled
- UNION ALL SELECT doc_id + 3000000, label, ' ' || chr(10) || ' ' FROM labelled""",
+        """SELECT doc_id * 4 AS doc_id, label, text AS raw_text FROM labelled
+ UNION ALL SELECT doc_id * 4 + 1, label, replace(text, ' ', '  ') || ' !!' FROM labelled
+ UNION ALL SELECT doc_id * 4 + 2, label, regexp_replace(text, '[^!?.]', '', 'g') FROM labelled
+ UNION ALL SELECT doc_id * 4 + 3, label, ' ' || chr(10) || ' ' FROM labelled""",
     ),
 )
 

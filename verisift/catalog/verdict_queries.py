@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tools, verdict
-from ..operators.lookup import word_lookup
 from ..operators.reputation import with_credibility
-from ..operators.sentiment import article_scores_by_join, sentiment_profile_by_join
+from ..operators.sentiment import article_scores, sentiment_profile
 from ..plans.score_articles import fixed_scorer, score_articles
 from ..sources.demo import demo_lexicon
 from ..sources.tables import read_table
@@ -238,8 +237,8 @@ def tool_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def tool_texts(spark: SparkSession, sf: str) -> DataFrame:
     docs, lexicon = inputs.decorated(spark, sf), demo_lexicon(spark)
-    features = article_scores_by_join(docs, "doc_id", "text", lexicon)
-    tone = sentiment_profile_by_join(docs, "doc_id", "text", lexicon)
+    features = article_scores(docs, "doc_id", "text", lexicon)
+    tone = sentiment_profile(docs, "doc_id", "text", lexicon)
     return features.select("doc_id", tools.features_text().alias("features_text")).join(
         tone.select("doc_id", tools.sentiment_text().alias("sentiment_text")), "doc_id"
     )
@@ -260,10 +259,10 @@ _JUDGE = "CASE WHEN raw_input LIKE '%an%' THEN 0.75 WHEN raw_input LIKE '%er%' T
 
 def arriving_articles(spark: SparkSession, sf: str) -> DataFrame:
     pages = inputs.pages(spark, sf).select(
-        F.col("page_id").alias("article_id"), F.lit("url").alias("input_type"), F.expr(inputs.DECORATED_URL).alias("raw_input"), "html"
+        (F.col("page_id") * 2).alias("article_id"), F.lit("url").alias("input_type"), F.expr(inputs.DECORATED_URL).alias("raw_input"), "html"
     )
     texts = inputs.decorated(spark, sf).select(
-        (F.col("doc_id") + 1_000_000).alias("article_id"),
+        (F.col("doc_id") * 2 + 1).alias("article_id"),
         F.lit("text").alias("input_type"),
         F.col("text").alias("raw_input"),
         F.lit(None).cast("string").alias("html"),
@@ -273,8 +272,7 @@ def arriving_articles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _score(spark: SparkSession, articles: DataFrame) -> DataFrame:
-    find = word_lookup(demo_lexicon(spark), "word", ["polarity", "subjectivity"])
-    return score_articles(articles, find, fixed_scorer(*_SCORER))
+    return score_articles(articles, demo_lexicon(spark), fixed_scorer(*_SCORER))
 
 
 _VERDICT_COLUMNS = (
@@ -301,10 +299,10 @@ def streamed_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """The same articles through a file stream; the result is what the stream wrote."""
     folder = scratch_dir(spark)
     columns = [f.name for f in ARRIVING.fields]
-    arriving_articles(spark, sf).select(*columns).repartition(4).write.parquet(f"{folder}/in")
-    find = word_lookup(demo_lexicon(spark), "word", ["polarity", "subjectivity"])
+    arriving_articles(spark, sf).select(*columns).write.parquet(f"{folder}/in")
     stream = read_article_stream(spark, f"{folder}/in", files_per_trigger=2)
-    start_scoring(stream, find, fixed_scorer(*_SCORER), f"{folder}/out", f"{folder}/offsets").awaitTermination()
+    lexicon = demo_lexicon(spark)
+    start_scoring(stream, lexicon, fixed_scorer(*_SCORER), f"{folder}/out", f"{folder}/offsets").awaitTermination()
     out = spark.read.parquet(f"{folder}/out")
     return out.select(*_VERDICT_COLUMNS, F.round("final_score", 6).alias("final_score"))
 
@@ -321,9 +319,9 @@ def _verdict_sql() -> str:
         REPUTATION_CTE,
         (
             "articles",
-            f"""SELECT p.page_id AS doc_id, 'url' AS input_type, {inputs.DECORATED_URL} AS raw_input, main_text AS text
+            f"""SELECT p.page_id * 2 AS doc_id, 'url' AS input_type, {inputs.DECORATED_URL} AS raw_input, main_text AS text
  FROM pages p JOIN (SELECT page_id, {MAIN_TEXT_VALUE} AS main_text FROM blocks) m ON p.page_id = m.page_id
- UNION ALL SELECT doc_id + 1000000, 'text', text, coalesce(text, '') FROM deco""",
+ UNION ALL SELECT doc_id * 2 + 1, 'text', text, coalesce(text, '') FROM deco""",
         ),
         sentiment_queries.doc_hits("articles"),
         *sentiment_queries.sentence_ctes("articles"),
@@ -510,5 +508,5 @@ QUERIES = [
     ),
     Query("credibility_text", credibility_texts, _credibility_text_sql()),
     Query("score_articles", verdicts, _verdict_sql()),
-    Query("stream_score_articles", streamed_verdicts),
+    Query("stream_score_articles", streamed_verdicts, _verdict_sql()),
 ]

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD, words
-from ..session import broadcast_if_small
-from .similarity import _all_blocks
+from ..session import stored
+from .similarity import SIMILARITY_DIGITS
 from .vocabulary import idf
 
 # Query length, number of related articles, and summary texts.
@@ -37,38 +37,21 @@ def related_articles(
     """``(query_id, doc_id, relevancy, place)``: the ``page_size`` corpus rows with the highest summed
     IDF of shared terms, ties by id.
 
-    ``queries`` is ``(query_id, query)``, ``corpus`` is ``(doc_id, text)``. Only terms that occur in a
-    query are kept of the corpus; rows meet in tiles and each tile returns its best few per query.
+    ``queries`` is ``(query_id, query)``, ``corpus`` is ``(doc_id, text)``. The corpus is tokenised once, and only
+    (row, term) pairs of terms that a query has are kept. They meet the queries by term; sums are over the pairs that
+    share a term, and the window keeps a page per query before its shuffle.
     """
     asked = queries.select("query_id", F.explode(distinct_terms(F.col("query"))).alias("term"))
     wanted = asked.select("term").distinct()
-    present = corpus.select("doc_id", F.explode(distinct_terms(F.col("text"))).alias("term")).join(
-        broadcast_if_small(wanted), "term", "left_semi"
-    )
+    present = corpus.select("doc_id", F.explode(distinct_terms(F.col("text"))).alias("term"))
+    present = stored(present.join(wanted, "term", "left_semi"), "present")
     weights = present.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = weights.select("term", idf(F.col("df"), n_docs).alias("w"))
-    left = (
-        asked.join(weights, "term")
-        .groupBy(F.col("query_id").alias("id"))
-        .agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("weights"))
-    )
-    right = (
-        present.groupBy(F.col("doc_id").alias("id"))
-        .agg(F.collect_list("term").alias("terms"))
-        .withColumn("weights", F.transform("terms", lambda t: F.lit(1.0)))
-    )
-    found = _all_blocks(left, right, page_size, floor=0.0)
-    place = F.row_number().over(W.partitionBy("test_id").orderBy(F.desc("similarity"), "train_id"))
-    return (
-        found.withColumn("place", place.cast("long"))
-        .filter(F.col("place") <= page_size)
-        .select(
-            F.col("test_id").alias("query_id"),
-            F.col("train_id").alias("doc_id"),
-            F.col("similarity").alias("relevancy"),
-            "place",
-        )
-    )
+    weighted = asked.join(weights.select("term", idf(F.col("df"), n_docs).alias("w")), "term")
+    scored = weighted.join(present, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("sum"))
+    scored = scored.select("query_id", "doc_id", F.round("sum", SIMILARITY_DIGITS).alias("relevancy"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("relevancy"), "doc_id"))
+    found = scored.withColumn("place", place).filter(F.col("place") <= page_size)
+    return found.select("query_id", "doc_id", "relevancy", F.col("place").cast("long").alias("place"))
 
 
 def cross_reference(queries: DataFrame, related: DataFrame, sources: DataFrame) -> DataFrame:

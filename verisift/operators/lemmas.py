@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_ml, ml_tokens
-from ..session import broadcast_if_small
-from .lookup import fits_constant, word_mapping
+from ..functions.text import ml_tokens
 
 # Noun endings and what replaces them, in the order they are tried.
 NOUN_SUFFIXES = (
@@ -39,7 +37,7 @@ def build_lemma_table(vocabulary: DataFrame, nouns: DataFrame, exceptions: DataF
     """
     forms = vocabulary.select("token").distinct().select("token", F.explode(lemma_candidates(F.col("token"))).alias("f"))
     forms = forms.select("token", "f.place", "f.form").join(
-        broadcast_if_small(nouns.select(F.col("word").alias("form")).distinct()), "form"
+        nouns.select(F.col("word").alias("form")).distinct(), "form"
     )
     if exceptions is not None:
         special = exceptions.select("token", F.lit(0).alias("place"), F.col("lemma").alias("form"))
@@ -52,13 +50,14 @@ def build_lemma_table(vocabulary: DataFrame, nouns: DataFrame, exceptions: DataF
 
 
 def with_clean_ml(df: DataFrame, lemmas: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
-    """Add ``text_ml``. Small lemma tables become a constant; larger ones are joined per distinct token."""
-    if fits_constant(lemmas):
-        return df.withColumn("text_ml", clean_ml(F.col(text_col), word_mapping(lemmas, "token", "lemma")))
+    """Add ``text_ml``: distinct tokens are joined with the lemmas, and those that change go back to their row.
+
+    ``lemmas`` has one row per token, ids are unique.
+    """
     tokenized = df.withColumn("_tokens", ml_tokens(F.col(text_col)))
     changed = (
         tokenized.select(id_col, F.explode(F.array_distinct("_tokens")).alias("token"))
-        .join(broadcast_if_small(lemmas), "token")
+        .join(lemmas, "token")
         .groupBy(id_col)
         .agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_lemmas"))
     )

@@ -26,6 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..sources.artifacts import load_model, save_model
 from .corpus import split_key
@@ -38,7 +39,7 @@ CANDIDATES = ("logistic_regression", "svm", "random_forest", "neural_network")
 # Model and search settings.
 C = 1.0
 LR_ITERATIONS = 1000
-TOLERANCE = 1e-3  # relative change of the objective at which a linear fit stops
+TOLERANCE = 1e-4  # relative change of the objective at which a linear fit stops; the usual default for these models
 SVM_ITERATIONS = 1000
 SVM_FOLDS = 3
 TREES, MAX_TREE_DEPTH = 300, 30  # 30 is the deepest tree Spark grows
@@ -48,9 +49,6 @@ GRID_TREES, GRID_DEPTH, GRID_LEAF = (200, 300), (MAX_TREE_DEPTH, 20), (1, 2)
 GRID_LAYERS = ((128,), (64, 128))
 CV_FOLDS = 3
 
-ROWS_PER_TASK = 2_000
-
-
 def _regularization(c: float, n_rows: int) -> float:
     """Spark divides the loss by the row count, so strength C becomes ``1 / (C * n)``."""
     return 1.0 / (c * max(n_rows, 1))
@@ -86,9 +84,19 @@ def neural_network(
 
 
 def with_fold(df: DataFrame, folds: int, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
-    """A seeded hash of the id gives each row a fold, evenly within every label."""
-    number = F.conv(F.substring(split_key(F.col(id_col), seed), 1, 8), 16, 10).cast("long")
-    return df.withColumn("fold", F.pmod(number, F.lit(folds)).cast("int"))
+    """Folds whose sizes differ by one row at most within every label: rows in the order of a seeded hash take turns.
+
+    The order is that of hash ranges: rows are counted per label and range, and ranked within their range only.
+    """
+    key = split_key(F.col(id_col), seed)
+    ranged = df.withColumn("_range", F.conv(F.substring(key, 1, 3), 16, 10).cast("int")).withColumn("_key", key)
+    before = W.partitionBy("label").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = ranged.groupBy("label", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select("label", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(W.partitionBy("label", "_range").orderBy("_key", id_col))
+    placed = ranged.withColumn("_within", within).join(counts, ["label", "_range"])
+    fold = F.pmod(F.col("_before") + F.col("_within") - 1, F.lit(folds)).cast("int")
+    return placed.withColumn("fold", fold).select(*df.columns, "fold")
 
 
 def _calibration_rows(df: DataFrame, margin: str) -> DataFrame:
@@ -103,12 +111,14 @@ def _calibration_rows(df: DataFrame, margin: str) -> DataFrame:
 
 
 def fit_calibrated_svm(
-    train: DataFrame, n_rows: int, seed: int = 42, c: float = C, id_col: str = "doc_id"
+    train: DataFrame, seed: int = 42, c: float = C, id_col: str = "doc_id"
 ) -> PipelineModel:
-    folded = with_fold(train, SVM_FOLDS, seed, id_col)
+    """Mean of the calibrated probabilities of one SVM per fold; strength ``c`` refers to the rows each one sees."""
+    folded = with_fold(train, SVM_FOLDS, seed, id_col).hint("rebalance").persist()
+    sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
 
     def fold_stages(k: int) -> list:
-        svc = linear_svm(n_rows, c).setRawPredictionCol(f"raw_{k}").setPredictionCol(f"svc_{k}")
+        svc = linear_svm(sum(n for fold, n in sizes.items() if fold != k), c).setRawPredictionCol(f"raw_{k}").setPredictionCol(f"svc_{k}")
         fitted = svc.fit(folded.filter(F.col("fold") != k))
         margin = VectorSlicer(inputCol=f"raw_{k}", outputCol=f"margin_{k}", indices=[1])
         held = margin.transform(fitted.transform(folded.filter(F.col("fold") == k)))
@@ -123,8 +133,11 @@ def fit_calibrated_svm(
         return [fitted, margin, sigmoid]
 
     # The folds are independent jobs over the same kept table, so they share the cluster.
-    with ThreadPool(SVM_FOLDS) as pool:
-        return PipelineModel([stage for stages in pool.map(fold_stages, range(SVM_FOLDS)) for stage in stages])
+    try:
+        with ThreadPool(SVM_FOLDS) as pool:
+            return PipelineModel([stage for stages in pool.map(fold_stages, range(SVM_FOLDS)) for stage in stages])
+    finally:
+        folded.unpersist()
 
 
 def p_real(name: str) -> Column:
@@ -138,7 +151,7 @@ def p_real(name: str) -> Column:
 def fit_candidate(name: str, train: DataFrame, n_features: int, seed: int = 42, id_col: str = "doc_id", **params) -> PipelineModel:
     n_rows = train.count()
     if name == "svm":
-        return fit_calibrated_svm(train, n_rows, seed, params.get("c", C), id_col)
+        return fit_calibrated_svm(train, seed, params.get("c", C), id_col)
     if name == "logistic_regression":
         estimator = logistic_regression(n_rows, **params)
     elif name == "random_forest":
@@ -209,12 +222,8 @@ def fit_candidates(
     train = _split(corpus, "train")
     kwargs = {} if numeric is None else {"numeric": numeric}
     features, feature_names = fit_features(train, text_col, **kwargs)
-    # Every solver step is a job with one task per partition, so tiny tables get few partitions.
-    parts = max(1, corpus.count() // ROWS_PER_TASK)
-    table = apply_features(features, corpus, ["doc_id", "label", "split"])
-    if parts < table.sparkSession.sparkContext.defaultParallelism:
-        table = table.coalesce(parts)
-    table = table.persist()
+    # Every solver step is a job with one task per partition: these are sized by bytes, whatever the corpus had.
+    table = apply_features(features, corpus, ["doc_id", "label", "split"]).hint("rebalance").persist()
     try:
         fit_on = _split(table, "train")
         tuning: dict[str, tuple[str, float]] = {}
@@ -264,7 +273,8 @@ def tune_candidate(
     name: str, train: DataFrame, n_features: int, seed: int = 42, folds: int = CV_FOLDS, parallelism: int = 4
 ) -> tuple[PipelineModel, str, float]:
     """Best model by mean F1 of the positive class over the folds, its settings and that score."""
-    n_rows = train.count()
+    # Each fit of the search sees all folds but one.
+    n_rows = round(train.count() * (folds - 1) / folds)
     estimator, grid = _grid(name, n_rows, n_features, seed)
     judge = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
     search = CrossValidator(
@@ -275,12 +285,15 @@ def tune_candidate(
         foldCol="fold",
         parallelism=parallelism,
         seed=seed,
-    ).fit(with_fold(train, folds, seed))
+    ).fit(with_fold(train, folds, seed).hint("rebalance"))
     scores = list(search.avgMetrics)
     at = max(range(len(scores)), key=lambda i: (scores[i], -i))
     text, params = _describe(name, grid[at], n_rows)
     if name == "svm":
-        model = fit_calibrated_svm(train, n_rows, seed, params["c"])
+        model = fit_calibrated_svm(train, seed, params["c"])
+    elif name == "logistic_regression":
+        # The strength refers to the rows of a fit, and this one sees them all.
+        model = PipelineModel([logistic_regression(train.count(), params["c"]).fit(train)])
     else:
         model = PipelineModel([search.bestModel])
     return model, text, round(float(scores[at]), 4)

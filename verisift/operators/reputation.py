@@ -6,17 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import credibility as cr
-from ..session import broadcast_if_small
 
 
 def with_credibility(df: DataFrame, url_col: str, reputation: DataFrame | None = None) -> DataFrame:
     """Add domain, score, tier, known flag and warning; an unknown domain keeps the neutral score.
 
-    The built-in list has a fixed size and is broadcast; a caller's own table is counted first.
+    Without a table of the caller's own, the built-in list is used. Spark chooses the join from the table's size.
     """
-    table = (
-        F.broadcast(cr.reputation_table(df.sparkSession)) if reputation is None else broadcast_if_small(reputation)
-    )
+    table = cr.reputation_table(df.sparkSession) if reputation is None else reputation
     found = df.withColumn("domain", cr.extract_domain(F.col(url_col))).join(table, "domain", "left")
     return (
         found.withColumn("is_known_source", F.col("score").isNotNull())

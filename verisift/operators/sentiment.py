@@ -1,174 +1,115 @@
 """Lexicon sentiment of documents and sentences.
 
-The lexicon is an input table ``(word, polarity, subjectivity)``. A document's value is the mean
-over its listed words, zero without any. Two ways lead to the same numbers: ``*_by_join`` explodes,
-joins and aggregates (any lexicon size); the column functions look words up in place (lexicons that
-fit a constant; no shuffle, usable on streams).
+The lexicon is an input table ``(word, polarity, subjectivity)`` of any size. A document's value is the mean over its
+listed words, zero without any. Words are exploded, joined and summed up per sentence or document; Spark chooses the
+join from the lexicon's size, and on the map side the sums shrink to one row per sentence before anything is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import style
 from ..functions.text import WORD
-from ..session import broadcast_if_small
 
-POLARITY, SUBJECTIVITY = 0, 1
+SCORES = ("sub_variance", "mean_subjectivity", "lexical_density", "caps_ratio", "has_dateline")
+PROFILE = (
+    "overall_polarity",
+    "overall_subjectivity",
+    "sentence_count",
+    "exclamation_ratio",
+    "caps_word_ratio",
+    "tone_score",
+    "emotional_tone",
+)
 
 
 def lexicon_words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"([{WORD}]+)"), 1)
 
 
-def _averages(c: Column, find: Callable[[Column], Column]) -> Column:
-    """``(polarity, subjectivity)`` of one text in a single pass over its words."""
-
-    def add(acc: Column, hit: Column) -> Column:
-        return F.struct(
-            (acc["p"] + F.coalesce(hit[POLARITY], F.lit(0.0))).alias("p"),
-            (acc["s"] + F.coalesce(hit[SUBJECTIVITY], F.lit(0.0))).alias("s"),
-            (acc["n"] + F.when(hit.isNull(), 0).otherwise(1)).alias("n"),
-        )
-
-    def finish(acc: Column) -> Column:
-        n = F.greatest(acc["n"], F.lit(1))
-        return F.struct((acc["p"] / n).alias("polarity"), (acc["s"] / n).alias("subjectivity"))
-
-    start = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("s"), F.lit(0).alias("n"))
-    return F.aggregate(F.transform(lexicon_words(c), find), start, add, finish)
-
-
-def _sample_variance(values: Column) -> Column:
-    """One pass over values between 0 and 1; 0 for fewer than two of them."""
-
-    def add(acc: Column, v: Column) -> Column:
-        return F.struct((acc["s"] + v).alias("s"), (acc["q"] + v * v).alias("q"), (acc["n"] + 1.0).alias("n"))
-
-    def finish(acc: Column) -> Column:
-        spread = F.greatest(acc["q"] - acc["s"] * acc["s"] / F.greatest(acc["n"], F.lit(1.0)), F.lit(0.0))
-        return F.when(acc["n"] > 1.0, spread / (acc["n"] - 1.0)).otherwise(F.lit(0.0))
-
-    zero = F.lit(0.0)
-    return F.aggregate(values, F.struct(zero.alias("s"), zero.alias("q"), zero.alias("n")), add, finish)
-
-
-def with_article_scores(df: DataFrame, text_col: str, find: Callable[[Column], Column]) -> DataFrame:
-    """Add the five style features of one text without leaving its row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    staged = df.withColumn("_avg", _averages(text, find)).withColumn(
-        "_subj", F.transform(style.sentences(text), lambda s: _averages(s, find)["subjectivity"])
-    )
-    return (
-        staged.withColumn("sub_variance", F.round(_sample_variance(F.col("_subj")), 4))
-        .withColumn("mean_subjectivity", F.round("_avg.subjectivity", 4))
-        .withColumn("lexical_density", F.round(style.lexical_density(text), 4))
-        .withColumn("caps_ratio", F.round(style.caps_ratio(text), 4))
-        .withColumn("has_dateline", style.has_dateline(text))
-        .drop("_avg", "_subj")
-    )
-
-
-def with_sentiment_profile(df: DataFrame, text_col: str, find: Callable[[Column], Column]) -> DataFrame:
-    """Add the seven tone fields of one text without leaving its row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    staged = (
-        df.withColumn("_avg", _averages(text, find))
-        .withColumn("_sents", style.sentences(text))
-        .withColumn("_subj", F.col("_avg.subjectivity"))
-        .withColumn("_excl", style.exclamation_ratio(F.col("_sents")))
-        .withColumn("_caps", style.caps_word_ratio(text))
-    )
-    return _profile(staged, F.col("_avg.polarity"), F.size("_sents")).drop("_avg", "_sents")
-
+def doc_sentiment(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+    """``(id, polarity, subjectivity)`` with one aggregation.
 
-def _profile(df: DataFrame, polarity: Column, n_sentences: Column) -> DataFrame:
+    Words that miss the lexicon still carry their id, so no document is lost.
+    """
+    words = df.select(id_col, F.explode_outer(lexicon_words(F.col(text_col))).alias("word"))
     return (
-        df.withColumn("overall_polarity", F.round(polarity, 4))
-        .withColumn("overall_subjectivity", F.round("_subj", 4))
-        .withColumn("sentence_count", n_sentences.cast("long"))
-        .withColumn("exclamation_ratio", F.round("_excl", 4))
-        .withColumn("caps_word_ratio", F.round("_caps", 4))
-        .withColumn("tone_score", style.tone_score(F.col("_subj"), F.col("_excl"), F.col("_caps")))
-        .withColumn("emotional_tone", style.tone_band(F.col("tone_score")))
-        .drop("_subj", "_excl", "_caps")
+        words.join(lexicon, "word", "left")
+        .groupBy(id_col)
+        .agg(
+            F.round(F.coalesce(F.avg("polarity"), F.lit(0.0)), 4).alias("polarity"),
+            F.round(F.coalesce(F.avg("subjectivity"), F.lit(0.0)), 4).alias("subjectivity"),
+        )
     )
 
 
-def doc_sentiment_by_join(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
-    """``(id, polarity, subjectivity)`` with one aggregation.
+def style_and_tone(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+    """``(id, SCORES, PROFILE)``: the five style features and seven tone fields from one pass over the words.
 
-    Words that miss the lexicon still carry their id, so no document is lost, and they are summed up
-    on the map side: the shuffle carries one row per document.
+    A sentence break is white space, so the words of a text are those of its sentences. Text stays behind: per-document
+    values are computed below the explodes, and only per-sentence sums are shuffled. Ids must be unique.
     """
-    listed = broadcast_if_small(lexicon)
-    hits = df.select(id_col, F.explode_outer(lexicon_words(F.col(text_col))).alias("word")).join(listed, "word", "left")
-    return hits.groupBy(id_col).agg(
-        F.round(F.coalesce(F.avg("polarity"), F.lit(0.0)), 4).alias("polarity"),
-        F.round(F.coalesce(F.avg("subjectivity"), F.lit(0.0)), 4).alias("subjectivity"),
-    )
-
-
-def article_scores_by_join(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
-    """The five style features; text stays behind, only per-sentence sums are shuffled."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # Per-document values are computed in their own projection, below the explodes.
     base = df.select(
         F.col(id_col),
-        style.lexical_density(text).alias("density"),
-        style.caps_ratio(text).alias("caps"),
-        style.has_dateline(text).alias("dateline"),
+        F.struct(
+            style.lexical_density(text).alias("density"),
+            style.caps_ratio(text).alias("caps"),
+            style.has_dateline(text).alias("dateline"),
+            style.exclamation_ratio(style.sentences(text)).alias("excl"),
+            style.caps_word_ratio(text).alias("caps_words"),
+            F.size(style.sentences(text)).cast("long").alias("n_sentences"),
+        ).alias("own"),
         F.transform(style.sentences(text), lexicon_words).alias("sentences"),
     )
-    per_doc = [id_col, "density", "caps", "dateline"]
-    words = base.select(*per_doc, F.posexplode_outer("sentences").alias("pos", "words")).select(
-        *per_doc, "pos", F.explode_outer("words").alias("word")
+    words = base.select(id_col, "own", F.posexplode_outer("sentences").alias("pos", "words")).select(
+        id_col, "own", "pos", F.explode_outer("words").alias("word")
     )
     sentence = (
-        words.join(broadcast_if_small(lexicon), "word", "left")
-        .groupBy(id_col, "pos")
+        words.join(lexicon, "word", "left")
+        .groupBy(id_col, "pos", "own")
         .agg(
-            F.max("density").alias("density"),
-            F.max("caps").alias("caps"),
-            F.max("dateline").alias("dateline"),
+            F.sum("polarity").alias("polarity"),
             F.sum("subjectivity").alias("subj"),
             F.count("subjectivity").alias("n"),
         )
     )
-    return sentence.groupBy(id_col).agg(
-        F.round(F.coalesce(F.var_samp(F.coalesce(F.col("subj") / F.col("n"), F.lit(0.0))), F.lit(0.0)), 4).alias(
-            "sub_variance"
-        ),
-        F.round(F.coalesce(F.sum("subj") / F.sum("n"), F.lit(0.0)), 4).alias("mean_subjectivity"),
-        F.round(F.max("density"), 4).alias("lexical_density"),
-        F.round(F.max("caps"), 4).alias("caps_ratio"),
-        F.max("dateline").alias("has_dateline"),
+    zero = F.lit(0.0)
+    doc = sentence.groupBy(id_col, "own").agg(
+        F.coalesce(F.var_samp(F.coalesce(F.col("subj") / F.col("n"), zero)), zero).alias("variance"),
+        F.coalesce(F.sum("subj") / F.sum("n"), zero).alias("subj"),
+        F.coalesce(F.sum("polarity") / F.sum("n"), zero).alias("polarity"),
     )
-
-
-def sentiment_profile_by_join(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
-    """The seven tone fields with one aggregation per document."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = df.select(
+    tone = style.tone_score(F.col("subj"), F.col("own.excl"), F.col("own.caps_words"))
+    return doc.select(
         id_col,
-        style.exclamation_ratio(style.sentences(text)).alias("_excl"),
-        style.caps_word_ratio(text).alias("_caps"),
-        F.size(style.sentences(text)).alias("_n"),
-        lexicon_words(text).alias("words"),
-    )
-    words = base.select(id_col, "_excl", "_caps", "_n", F.explode_outer("words").alias("word"))
-    doc = (
-        words.join(broadcast_if_small(lexicon), "word", "left")
-        .groupBy(id_col)
-        .agg(
-            F.max("_excl").alias("_excl"),
-            F.max("_caps").alias("_caps"),
-            F.max("_n").alias("_n"),
-            F.coalesce(F.avg("polarity"), F.lit(0.0)).alias("_pol"),
-            F.coalesce(F.avg("subjectivity"), F.lit(0.0)).alias("_subj"),
-        )
+        F.round("variance", 4).alias("sub_variance"),
+        F.round("subj", 4).alias("mean_subjectivity"),
+        F.round("own.density", 4).alias("lexical_density"),
+        F.round("own.caps", 4).alias("caps_ratio"),
+        F.col("own.dateline").alias("has_dateline"),
+        F.round("polarity", 4).alias("overall_polarity"),
+        F.round("subj", 4).alias("overall_subjectivity"),
+        F.col("own.n_sentences").alias("sentence_count"),
+        F.round("own.excl", 4).alias("exclamation_ratio"),
+        F.round("own.caps_words", 4).alias("caps_word_ratio"),
+        tone.alias("tone_score"),
+        style.tone_band(tone).alias("emotional_tone"),
     )
-    return _profile(doc, F.col("_pol"), F.col("_n")).drop("_pol", "_n")
+
+
+def article_scores(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+    """``(id, SCORES)``."""
+    return style_and_tone(df, id_col, text_col, lexicon).select(id_col, *SCORES)
+
+
+def sentiment_profile(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+    """``(id, PROFILE)``."""
+    return style_and_tone(df, id_col, text_col, lexicon).select(id_col, *PROFILE)
+
+
+def with_style_and_tone(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+    """``df`` with all twelve columns."""
+    return df.join(style_and_tone(df, id_col, text_col, lexicon), id_col)

@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_light
 from ..operators.corpus import dedup_canonical, dedup_exact, stratified_split
 from ..operators.lemmas import with_clean_ml
-from ..operators.sentiment import with_article_scores
+from ..operators.sentiment import article_scores
 from ..sources.artifacts import load_table, save_splits
 
 
 def clean_corpus(
     labelled: DataFrame,
     lemmas: DataFrame,
-    find: Callable[[Column], Column],
+    lexicon: DataFrame,
     canonical: bool = True,
     normalize: bool = True,
 ) -> DataFrame:
@@ -27,13 +25,14 @@ def clean_corpus(
     """
     kept = dedup_canonical(labelled, normalize) if canonical else dedup_exact(labelled)
     kept = with_clean_ml(kept.withColumn("text_llm", clean_light(F.col("raw_text"))), lemmas)
-    return with_article_scores(kept, "raw_text", find).withColumn("has_dateline", F.col("has_dateline").cast("int"))
+    scored = kept.join(article_scores(kept, "doc_id", "raw_text", lexicon), "doc_id")
+    return scored.withColumn("has_dateline", F.col("has_dateline").cast("int"))
 
 
 def build_corpus(
     labelled: DataFrame,
     lemmas: DataFrame,
-    find: Callable[[Column], Column],
+    lexicon: DataFrame,
     path: str,
     train: float = 0.70,
     val: float = 0.10,
@@ -51,6 +50,6 @@ def build_corpus(
     if saved is not None:
         return saved, True
     staged = f"{path}_rows"
-    clean_corpus(labelled, lemmas, find, canonical).write.mode("overwrite").parquet(staged)
+    clean_corpus(labelled, lemmas, lexicon, canonical).write.mode("overwrite").parquet(staged)
     save_splits(stratified_split(spark.read.parquet(staged), train, val, test, seed), path)
     return spark.read.parquet(path), False

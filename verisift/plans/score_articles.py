@@ -1,17 +1,18 @@
-"""Articles in, verdicts out, as one plan without any per-article shuffle."""
+"""Articles in, verdicts out, as one plan."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_ml, word_count
 from ..operators import verdict
 from ..operators.features import fixed_score
+from ..operators.lemmas import with_clean_ml
 from ..operators.reputation import with_credibility
-from ..operators.sentiment import with_article_scores, with_sentiment_profile
+from ..operators.sentiment import with_style_and_tone
 from ..sources.html import usable_status, with_main_text
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -29,10 +30,10 @@ def fixed_scorer(intercept: float, coefficients: dict[str, float], name: str = "
     return score
 
 
-def ingest(articles: DataFrame, find: Callable[[Column], Column], lemma=None) -> DataFrame:
+def ingest(articles: DataFrame, lexicon: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
     """Article text from page or raw input, with text status, model text, features and tone.
 
-    ``articles`` has ``input_type`` (``url`` or ``text``), ``raw_input`` and, for URLs, ``html``.
+    ``articles`` has a unique ``article_id``, ``input_type`` (``url`` or ``text``), ``raw_input`` and, for URLs, ``html``.
     Rejected pages stay as rows with their status.
     """
     from_page = F.col("input_type") == "url"
@@ -42,25 +43,28 @@ def ingest(articles: DataFrame, find: Callable[[Column], Column], lemma=None) ->
     staged = staged.withColumn(
         "status", F.when(from_page, usable_status(F.col("article_text"))).otherwise(F.lit("ok"))
     )
-    staged = staged.withColumn("article_text_ml", clean_ml(F.col("article_text"), lemma))
+    if lemmas is None:
+        staged = staged.withColumn("article_text_ml", clean_ml(F.col("article_text")))
+    else:
+        staged = with_clean_ml(staged, lemmas, "article_id", "article_text")
+        staged = staged.withColumnRenamed("text_ml", "article_text_ml")
     staged = staged.withColumn("word_count", word_count(F.col("article_text_ml")))
-    staged = with_article_scores(staged, "article_text", find)
-    return with_sentiment_profile(staged, "article_text", find)
+    return with_style_and_tone(staged, "article_id", "article_text", lexicon)
 
 
 def score_articles(
     articles: DataFrame,
-    find: Callable[[Column], Column],
+    lexicon: DataFrame,
     scorer: Scorer,
     reputation: DataFrame | None = None,
-    lemma=None,
+    lemmas: DataFrame | None = None,
 ) -> DataFrame:
     """Ingest, score, look up the source, parse the reviewer's verdict and blend.
 
     Besides the columns of ``ingest``, ``articles`` has the reviewer's ``final_text`` and the judge's
-    ``judge_score``. Works on batch and streaming input alike.
+    ``judge_score``.
     """
-    scored = scorer(ingest(articles, find, lemma))
+    scored = scorer(ingest(articles, lexicon, lemmas))
     scored = with_credibility(
         scored.withColumn("_url", F.when(F.col("input_type") == "url", F.col("raw_input"))), "_url", reputation
     ).drop("_url")

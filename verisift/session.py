@@ -1,14 +1,10 @@
-"""Session helpers: settings, checked broadcasts and durable lineage cuts."""
+"""Session helpers: settings of local sessions and intermediate tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows of a lookup table (lexicon, lemmas, reputations) that may be shipped to every executor.
-MAX_BROADCAST_ROWS = 500_000
 
 
 def get_session(app: str = "verisift", cores: str = "*", **conf: str) -> SparkSession:
@@ -17,6 +13,7 @@ def get_session(app: str = "verisift", cores: str = "*", **conf: str) -> SparkSe
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.files.maxPartitionBytes", "2m")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -27,26 +24,23 @@ def get_session(app: str = "verisift", cores: str = "*", **conf: str) -> SparkSe
     return builder.getOrCreate()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting at most ``max_rows + 1`` rows; else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: the checkpoint folder, or else one in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/intermediate"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names in spark.checkpoint.dir."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="verisift-checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share out a table of fewer files than cores before row-wise work; larger tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as parquet and read again: it cuts the lineage, keeps columns apart and tells their size."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,22 +1,18 @@
-"""Main text of raw web pages.
+"""Main text of raw web pages, made of column expressions.
 
-``with_main_text`` is made of column expressions and treats a paragraph as the span up to the next
-paragraph tag. ``main_text_nested`` follows the tag nesting of an unrepaired parse, where an
-unclosed paragraph holds everything up to the end of its parent; that needs a stack, so it runs in
-an Arrow UDF.
+A page is cut before every tag. An element runs from its opening tag to the closing tag that brings the depth of its own
+tag name back to zero, or to the end of the page; a paragraph is the span up to the next paragraph tag.
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import json
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
-from ..functions.text import WHITESPACE, WS, strip
+from ..functions.text import WS, strip
 
 # Tags thrown away, places to look for the article body, and length limits.
 NOISE_TAGS = ["script", "style", "nav", "footer", "header", "aside", "form", "iframe", "button"]
@@ -34,57 +30,79 @@ MAIN_SELECTORS = [
 MIN_PARAGRAPH = 20
 MIN_USABLE = 80
 
-# Character entities resolved by the column version (ampersand last).
-ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&#39;": "'",
-    "&nbsp;": " ",
-    "&copy;": "©",
-    "&middot;": "·",
-    "&amp;": "&",
-}
-
 # Tags that never hold content.
-VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
+VOID_TAGS = "area base br col embed hr img input link meta source track wbr".split()
+
+#: Named character references of the public HTML standard, those that end with a semicolon.
+NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
 
 
-def _element(html: Column, tag: str, attribute: str = "") -> Column:
-    """Inside of the first ``tag`` element, up to its first closing tag or the end of the page."""
-    opening = rf"<{tag}(?:[{WS}][^>]*)?>" if not attribute else rf"<{tag}[{WS}][^>]*{attribute}[^>]*>"
-    return F.when(
-        html.rlike(rf"(?i){opening}"), F.regexp_extract(html, rf"(?is){opening}(.*?)(?:</{tag}[{WS}]*>|$)", 1)
+def _opening(selector: str) -> str:
+    """Pattern of the tag, at the start of a piece, that opens an element of the selector."""
+    if selector.isalpha():
+        return rf"(?i)^<{selector}(?:[{WS}/][^>]*)?>"
+    if selector.startswith("#"):
+        attribute = rf"""id=(?:["']{selector[1:]}["']|{selector[1:]}(?=[{WS}>]))"""
+    elif selector.startswith("."):
+        name = rf"""["'](?:[^"']*[{WS}])?{selector[1:]}(?:[{WS}][^"']*)?["']"""
+        attribute = rf"""class=(?:{name}|{selector[1:]}(?=[{WS}>]))"""
+    else:
+        attribute = r"""role=["']?main["']?"""
+    return rf"(?i)^<(?!(?:{'|'.join(VOID_TAGS)})[{WS}])[a-z][a-z0-9]*[{WS}](?:[^>]*[{WS}])?{attribute}[^>]*>"
+
+
+def _main_part(df: DataFrame, page: str, out: str) -> DataFrame:
+    """Add the inside of the main element: ``article``, the first selector that is found, or the body."""
+    df = df.withColumn("_pieces", F.split(page, "(?=<)"))
+    df = df.withColumn(
+        "_names", F.transform("_pieces", lambda p: F.lower(F.regexp_extract(p, r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1)))
     )
 
+    def first_place(selector: str) -> Column:
+        opening = _opening(selector)
+        return F.array_position(F.transform("_pieces", lambda p: p.rlike(opening)), True)
 
-def _selector_attribute(selector: str) -> str:
-    if selector.startswith("#"):
-        return rf"""id=["']?{selector[1:]}["'{WS}>]"""
-    if selector.startswith("."):
-        return rf"""class=["'](?:[^"']*[{WS}])?{selector[1:]}(?:[{WS}][^"']*)?["']"""
-    return r"""role=["']?main["']?"""
+    starts = [first_place(s) for s in ["article", *MAIN_SELECTORS, "body"]]
+    first = F.coalesce(*(F.when(at > 0, at) for at in starts)).cast("int")
+    df = df.withColumn("_first", first).withColumn("_tag", F.element_at("_names", F.coalesce("_first", F.lit(1))))
+
+    def close(state: Column, name: Column) -> Column:
+        step = F.when(name == F.col("_tag"), 1).when(name == F.concat(F.lit("/"), F.col("_tag")), -1).otherwise(0)
+        depth = state["depth"] + step
+        return F.when(state["depth"] == 0, state).otherwise(
+            F.struct(depth.alias("depth"), (state["n"] + F.when(depth > 0, 1).otherwise(0)).alias("n"))
+        )
+
+    rest = F.slice("_names", F.col("_first") + 1, F.size("_names"))
+    state = F.aggregate(rest, F.struct(F.lit(1).alias("depth"), F.lit(1).alias("n")), close)
+    inside = F.array_join(F.slice("_pieces", F.col("_first"), state["n"]), "")
+    main = F.when(F.col("_first").isNull(), "").otherwise(F.regexp_replace(inside, "^<[^>]*>", ""))
+    return df.withColumn(out, main).drop("_pieces", "_names", "_first", "_tag")
 
 
-def _main_part(html: Column) -> Column:
-    found = [_element(html, "article")]
-    for selector in MAIN_SELECTORS:
-        if selector == "main":
-            found.append(_element(html, "main"))
-        else:
-            found.extend(_element(html, tag, _selector_attribute(selector)) for tag in ("div", "section"))
-    return F.coalesce(*found, _element(html, "body"), F.lit(""))
+def decode_entities(c: Column) -> Column:
+    """Character references with a semicolon, named and numeric; anything else stays as it is."""
+    named = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
 
+    def resolve(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        code = F.when(name.rlike("^#[0-9]"), F.substring(name, 2, 9).cast("int")).when(
+            name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 9), 16, 10).cast("int")
+        )
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        text = F.when(name.startswith("#"), numeric).when(name != "", F.try_element_at(named, name))
+        rest = F.substring(piece, F.length(name) + 2, F.length(piece))
+        return F.when(text.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(text, rest))
 
-def _decoded(c: Column) -> Column:
-    for entity, char in ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    pieces = F.split(c, "&")
+    resolved = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), resolve)
+    return F.when(c.contains("&"), F.concat(pieces[0], F.array_join(resolved, ""))).otherwise(c)
 
 
 def _inner_text(fragment: Column) -> Column:
     """Text runs between tags, each stripped."""
-    return F.array_remove(F.transform(F.split(fragment, r"<[^>]*>"), lambda run: strip(_decoded(run))), "")
+    return F.array_remove(F.transform(F.split(fragment, r"<[^>]*>"), lambda run: strip(decode_entities(run))), "")
 
 
 def with_main_text(df: DataFrame, html_col: str = "html", out: str = "main_text") -> DataFrame:
@@ -101,93 +119,13 @@ def with_main_text(df: DataFrame, html_col: str = "html", out: str = "main_text"
         F.array_join(_inner_text(F.col("_main")), " ")
     )
     return (
-        df.withColumn("_clean", clean)
-        .withColumn("_main", _main_part(F.col("_clean")))
+        _main_part(df.withColumn("_clean", clean), "_clean", "_main")
         .withColumn("_kept", F.filter(paragraphs, lambda p: F.length(p) > MIN_PARAGRAPH))
         .withColumn(out, text)
         .drop("_clean", "_main", "_kept")
     )
 
 
-class _Node:
-    __slots__ = ("tag", "attrs", "parts")
-
-    def __init__(self, tag: str, attrs: dict):
-        self.tag, self.attrs, self.parts = tag, attrs, []
-
-    def walk(self):
-        for part in self.parts:
-            if isinstance(part, _Node):
-                yield part
-                yield from part.walk()
-
-    def texts(self):
-        for part in self.parts:
-            if isinstance(part, _Node):
-                yield from part.texts()
-            elif part.strip(WHITESPACE):
-                yield part.strip(WHITESPACE)
-
-
-class _PageTree(HTMLParser):
-    """Page tree without repairs: a closing tag closes back to its nearest open namesake."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = _Node("", {})
-        self.open = [self.root]
-
-    def handle_starttag(self, tag, attrs):
-        node = _Node(tag, {k: v or "" for k, v in attrs})
-        if tag not in NOISE_TAGS:
-            self.open[-1].parts.append(node)
-        if tag not in VOID_TAGS:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        at = max((i for i, node in enumerate(self.open) if node.tag == tag), default=0)
-        if at:
-            del self.open[at:]
-
-    def handle_data(self, data):
-        self.open[-1].parts.append(data)
-
-
-def _selected(node: _Node, selector: str) -> bool:
-    if selector.startswith("#"):
-        return node.attrs.get("id") == selector[1:]
-    if selector.startswith("."):
-        return selector[1:] in node.attrs.get("class", "").split()
-    return node.attrs.get("role") == "main" if selector.startswith("[") else node.tag == selector
-
-
-def nested_page_text(html: str) -> str:
-    """One page; the small per-row helper behind ``main_text_nested``."""
-    tree = _PageTree()
-    tree.feed(html)
-    tree.close()
-    nodes = list(tree.root.walk())
-    main = None
-    for selector in ["article", *MAIN_SELECTORS, "body"]:
-        main = next((n for n in nodes if _selected(n, selector)), None)
-        if main is not None:
-            break
-    if main is None:
-        return ""
-    blocks = ["".join(n.texts()) for n in main.walk() if n.tag == "p"]
-    kept = [b for b in blocks if len(b) > MIN_PARAGRAPH]
-    return " ".join(kept) if kept else " ".join(main.texts())
-
-
-@pandas_udf(StringType())
-def main_text_nested(html: pd.Series) -> pd.Series:
-    return html.fillna("").map(nested_page_text)
-
-
 def usable_status(text: Column) -> Column:
     """``ok`` only above the minimum length; exactly the minimum is already too short."""
     return F.when(F.length(strip(F.coalesce(text, F.lit("")))) > MIN_USABLE, "ok").otherwise("too_short")

@@ -45,12 +45,13 @@ def _optional(df: DataFrame, name: str):
 def read_labelled_sources(fake: DataFrame, true: DataFrame, id_col: str | None = None) -> DataFrame:
     """Stack both sources with ``label``, ``raw_text`` and one sortable ``seq`` (fake rows first).
 
-    Without an id column the row number comes from ``monotonically_increasing_id``, which follows
-    file order, so "first row wins" keeps its meaning.
+    Ids of ``id_col`` must be unique over both sources. Without one, rows are numbered by partition and place, even
+    numbers for fake and odd ones for real rows, so no two rows share an id. That number follows the files as Spark
+    packs them; write the result once before anything refers to it.
     """
 
     def tag(df: DataFrame, label: int) -> DataFrame:
-        row = F.col(id_col) if id_col else F.monotonically_increasing_id()
+        row = F.col(id_col) if id_col else F.monotonically_increasing_id() * 2 + label
         return df.select(
             row.cast("long").alias("doc_id"),
             F.lit(label).alias("label"),

@@ -1,14 +1,13 @@
-"""Score articles as they arrive.
+"""Score articles as they arrive: every micro-batch goes through the batch plan.
 
-Scoring is stateless: features are row expressions, the lexicon is a constant and the reputation
-table is a static broadcast side, so the batch plan runs unchanged on a stream.
+Scores of an article depend on that article and on static tables alone, so a batch of arrivals is a batch like any
+other. Each one is written to a folder of its own, which a repeated batch overwrites: a restart neither loses nor
+doubles verdicts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,19 +31,21 @@ def read_article_stream(spark: SparkSession, path: str, files_per_trigger: int =
 
 def start_scoring(
     arriving: DataFrame,
-    find: Callable[[Column], Column],
+    lexicon: DataFrame,
     scorer: Scorer,
     out_path: str,
     checkpoint_path: str,
-    lemma=None,
+    lemmas: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Append verdicts to parquet until all arrived files are scored."""
+    """Write verdicts to parquet, in ``batch`` folders, until all arrived files are scored."""
+
+    def score(batch: DataFrame, number: int) -> None:
+        verdicts = score_articles(batch, lexicon, scorer, lemmas=lemmas)
+        verdicts.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+
     return (
-        score_articles(arriving, find, scorer, lemma=lemma)
-        .writeStream.format("parquet")
-        .option("path", out_path)
+        arriving.writeStream.foreachBatch(score)
         .option("checkpointLocation", checkpoint_path)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

@@ -20,6 +20,8 @@ from .shingles import scramble
 
 #: Characters of context at most; cells of the hashed count table, which bounds the model; weight of shorter orders.
 ORDER, CELLS, WEIGHT = 4, 1 << 19, 4.0
+#: URLs that a task scores: their work is more than their bytes tell.
+TASK_ROWS = 5_000
 #: One in so many of the ruled URLs calibrates, and thresholds are found on a grid of this step.
 CALIBRATION, GRID = 4, 0.01
 _U = np.uint64
@@ -138,7 +140,8 @@ def url_differences(urls: DataFrame, counts: DataFrame, url_col: str, into: str)
     def difference(urls: pd.Series) -> pd.Series:
         return urls.map(model.value.difference, na_action=None).astype(float)
 
-    return urls.withColumn(into, difference(F.col(url_col)))
+    tasks = max(1, -(-urls.count() // TASK_ROWS))
+    return urls.repartition(tasks, url_col).withColumn(into, difference(F.col(url_col)))
 
 
 def calibrated_threshold(scored: DataFrame) -> float:
@@ -183,7 +186,9 @@ def judge_urls(
         (F.col("verdict") == "allow").cast("int").alias("label"),
         (F.pmod(F.xxhash64("url"), F.lit(CALIBRATION)) == 0).alias("calibrates"),
     )
-    counts = written(count_cells(known.filter("NOT calibrates")), "url-counts")
+    learned = known.filter("NOT calibrates")
+    learned = learned.repartition(max(1, -(-learned.count() // TASK_ROWS)), "url")
+    counts = written(count_cells(learned), "url-counts")
     scored = url_differences(known.filter("calibrates"), counts, "url", "difference")
     threshold = calibrated_threshold(scored)
     judged = url_differences(judged, counts, "url", "difference")

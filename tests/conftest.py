@@ -10,10 +10,16 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from verisift.session import get_session
 
-    session = get_session("tests", "8", spark__ui__showConsoleProgress="false", spark__driver__memory="8g")
+    session = get_session(
+        "tests",
+        "8",
+        spark__ui__showConsoleProgress="false",
+        spark__driver__memory="8g",
+        spark__checkpoint__dir=f"file://{tmp_path_factory.mktemp('shared')}",
+    )
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

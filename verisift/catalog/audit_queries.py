@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, crossref, ranking, similarity, vocabulary
+from ..operators import audit, crossref, ranking, similarity, tools, vocabulary
 from ..operators.corpus import stratified_split
 from ..session import stored
 from ..sources.tables import read_table
@@ -93,8 +93,8 @@ def nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nearest_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Matches with both labels and both text previews."""
-    matches = similarity.similar_train_matches(*_sides(spark, sf))
+    """The nearest train row of every test row, with both labels and both text previews."""
+    matches = similarity.nearest_train_match(*_sides(spark, sf))
     texts = inputs.labelled(spark, sf).select("doc_id", "label", F.substring("raw_text", 1, 250).alias("preview"))
     test = texts.select(F.col("doc_id").alias("test_id"), F.col("label").alias("test_label"), F.col("preview").alias("test_preview"))
     train = texts.select(
@@ -150,6 +150,20 @@ def shown_sources(spark: SparkSession, sf: str) -> DataFrame:
     return crossref.top_sources(_related(spark, sf), articles)
 
 
+def coverage_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The tool text of every query: counts, sources, summary and a line per shown article."""
+    docs = inputs.documents(spark, sf).select("doc_id", "text", "source")
+    related = stored(crossref.related_articles(_queries(spark, sf), docs, docs.count()), "related")
+    found = crossref.cross_reference(_queries(spark, sf), related, docs.select("doc_id", "source"))
+    shown = crossref.top_sources(related, docs.select("doc_id", F.lit(None).cast("string").alias("title"), "source"))
+    line = F.format_string("%d. %s (%s)", "place", "title", "source")
+    # At most SHOWN lines per query.
+    lines = shown.groupBy("query_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    joined = found.join(lines, "query_id", "left")
+    text = tools.cross_reference_text(F.coalesce("lines", F.array().cast("array<string>")))
+    return joined.select("query_id", text.alias("cross_reference_text"))
+
+
 def log_odds_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Top terms of a given coefficient table: smoothed log odds of a term between the classes."""
     rows = _term_rows(spark, sf).select(F.explode("terms").alias("term"), "label")
@@ -291,7 +305,7 @@ QUERIES = [
         with_ctes(
             f"""SELECT {_SHOWN}, a.label AS test_label, substring(a.raw_text, 1, 250) AS test_preview,
  b.label AS train_label, substring(b.raw_text, 1, 250) AS train_preview FROM best
- JOIN labelled a ON test_id = a.doc_id JOIN labelled b ON train_id = b.doc_id WHERE s > 0.95""",
+ JOIN labelled a ON test_id = a.doc_id JOIN labelled b ON train_id = b.doc_id""",
             *_SIM_CTES,
         ),
     ),
@@ -341,6 +355,27 @@ QUERIES = [
                 "found",
                 """SELECT q.query_id, count(r.doc_id) AS n, count(DISTINCT source) AS k,
  coalesce(string_agg(DISTINCT source, ',' ORDER BY source), '') AS s FROM qs q LEFT JOIN related r
+ ON q.query_id = r.query_id LEFT JOIN documents d ON r.doc_id = d.doc_id GROUP BY q.query_id""",
+            ),
+        ),
+    ),
+    Query(
+        "cross_reference_text",
+        coverage_text,
+        with_ctes(
+            """SELECT query_id, 'Related articles found: ' || n || chr(10) || 'Sources: '
+ || CASE WHEN n = 0 THEN 'None' ELSE s END || chr(10) || 'Summary: ' || CASE WHEN n = 0
+ THEN 'No related articles found. This could indicate the story is exclusive, too niche, or fabricated.'
+ WHEN n <= 2 THEN 'Only ' || n || ' related article(s) found from ' || s || '. Limited corroboration available.'
+ ELSE 'Found ' || n || ' related articles from ' || k || ' source(s): ' || s
+  || '. Multiple sources corroborate this story.' END || chr(10) || shown AS cross_reference_text FROM found""",
+            *_QUERY_CTES,
+            (
+                "found",
+                """SELECT q.query_id, count(r.doc_id) AS n, count(DISTINCT source) AS k,
+ coalesce(string_agg(DISTINCT source, ', ' ORDER BY source), '') AS s,
+ coalesce(string_agg(place || '. (untitled) (' || source || ')', chr(10) ORDER BY place) FILTER (place <= 3), '')
+  AS shown FROM qs q LEFT JOIN related r
  ON q.query_id = r.query_id LEFT JOIN documents d ON r.doc_id = d.doc_id GROUP BY q.query_id""",
             ),
         ),

@@ -184,7 +184,9 @@ def sql_named_functions(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(
         """SELECT doc_id, clean_light(text) AS light, normalize_punct(text) AS punct, word_count(text) AS n_words,
  round(lexical_density(text), 4) AS density, round(caps_ratio(text), 4) AS caps, has_dateline(text) AS dateline,
- drop_first_sentence(text) AS rest FROM decorated_documents"""
+ drop_first_sentence(text) AS rest, strip_publisher(text) AS stripped, clean_ml(text) AS ml,
+ leakage_score(text) AS leakage, extract_domain('https://www.' || source || '.com:80/x') AS domain
+ FROM decorated_documents"""
     )
 
 
@@ -513,6 +515,10 @@ QUERIES = [
             caps=f"round({q.caps_ratio('text')}, 4)",
             dateline=q.has_dateline("text"),
             rest=q.drop_first_sentence("text"),
+            stripped=q.strip_publisher("text"),
+            ml=f"array_to_string({q.ml_tokens('text')}, ' ')",
+            leakage=_LEAK_SCORE,
+            domain="source || '.com:80'",
         ),
     ),
 ]

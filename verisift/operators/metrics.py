@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 METRICS = ("accuracy", "precision", "recall", "f1", "auc_roc")
-_BUCKETS = 256
+#: Distinct scores that a window of the second level sees, about.
+BUCKET_SCORES = 100_000
 
 
 def _n(condition: Column) -> Column:
@@ -69,8 +72,10 @@ def running_counts(scores: DataFrame, keys: list[str], score_digits: int | None
         return at.select(
             *columns, before(keys, "score", "pos").alias("pos_below"), before(keys, "score", "neg").alias("neg_below")
         )
-    # The edges are at most 255 numbers, fixed on the driver so both levels see the same buckets.
-    steps = [i / _BUCKETS for i in range(1, _BUCKETS)]
+    # The edges are few numbers, fixed on the driver so both levels see the same buckets.
+    at = stored(at, "per-score")
+    buckets = max(2, -(-at.count() // BUCKET_SCORES))
+    steps = [i / buckets for i in range(1, buckets)]
     edges = sorted(set(at.agg(F.percentile_approx("score", steps, 10_000).alias("e")).first()["e"] or []))
     edge_array = F.array(*[F.lit(e) for e in edges]).cast("array<double>")
     at = at.withColumn("bucket", F.size(F.filter(edge_array, lambda e: e < F.col("score"))))

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import stored
 from ..sources.artifacts import load_model, save_model
 from .corpus import split_key
 from .features import apply_features, fit_features
@@ -114,7 +115,7 @@ def fit_calibrated_svm(
     train: DataFrame, seed: int = 42, c: float = C, id_col: str = "doc_id"
 ) -> PipelineModel:
     """Mean of the calibrated probabilities of one SVM per fold; strength ``c`` refers to the rows each one sees."""
-    folded = with_fold(train, SVM_FOLDS, seed, id_col).hint("rebalance").persist()
+    folded = stored(with_fold(train, SVM_FOLDS, seed, id_col).hint("rebalance"), "folds").persist()
     sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
 
     def fold_stages(k: int) -> list:
@@ -223,7 +224,8 @@ def fit_candidates(
     kwargs = {} if numeric is None else {"numeric": numeric}
     features, feature_names = fit_features(train, text_col, **kwargs)
     # Every solver step is a job with one task per partition: these are sized by bytes, whatever the corpus had.
-    table = apply_features(features, corpus, ["doc_id", "label", "split"]).hint("rebalance").persist()
+    table = apply_features(features, corpus, ["doc_id", "label", "split"]).hint("rebalance")
+    table = stored(table, "features").persist()
     try:
         fit_on = _split(table, "train")
         tuning: dict[str, tuple[str, float]] = {}
@@ -285,7 +287,7 @@ def tune_candidate(
         foldCol="fold",
         parallelism=parallelism,
         seed=seed,
-    ).fit(with_fold(train, folds, seed).hint("rebalance"))
+    ).fit(stored(with_fold(train, folds, seed).hint("rebalance"), "folds"))
     scores = list(search.avgMetrics)
     at = max(range(len(scores)), key=lambda i: (scores[i], -i))
     text, params = _describe(name, grid[at], n_rows)

@@ -300,7 +300,7 @@ def streamed_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_dir(spark)
     columns = [f.name for f in ARRIVING.fields]
     arriving_articles(spark, sf).select(*columns).write.parquet(f"{folder}/in")
-    stream = read_article_stream(spark, f"{folder}/in", files_per_trigger=2)
+    stream = read_article_stream(spark, f"{folder}/in")
     lexicon = demo_lexicon(spark)
     start_scoring(stream, lexicon, fixed_scorer(*_SCORER), f"{folder}/out", f"{folder}/offsets").awaitTermination()
     out = spark.read.parquet(f"{folder}/out")

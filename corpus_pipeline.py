@@ -39,7 +39,10 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     def held_out(ident: Column) -> Column:
         return crc_mod(ident, 5) == 0
 
-    found = langid.identify_languages(docs, held_out, into=("_lang", "_score"))
+    network = langid.fit(docs, held_out, "doc_id", "text", "lang")
+    if not network.languages:
+        return langid.with_letters(docs)
+    found = langid.label_languages(docs, network, into=("_lang", "_score"))
     return found.filter((F.col("_lang") != langid.UNDETERMINED) & (F.col("_score") >= LANGUAGE)).select(*docs.columns)
 
 

@@ -473,3 +473,15 @@ def test_pipeline_takes_awkward_rows(spark, sf_dir):
         out = stage(spark, docs, sf_dir).collect()
         assert len(out) <= (22 if name == "source_mix" else 11)
         assert len(stage(spark, docs.limit(0), sf_dir).collect()) == 0
+
+
+def test_languages_stay_where_none_is_known(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = awkward(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    unknown = docs.withColumn("lang", F.lit(None).cast("string"))
+    # The only row with a language is one of those held out.
+    held = docs.filter("doc_id = 6").unionByName(unknown.filter("doc_id IS NULL OR doc_id != 6"))
+    assert held.filter(~(crc_mod(F.col("doc_id"), 5) == 0) & F.col("lang").isNotNull()).count() == 0
+    for rows in (unknown, held):
+        out = [r.doc_id for r in corpus_pipeline.keep_languages(spark, rows, sf_dir).collect()]
+        assert sorted(out, key=str) == [10, 4, 5, 6, 7, 7, None]

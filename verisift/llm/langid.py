@@ -159,7 +159,9 @@ class LanguageNetwork:
         ]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and pooled probability of each text, ``und`` and 0 where there is no letter."""
+        """Language and pooled probability of each text, ``und`` and 0 where there is no letter or no language."""
+        if not self.languages:
+            return [(UNDETERMINED, 0.0)] * len(texts)
         raw = [t.encode("utf-8", "surrogatepass") if t and _LETTER.search(t) else b"" for t in texts]
         pooled = np.zeros((len(texts), len(self.languages)))
         letters = np.zeros(len(texts))
@@ -175,7 +177,7 @@ class LanguageNetwork:
             np.add.at(letters, owner, counts.sum(axis=0))
         out = []
         for i in range(len(texts)):
-            if letters[i] and self.languages:
+            if letters[i]:
                 share = pooled[i] / letters[i]
                 k = int(share.argmax())
                 out.append((self.languages[k], float(min(1.0, share[k]))))
@@ -240,6 +242,13 @@ def identify_languages(
     Equal texts get equal results. Other columns stay; columns of the two new names are replaced.
     """
     network = fit(learn_from if learn_from is not None else docs, held_out, id_col, text_col, lang_col)
+    return label_languages(docs, network, text_col, into)
+
+
+def label_languages(
+    docs: DataFrame, network: LanguageNetwork, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "lang_score")
+) -> DataFrame:
+    """``docs`` with the language and its pooled probability that ``network`` gives, as ``identify_languages`` says."""
     model = docs.sparkSession.sparkContext.broadcast(network)
     kept = [c for c in docs.columns if c not in into]
     rows = docs.select(*(F.col(f"`{c}`") for c in kept))
@@ -252,3 +261,14 @@ def identify_languages(
 
     fields = [T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())]
     return rows.mapInArrow(predict, T.StructType([*rows.schema.fields, *fields]))
+
+
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows whose text has a letter, by the rule that the network's predictions go by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [bool(t and _LETTER.search(t)) for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array(found, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

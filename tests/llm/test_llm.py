@@ -296,6 +296,40 @@ def test_rules_and_model_of_urls(spark):
     assert urls.judge_urls(table.limit(0), rules).collect() == []
 
 
+def test_url_model_counts_every_key(spark):
+    """Many distinct characters and slugs: the differences equal those of plain dictionaries of counts."""
+    rnd = random.Random(18)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    texts = ["".join(rnd.choices(letters, k=24)) for _ in range(6000)]
+    rows = [f"http://{t[:8]}.{'com/' if i % 2 else 'net/fr/'}{t[8:]}" for i, t in enumerate(texts)]
+    rows += ["http://" + "".join(rnd.choices(letters, k=20)) + ".org/x" for _ in range(200)] + [rows[0], ""]
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    table = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = urls.judge_urls(table, rules).collect()
+    part = F.pmod(F.xxhash64("url"), F.lit(urls.CALIBRATION)) == 0
+    held = {r.url for r in table.filter(part).collect()}
+
+    def parts(url):
+        for i, char in enumerate(url):
+            for order in range(5):
+                yield order, ("\x02" + url)[max(0, i + 1 - order) : i + 1].rjust(order, "\0"), char
+
+    counts = (Counter(), Counter())
+    for url in {r.url: r.rule for r in got if r.rule is not None and r.url not in held}:
+        label = int(".com/" in url)
+        for _, context, char in parts(url):
+            counts[label][context, char] += 1
+            counts[label][context] += 1
+    for r in rnd.sample(got, 300) + got[-3:]:
+        total = 0.0
+        for label, sign in ((1, 1), (0, -1)):
+            for order, context, char in parts(r.url):
+                p = 1 / 256 if order == 0 else p
+                p = (counts[label][context, char] + urls.WEIGHT * p) / (counts[label][context] + urls.WEIGHT)
+                total += sign * np.log(p) if order == 4 else 0
+        assert r.difference == pytest.approx(total / max(1, len(r.url)), abs=1e-9)
+
+
 # 7: quality --------------------------------------------------------------------------------------------------------
 
 

@@ -4,6 +4,9 @@ Two variable-order Markov models over characters are counted on the URLs that ru
 character is predicted by its longest seen contexts, orders mixed as ``(count + W * shorter order) / (seen + W)``. The
 log-likelihood difference of a URL, divided by its length, is compared with a threshold that is calibrated on a part of
 the ruled URLs that no count has seen.
+
+Counts are a table with a row per context and per context and character, keyed by 64 bits. URLs are scored in blocks of
+bounded size: a block's distinct keys meet the table by an equi-join, and the block is scored with the counts it found.
 """
 
 from __future__ import annotations
@@ -12,16 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .shingles import scramble
 
-#: Characters of context at most; cells of the hashed count table, which bounds the model; weight of shorter orders.
-ORDER, CELLS, WEIGHT = 4, 1 << 19, 4.0
-#: URLs that a task scores: their work is more than their bytes tell.
-TASK_ROWS = 5_000
+#: Characters of context at most; weight of shorter orders.
+ORDER, WEIGHT = 4, 4.0
+#: Characters of the URLs that are counted at a time, and of those that are scored in one block.
+BLOCK_CHARS = 100_000
 #: One in so many of the ruled URLs calibrates, and thresholds are found on a grid of this step.
 CALIBRATION, GRID = 4, 0.01
 _U = np.uint64
@@ -61,87 +66,109 @@ def rule_for(host: Column, path: Column, rules: DataFrame, urls: DataFrame, key:
     return best.select(key, F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
 
 
-def _contexts(url: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each character's context of 0 to ORDER characters, (orders, characters), and the characters.
+def _keys(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of (context, character) and of the context alone, both (orders, characters), and each character's URL.
 
-    A start mark precedes the first character, so that shorter contexts at the start are their own.
+    Contexts have 0 to ORDER characters and are hashed in 64 bits. A start mark precedes the first character, so that
+    shorter contexts at the start are their own.
     """
-    codes = np.frombuffer(("\x02" + url).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(_U) + _U(1)
-    n = len(codes) - 1
-    out = np.empty((ORDER + 1, n), dtype=_U)
-    context = np.zeros(n, dtype=_U)
+    sizes = np.array([len(u) + 1 for u in urls], dtype=np.int64)
+    codes = np.frombuffer("".join("\x02" + u for u in urls).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    codes = codes.astype(_U) + _U(1)
+    owner = np.repeat(np.arange(len(urls)), sizes)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    real = place > 0
+    joint = np.empty((ORDER + 1, int(real.sum())), dtype=_U)
+    alone = np.empty_like(joint)
+    context = np.zeros(len(codes), dtype=_U)
     for order in range(ORDER + 1):
         if order:
-            before = np.concatenate([np.zeros(max(0, order - 1), dtype=_U), codes])[:n]
+            before = np.concatenate([np.zeros(order, dtype=_U), codes])[: len(codes)]
+            before[place < order] = 0
             context = scramble(context * _U(31) + before + _U(order))
-        out[order] = context
-    return out, codes[1:]
+        joint[order] = scramble(context + codes * _U(0x9E3779B97F4A7C15))[real]
+        alone[order] = scramble(context ^ _U(0x5BD1E995))[real]
+    return joint, alone, owner[real]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of about ``BLOCK_CHARS`` of the column ``url``, and at least one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.utf8_length(batch.column("url")), 0).to_numpy(zero_copy_only=False)
+        ends = (np.cumsum(sizes) - 1).clip(0) // BLOCK_CHARS
+        starts = np.flatnonzero(np.diff(ends, prepend=-1))
+        for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            yield batch.slice(start, end - start)
+
 
+def count_keys(urls: DataFrame) -> DataFrame:
+    """(key, n0, n1) over ``urls(url, label)``: how often blocked (0) and allowed (1) URLs have a key.
 
-def _cells(url: str) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of the count table for (context, character) and for the context alone, both (orders, characters)."""
-    contexts, codes = _contexts(url)
-    size = _U(CELLS)
-    return (scramble(contexts + codes * _U(0x9E3779B97F4A7C15)) % size).astype(np.int64), (
-        scramble(contexts ^ _U(0x5BD1E995)) % size
-    ).astype(np.int64)
+    Tasks add up the keys of a bounded piece of URLs first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            joint, alone, owner = _keys([u or "" for u in batch.column("url").to_pylist()])
+            label = batch.column("label").to_numpy(zero_copy_only=False)[owner]
+            keys, which = np.unique(np.concatenate([joint.ravel(), alone.ravel()]), return_inverse=True)
+            allowed = np.bincount(which, np.tile(label, 2 * (ORDER + 1)), len(keys)).astype(np.int64)
+            every = np.bincount(which, minlength=len(keys))
+            columns = [pa.array(c) for c in (keys.view(np.int64), every - allowed, allowed)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n0", "n1"])
 
+    parts = urls.select("url", "label").mapInArrow(run, "key long, n0 long, n1 long")
+    return parts.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
-def count_cells(urls: DataFrame) -> DataFrame:
-    """(kind, cell, n0, n1) over ``urls(url, label)``: how often a cell is used by blocked (0) and allowed (1) URLs.
 
-    Tasks add up their own cells first, so at most two tables of ``CELLS`` rows leave a task.
+def differences(urls: list[str], keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Allowed minus blocked log-likelihood per character of each URL; 0 for empty ones.
+
+    ``counts`` (2, keys) are those of the ``keys`` in ascending order; other keys have no count.
     """
+    joint, alone, owner = _keys(urls)
+    keys = np.append(keys, _U(2**64 - 1))
+    counts = np.concatenate([counts, np.zeros((2, 1))], axis=1)
+
+    def at(wanted: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(keys[:-1], wanted)
+        return np.where(keys[place] == wanted, place, len(keys) - 1)
+
+    both = [(at(joint[order]), at(alone[order])) for order in range(ORDER + 1)]
+    total = np.zeros(joint.shape[1])
+    for label, sign in ((1, 1.0), (0, -1.0)):
+        p = np.full(joint.shape[1], 1 / 256)
+        for found, context in both:
+            p = (counts[label][found] + WEIGHT * p) / (counts[label][context] + WEIGHT)
+        total += sign * np.log(p)
+    sizes = np.bincount(owner, minlength=len(urls))
+    return np.bincount(owner, total, len(urls)) / np.maximum(sizes, 1)
+
+
+def url_differences(urls: DataFrame, counts: DataFrame, into: str) -> DataFrame:
+    """(url, difference) of the distinct ``urls(url)``, none of them null, from the counts of ``count_keys``.
+
+    URLs are dealt to blocks of about ``BLOCK_CHARS`` by their hash. Only the distinct keys of a block are looked up.
+    """
+    chars = urls.agg(F.sum(F.length("url"))).first()[0] or 0
+    blocks = -(-chars // BLOCK_CHARS) or 1
+    placed = urls.select("url", F.pmod(F.xxhash64("url"), F.lit(blocks)).alias("block")).repartition(blocks, "block")
+
+    def wanted(rows: pd.DataFrame) -> pd.DataFrame:
+        joint, alone, _ = _keys(rows["url"].tolist())
+        keys = np.unique(np.concatenate([joint.ravel(), alone.ravel()]))
+        return pd.DataFrame({"block": rows["block"].iloc[0], "key": keys.view(np.int64)})
+
+    def score(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        keys = found["key"].to_numpy(dtype=np.int64).view(_U)
+        order = np.argsort(keys)
+        counts = found[["n0", "n1"]].to_numpy(dtype=np.float64).T[:, order]
+        urls = rows["url"].tolist()
+        return pd.DataFrame({"url": urls, into: differences(urls, keys[order], counts)})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = np.zeros((2, 2, CELLS), dtype=np.int64)
-        for batch in batches:
-            for url, label in zip(batch["url"], batch["label"], strict=True):
-                if url:
-                    for kind, cells in enumerate(_cells(url)):
-                        np.add.at(totals[kind, label], cells.ravel(), 1)
-        for kind in (0, 1):
-            used = np.flatnonzero(totals[kind].any(axis=0))
-            yield pd.DataFrame({"kind": kind, "cell": used, "n0": totals[kind, 0, used], "n1": totals[kind, 1, used]})
-
-    parts = urls.select("url", "label").mapInPandas(run, "kind int, cell long, n0 long, n1 long")
-    return parts.groupBy("kind", "cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-class UrlModel:
-    """Both Markov models as two tables of fixed size."""
-
-    def __init__(self, counts: pd.DataFrame) -> None:
-        self.tables = np.zeros((2, 2, CELLS), dtype=np.float32)
-        for label in (0, 1):
-            self.tables[counts["kind"], label, counts["cell"]] = counts[f"n{label}"]
-
-    def difference(self, url: str | None) -> float:
-        """Allowed minus blocked log-likelihood per character; 0 for null and empty URLs."""
-        if not url:
-            return 0.0
-        joint, context = _cells(url)
-        total = np.zeros(joint.shape[1])
-        for label, sign in ((1, 1.0), (0, -1.0)):
-            p = np.full(joint.shape[1], 1 / 256)
-            for order in range(ORDER + 1):
-                seen = self.tables[1, label, context[order]]
-                # A context's cell holds at least what its characters' cells hold, but for collisions.
-                p = (np.minimum(self.tables[0, label, joint[order]], seen) + WEIGHT * p) / (seen + WEIGHT)
-            total += sign * np.log(p)
-        return float(total.mean())
-
-
-def url_differences(urls: DataFrame, counts: DataFrame, url_col: str, into: str) -> DataFrame:
-    """``urls`` with the models' difference. At most ``2 * CELLS`` rows of counts reach the driver and the tasks."""
-    model = urls.sparkSession.sparkContext.broadcast(UrlModel(counts.toPandas()))
-
-    @F.pandas_udf("double")
-    def difference(urls: pd.Series) -> pd.Series:
-        return urls.map(model.value.difference, na_action=None).astype(float)
-
-    tasks = max(1, -(-urls.count() // TASK_ROWS))
-    return urls.repartition(tasks, url_col).withColumn(into, difference(F.col(url_col)))
+    asked = placed.groupBy("block").applyInPandas(wanted, "block long, key long")
+    found = asked.join(counts, "key").select("block", "key", "n0", "n1").repartition(blocks, "block")
+    return placed.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(score, f"url string, {into} double")
 
 
 def calibrated_threshold(scored: DataFrame) -> float:
@@ -187,11 +214,12 @@ def judge_urls(
         (F.pmod(F.xxhash64("url"), F.lit(CALIBRATION)) == 0).alias("calibrates"),
     )
     learned = known.filter("NOT calibrates")
-    learned = learned.repartition(max(1, -(-learned.count() // TASK_ROWS)), "url")
-    counts = written(count_cells(learned), "url-counts")
-    scored = url_differences(known.filter("calibrates"), counts, "url", "difference")
-    threshold = calibrated_threshold(scored)
-    judged = url_differences(judged, counts, "url", "difference")
+    chars = learned.agg(F.sum(F.length("url"))).first()[0] or 0
+    learned = learned.repartition(-(-chars // BLOCK_CHARS) or 1, "url")
+    counts = written(count_keys(learned), "url-counts")
+    scored = written(url_differences(judged.select("url"), counts, "difference"), "url-differences")
+    threshold = calibrated_threshold(known.filter("calibrates").join(scored, "url"))
+    judged = judged.join(scored, "url")
     by_model = F.when(F.coalesce("difference", F.lit(0.0)) >= threshold, "allow").otherwise("block")
     return urls.join(judged, "url", "left").select(
         "page_id",

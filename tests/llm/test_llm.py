@@ -367,6 +367,29 @@ def test_quality_statistics_and_outliers(spark):
     assert outliers.judge_quality(empty(spark)).collect() == []
 
 
+def test_moderate_outliers_are_found(spark):
+    rnd = random.Random(19)
+
+    def mixed(text: str, kind: int) -> str:
+        words = text.split()
+        if kind == 0:
+            return " ".join(w + "%" * (i % 10 == 0) for i, w in enumerate(words))
+        if kind == 1:
+            return " ".join(w.upper() if i % 2 else w for i, w in enumerate(words))
+        if kind == 2:
+            return "\n".join(" ".join(words[:15] if k in (3, 6) else words[15 * k : 15 * k + 15]) for k in range(10))
+        return " ".join(words[:135] + words[:15])
+
+    rows = [(i, prose(rnd, 150, 5000), "en", "a") for i in range(400)]
+    rows += [(1000 + i, mixed(prose(rnd, 150, 5000), i % 4), "en", "a") for i in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.judge_quality(table).collect()}
+    assert not any(r.base_failed for r in got.values())
+    rejected = [sum(not got[1000 + i].kept for i in range(kind, 80, 4)) for kind in range(4)]
+    assert rejected == [20, 20, 20, 20]
+    assert sum(not got[i].kept for i in range(400)) <= 2
+
+
 # 8: mixing ---------------------------------------------------------------------------------------------------------
 
 

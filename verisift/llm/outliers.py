@@ -3,8 +3,9 @@
 Statistics of the texts that pass the base rules become a vector. For every (language, source) the minimum covariance
 determinant estimate is approached by concentration steps: distances under the present mean and covariance, the share
 ``CORE`` of the group with the least ones, mean and covariance of these. Each step is two aggregations per group over a
-narrow table, so a group of any size is summed up by all tasks. Steps start from two estimates, and of both ends the one
-of lesser determinant holds. A text is rejected if its Mahalanobis distance is above ``CUTOFF``.
+narrow table, so a group of any size is summed up by all tasks. Steps start from two estimates and go on until no
+determinant falls any more; of both ends the one of lesser determinant holds. A text is rejected if its Mahalanobis
+distance is above ``CUTOFF``.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ from pyspark.sql import functions as F
 from .common import slices, written
 from .shingles import WordHashes, scramble
 
-#: Share of a group that the estimate is made from, concentration steps, and the distance of an outlier.
-CORE, STEPS, CUTOFF = 0.75, 4, 7.0
+#: Share of a group that the estimate is made from, and the fall of a log-determinant below which steps end.
+CORE, FALL = 0.75, 1e-4
+#: For five normal statistics: covariance of all over that of the ``CORE`` nearest, which is CORE / P(chi2(7) <= q) with
+#: q the CORE quantile of chi2(5); and the distance that one in a thousand exceeds, the root of chi2(5) at 0.999.
+CONSISTENCY, CUTOFF = 1.412071, 4.529349
 #: Transformed statistics, and the standard deviation that each has at least: below it, differences mean nothing.
-FLOORS = {"word_length": 0.08, "symbols": 0.3, "dup_lines": 0.12, "repeats": 0.12, "upper": 0.08}
+FLOORS = {"word_length": 0.03, "symbols": 0.1, "dup_lines": 0.05, "repeats": 0.05, "upper": 0.02}
 _SYMBOLS = b"#*$%&|<>"
 _STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
 
@@ -98,16 +102,22 @@ def features() -> list[Column]:
 
 
 def _estimates(sums: pd.DataFrame, d: int) -> pd.DataFrame:
-    """Mean, inverse covariance and log-determinant from the sums of a group's core."""
+    """Mean, inverse covariance and log-determinant from the sums of a group's core.
+
+    In units of ``FLOORS``, the variance is at least 1 in every direction.
+    """
     out = []
-    floor = np.diag(np.square(list(FLOORS.values())))
+    floor = np.array(list(FLOORS.values()))
+    units = np.outer(floor, floor)
     for row in sums.itertuples(index=False):
         n, first, second = row.n, np.array(row.first), np.array(row.second)
         mean, cov = first / n, np.zeros((d, d))
         cov[np.triu_indices(d)] = second / n
-        cov = cov + cov.T - np.diag(cov.diagonal()) - np.outer(mean, mean) + floor
-        log_det = float(np.linalg.slogdet(cov)[1])
-        out.append((row.g, row.start, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), log_det))
+        cov = CONSISTENCY * (cov + cov.T - np.diag(cov.diagonal()) - np.outer(mean, mean))
+        size, axes = np.linalg.eigh(cov / units)
+        size = np.maximum(size, 1.0)
+        log_det = float(np.log(size).sum() + 2 * np.log(floor).sum())
+        out.append((row.g, row.start, mean.tolist(), ((axes / size) @ axes.T / units).ravel().tolist(), log_det))
     return pd.DataFrame(out, columns=["g", "start", "mean", "inverse", "log_det"])
 
 
@@ -150,22 +160,29 @@ def core_estimates(points: DataFrame) -> DataFrame:
         *(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(d))
     )
     # Start 0: medians and quartile ranges; start 1: mean and covariance of everything.
-    spread = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + f**2 for i, f in enumerate(FLOORS.values())]
+    spread = [
+        F.greatest(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2), F.lit(f**2))
+        for i, f in enumerate(FLOORS.values())
+    ]
     robust = quartiles.select(
         "g",
         F.lit(0).alias("start"),
         F.array(*(F.col(f"q{i}")[1] for i in range(d))).alias("mean"),
         F.array(*(1 / spread[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d))).alias("inverse"),
-        sum((F.log(s) for s in spread), F.lit(0.0)).alias("log_det"),
     )
-    classical = _fit(_sums(points.withColumn("start", F.lit(1))))
-    now = written(robust.unionByName(classical), "estimates")
-    for _ in range(STEPS):
-        near = points.join(now, "g").withColumn("distance", distance())
+    classical = _fit(_sums(points.withColumn("start", F.lit(1)))).drop("log_det")
+    # A start has no core yet, so that the first step's determinant counts as a fall.
+    now = robust.unionByName(classical).withColumns({"log_det": F.lit(float("inf")), "falls": F.lit(True)})
+    now = written(now, "estimates")
+    while now.filter("falls").limit(1).count():
+        near = points.join(now.filter("falls").drop("log_det", "falls"), "g").withColumn("distance", distance())
         cut = near.groupBy("g", "start").agg(F.percentile_approx("distance", CORE, 1000).alias("cut"))
         cut = written(cut, "cuts")
         core = near.join(cut, ["g", "start"]).filter("distance <= cut")
-        now = written(_fit(_sums(core)), "estimates")
+        step = _fit(_sums(core)).select("g", "start", F.struct("mean", "inverse", "log_det").alias("next"))
+        falls = F.col("falls") & F.coalesce(F.col("next.log_det") < F.col("log_det") - FALL, F.lit(False))
+        new = [F.when(falls, F.col(f"next.{c}")).otherwise(F.col(c)).alias(c) for c in ("mean", "inverse", "log_det")]
+        now = written(now.join(step, ["g", "start"], "left").select("g", "start", *new, falls.alias("falls")), "estimates")
     return now.groupBy("g").agg(
         F.min_by(F.struct("mean", "inverse", "log_det"), F.struct("log_det", "start")).alias("best")
     ).select("g", "best.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pytest
@@ -186,3 +187,41 @@ def test_two_csv_sources_have_unique_ids(spark, tmp_path):
     both = tables.read_labelled_sources(*(tables.read_articles_csv(spark, str(tmp_path / n)) for n in ("fake", "true")))
     rows = both.collect()
     assert len({r.doc_id for r in rows}) == 4 and sorted(r.label for r in rows) == [0, 0, 1, 1]
+
+
+@pytest.mark.parametrize("name", ["tune_candidates", "select_and_bundle", "evaluate_saved_families", "score_table", "ablate_features"])
+def test_model_queries_ask_for_all_families(spark, monkeypatch, name):
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def fit(corpus, names=models.CANDIDATES, *rest, **more):
+        asked.extend(names)
+        if name != "ablate_features":
+            raise Asked
+        metrics = spark.createDataFrame([("test", n) for n in names], "split string, model string")
+        return models.Trained(None, [], {}, metrics)
+
+    for module in ("operators.models", "operators.audit", "plans.train_and_select"):
+        monkeypatch.setattr(sys.modules[f"verisift.{module}"], "fit_candidates", fit)
+    monkeypatch.setattr(sys.modules["verisift.catalog.model_queries"], "corpus", lambda spark, sf: None)
+    if name == "ablate_features":
+        rows = QUERIES[name].build(spark, "").collect()
+        assert len(rows) == 4 and set(asked) == {"svm", "neural_network"}
+    else:
+        with pytest.raises(Asked):
+            QUERIES[name].build(spark, "")
+        assert tuple(asked) == models.CANDIDATES
+
+
+def test_saved_families_get_all_measures(spark):
+    from verisift.catalog.model_queries import family_measures
+
+    rows = [(m, i, i % 2, (i + k) % 2 if i < 4 * k else i % 2, (i % 2 + 0.1 * k) / 2) for k, m in enumerate(models.CANDIDATES) for i in range(20)]
+    scores = spark.createDataFrame(rows, "model string, doc_id long, y_true int, y_pred int, y_score double")
+    got = family_measures(scores, ["model"]).collect()
+    for model in models.CANDIDATES:
+        own = [r.part for r in got if r.model == model]
+        assert own.count("metrics") == 1 and own.count("confusion") == 2 and own.count("report") > 2 and own.count("roc") == 3
+    assert [r.model for r in got if r.selected] == ["logistic_regression"]

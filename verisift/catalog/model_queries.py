@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from ..operators import audit, models
 from ..operators.corpus import class_counts
 from ..operators.features import apply_features, fit_features
-from ..operators.metrics import binary_metrics, confusion_matrix
+from ..operators.metrics import binary_metrics, classification_report, confusion_matrix, roc_points
+from ..operators.ranking import rank_candidates
 from ..operators.similarity import similar_train_matches, similarity_thresholds
 from ..plans.audit_report import report_lines
 from ..plans.build_corpus import build_corpus
@@ -46,8 +48,8 @@ def _trainer(*names: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def tuned(spark: SparkSession, sf: str) -> DataFrame:
-    """Grid search of one family over three folds."""
-    trained = models.fit_candidates(corpus(spark, sf), ("logistic_regression",), tune=True)
+    """Grid search of every family over three folds."""
+    trained = models.fit_candidates(corpus(spark, sf), models.CANDIDATES, tune=True)
     return models.tuning_table(spark, trained).join(trained.metrics.filter("split = 'validation'"), "model")
 
 
@@ -63,24 +65,37 @@ def feature_vectors(spark: SparkSession, sf: str) -> DataFrame:
 def selected(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates fitted, the winner chosen on validation, everything saved and the models read back."""
     rows = corpus(spark, sf)
-    trained, paths = train_and_select(rows, f"{scratch_dir(spark)}/bundle", ("logistic_regression", "random_forest"))
+    trained, paths = train_and_select(rows, f"{scratch_dir(spark)}/bundle", models.CANDIDATES)
     saved = {name: paths[name] for name in trained.models}
     saved["missing_model"] = f"{paths['features']}/nothing"
     measured, failed = models.evaluate_families(spark, paths["features"], saved, rows, measure=binary_metrics)
     return measured.withColumn("selected", F.col("model") == paths["winner"]).withColumn("failed", F.lit(",".join(failed)))
 
 
-def family_cells(spark: SparkSession, sf: str) -> DataFrame:
+def family_measures(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Ranked metrics, confusion cells, report rows and ROC points, told apart by ``part``; other columns are null."""
+    ranked = rank_candidates(models.with_model_order(binary_metrics(scores, keys, score_digits=None))).drop("model_order")
+    parts = {
+        "metrics": ranked,
+        "confusion": confusion_matrix(scores, keys),
+        "report": classification_report(scores, keys),
+        "roc": roc_points(scores, keys, score_digits=None),
+    }
+    named = [rows.withColumn("part", F.lit(name)) for name, rows in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
+def evaluated_families(spark: SparkSession, sf: str) -> DataFrame:
     rows = corpus(spark, sf)
-    trained, paths = train_and_select(rows, f"{scratch_dir(spark)}/bundle", ("random_forest",))
+    trained, paths = train_and_select(rows, f"{scratch_dir(spark)}/bundle", models.CANDIDATES)
     saved = {name: paths[name] for name in trained.models}
-    return models.evaluate_families(spark, paths["features"], saved, rows, measure=confusion_matrix)[0]
+    return models.evaluate_families(spark, paths["features"], saved, rows, measure=family_measures)[0]
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """A saved winner applied to its articles."""
     rows = corpus(spark, sf)
-    _, paths = train_and_select(rows, f"{scratch_dir(spark)}/bundle", ("random_forest",))
+    _, paths = train_and_select(rows, f"{scratch_dir(spark)}/bundle", models.CANDIDATES)
     name = paths["winner"]
     out = models.score_table(name, load_model(spark, paths[name]), load_model(spark, paths["features"]), rows)
     return out.select("doc_id", "split", "ml_score", "ml_label", "ml_model_name")
@@ -95,7 +110,9 @@ def first_sentence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_ablation(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.ablate_features(corpus(spark, sf), "svm")
+    """The families that the versions compare: the SVM and the network."""
+    rows = corpus(spark, sf)
+    return audit.ablate_features(rows, "svm").unionByName(audit.ablate_features(rows, "neural_network"))
 
 
 def audit_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,7 +135,7 @@ QUERIES = [
     Query("tune_candidates", tuned),
     Query("score_table", scored),
     Query("select_and_bundle", selected),
-    Query("evaluate_saved_families", family_cells),
+    Query("evaluate_saved_families", evaluated_families),
     Query("top_predictive_terms", predictive_terms),
     Query("ablate_features", feature_ablation),
     Query("ablate_first_sentence", first_sentence),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, kdtree, langid, minhash, mixing, outliers, toxicity, urls, warc
+from . import bpe, chat, kdtree, langid, minhash, mixing, negatives, outliers, phrases, sharding, toxicity, urls, warc
 from .common import table
 
 #: Both turns of the conversation that op2 adds.
@@ -165,6 +165,28 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ident = F.col("vec_id")
+    label = F.when(ident % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), ident % 100 == 0, label)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit(sharding.LAW).alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents")).drop("path_words")
+
+
 OP2_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -311,6 +333,90 @@ SELECT id AS record_id, canonical AS url, response_id, status,
 FROM joined
 """
 
+OP11_SQL = """
+WITH rows_ AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM rows_ a JOIN rows_ c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+QUALIFY rank <= 5
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT range AS byte, CAST(range AS BIGINT) AS c, 0 AS turn FROM range(256)
+  UNION ALL SELECT byte, xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END), turn + 1 FROM bits WHERE turn < 8),
+steps AS (SELECT list(c ORDER BY byte) AS step FROM bits WHERE turn = 8),
+docs AS (
+  SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size,
+    xor(4294967295, list_reduce([4294967295] || list_transform(
+      regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: CAST(('0x' || b) AS BIGINT)),
+      lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]))) AS text_crc32
+  FROM documents, steps),
+drawn AS (
+  SELECT *, source IS NULL AS no_source, coalesce(source, '') AS source_key,
+    CAST(('0x' || substr(md5('12|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || text_crc32 || '|' || size), 1, 13))
+      AS BIGINT) AS draw FROM docs),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY no_source, source_key ORDER BY draw, doc_id NULLS FIRST, text_crc32, size) - 1
+    AS place, count(*) OVER (PARTITION BY no_source, source_key) AS in_source FROM drawn),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY CAST(place * 2 + 1 AS DOUBLE) / CAST(in_source * 2 AS DOUBLE), no_source,
+    source_key) - 1 AS spot, count(*) OVER () AS total FROM ranked)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law,
+  CAST(spot * 16 // total AS INTEGER) AS shard,
+  CAST(spot - (spot * 16 // total * total + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed
+"""
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM worded GROUP BY lang),
+grams AS (
+  SELECT lang, k AS width, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))
+    AS phrase FROM worded, range(1, 6) t(k) WHERE len(w) >= k),
+counts AS (
+  SELECT lang, width, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+parts AS (
+  SELECT lang, width, phrase, f, string_split(phrase, ' ') AS w FROM counts WHERE width >= 2),
+inner_ AS (
+  SELECT DISTINCT lang, f, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM parts, range(2, 5) t(k), range(1, 5) u(i) WHERE k < width AND i <= width - k + 1),
+free AS (
+  SELECT p.* FROM parts p LEFT JOIN (SELECT lang, phrase, max(f) AS longer FROM inner_ GROUP BY ALL) i USING (lang, phrase)
+  WHERE i.longer IS NULL OR 100 * i.longer < 100 * p.f),
+cut AS (
+  SELECT lang, phrase, f, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+  FROM free, range(1, 5) t(k) WHERE k < width),
+scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, h.f AS l, r.f AS r, n, CAST(1000 AS HUGEINT) * c.f * n // (CAST(h.f AS HUGEINT) * r.f)
+    AS score
+  FROM cut c JOIN counts h ON h.lang = c.lang AND h.phrase = c.head JOIN counts r ON r.lang = c.lang AND r.phrase = c.rest
+    JOIN totals t ON t.lang = c.lang),
+best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase,
+  CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+  CAST(score AS BIGINT) AS score
+FROM best QUALIFY rank <= 2000
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_minhash_dedup": (op1_minhash_dedup, None),
     "op2_chat_format": (op2_chat_format, OP2_SQL),
@@ -322,4 +428,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_mix_sources": (op8_mix_sources, OP8_SQL),
     "op9_warc_revisits": (op9_warc_revisits, OP9_SQL),
     "op10_bpe": (op10_bpe, None),
+    "op11_hard_negatives": (op11_hard_negatives, OP11_SQL),
+    "op12_sharding": (op12_sharding, OP12_SQL),
+    "op13_phrase_collocations": (op13_phrase_collocations, OP13_SQL),
 }

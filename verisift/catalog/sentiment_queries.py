@@ -38,12 +38,28 @@ def sentiment_profile_in_row(spark: SparkSession, sf: str) -> DataFrame:
     return se.with_style_and_tone(docs, "doc_id", "text", demo_lexicon(spark)).select("doc_id", *se.PROFILE)
 
 
+def _rounded_mean(total: str, n: str) -> str:
+    """Four decimals of a mean of millionths, half away from zero, in whole numbers."""
+    half_up = f"(2 * abs({total}) + 100 * {n}) // (200 * {n})"
+    return f"CASE WHEN {n} > 0 THEN (CASE WHEN {total} < 0 THEN -1 ELSE 1 END * ({half_up}))::DOUBLE / 10000 ELSE 0 END"
+
+
+def _mean(total: str, n: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN {total}::DOUBLE / ({n} * 1000000)::DOUBLE ELSE 0 END"
+
+
+_SUMS = """coalesce(sum(round(polarity * 1000000)::BIGINT), 0)::BIGINT AS sp,
+ coalesce(sum(round(subjectivity * 1000000)::BIGINT), 0)::BIGINT AS ss, count(subjectivity) AS n"""
+
+
 def doc_hits(source: str) -> tuple[str, str]:
+    """``doc_avg``: both means at four decimals, and the exact mean subjectivity."""
     return (
         "doc_avg",
-        f"""SELECT d.doc_id, coalesce(avg(polarity), 0::DOUBLE) AS pol, coalesce(avg(subjectivity), 0::DOUBLE) AS subj
+        f"""SELECT doc_id, {_rounded_mean('sp', 'n')} AS pol4, {_rounded_mean('ss', 'n')} AS subj4, {_mean('ss', 'n')} AS subj
+ FROM (SELECT d.doc_id, {_SUMS}
  FROM {source} d LEFT JOIN (SELECT doc_id, unnest({q.lexicon_words('text')}) AS word FROM {source}) w
- ON d.doc_id = w.doc_id LEFT JOIN lexicon l ON w.word = l.word GROUP BY d.doc_id""",
+ ON d.doc_id = w.doc_id LEFT JOIN lexicon l ON w.word = l.word GROUP BY d.doc_id)""",
     )
 
 
@@ -56,20 +72,23 @@ def sentence_ctes(source: str) -> tuple:
         ),
         (
             "sent_avg",
-            f"""SELECT s.doc_id, s.pos, coalesce(avg(subjectivity), 0::DOUBLE) AS subj FROM sents s LEFT JOIN
+            f"""SELECT doc_id, round(({_mean('ss', 'n')}) * 1000000000)::HUGEINT AS mean FROM (
+ SELECT s.doc_id, s.pos, {_SUMS} FROM sents s LEFT JOIN
  (SELECT doc_id, pos, unnest({q.lexicon_words('sentence')}) AS word FROM sents) w
- ON s.doc_id = w.doc_id AND s.pos = w.pos LEFT JOIN lexicon l ON w.word = l.word GROUP BY s.doc_id, s.pos""",
+ ON s.doc_id = w.doc_id AND s.pos = w.pos LEFT JOIN lexicon l ON w.word = l.word GROUP BY s.doc_id, s.pos)""",
         ),
         (
             "variance",
-            f"""SELECT d.doc_id, coalesce(var_samp(subj), 0::DOUBLE) AS v FROM {source} d
+            f"""SELECT d.doc_id, CASE WHEN count(mean) > 1 THEN
+ (count(mean) * sum(mean * mean) - sum(mean) * sum(mean))::DOUBLE
+ / ((count(mean) * (count(mean) - 1))::DOUBLE * 1e18::DOUBLE) ELSE 0 END AS v FROM {source} d
  LEFT JOIN sent_avg s ON d.doc_id = s.doc_id GROUP BY d.doc_id""",
         ),
     )
 
 
 SCORES_SQL = with_ctes(
-    f"""SELECT d.doc_id, round(v, 4) AS sub_variance, round(subj, 4) AS mean_subjectivity,
+    f"""SELECT d.doc_id, round(v, 4) AS sub_variance, subj4 AS mean_subjectivity,
  round({q.lexical_density("coalesce(text, '')")}, 4) AS lexical_density,
  round({q.caps_ratio("coalesce(text, '')")}, 4) AS caps_ratio, {q.has_dateline("coalesce(text, '')")} AS has_dateline
  FROM deco d JOIN doc_avg a ON d.doc_id = a.doc_id JOIN variance v ON d.doc_id = v.doc_id""",
@@ -81,8 +100,8 @@ SCORES_SQL = with_ctes(
 
 PROFILE_SQL = with_ctes(
     """SELECT *, CASE WHEN tone_score < 0.25 THEN 'neutral' WHEN tone_score < 0.5 THEN 'slightly_biased'
- ELSE 'highly_emotional' END AS emotional_tone FROM (SELECT doc_id, round(pol, 4) AS overall_polarity,
- round(subj, 4) AS overall_subjectivity, n AS sentence_count, round(e, 4) AS exclamation_ratio,
+ ELSE 'highly_emotional' END AS emotional_tone FROM (SELECT doc_id, pol4 AS overall_polarity,
+ subj4 AS overall_subjectivity, n AS sentence_count, round(e, 4) AS exclamation_ratio,
  round(c, 4) AS caps_word_ratio, round(least(0.4::DOUBLE * subj + 0.3::DOUBLE * least(e * 2::DOUBLE, 1)
  + 0.3::DOUBLE * least(c * 5::DOUBLE, 1), 1), 4) AS tone_score FROM measured)""",
     inputs.SQL_DECORATED,
@@ -90,7 +109,7 @@ PROFILE_SQL = with_ctes(
     doc_hits("deco"),
     (
         "measured",
-        f"""SELECT d.doc_id, pol, subj, len({q.sentences('text')}) AS n, {q.exclamation_ratio('text')} AS e,
+        f"""SELECT d.doc_id, pol4, subj4, subj, len({q.sentences('text')}) AS n, {q.exclamation_ratio('text')} AS e,
  {q.caps_word_ratio('text')} AS c FROM deco d JOIN doc_avg a ON d.doc_id = a.doc_id""",
     ),
 )
@@ -100,7 +119,7 @@ QUERIES = [
         "doc_sentiment",
         doc_sentiment,
         with_ctes(
-            "SELECT doc_id, round(pol, 4) AS polarity, round(subj, 4) AS subjectivity FROM doc_avg",
+            "SELECT doc_id, pol4 AS polarity, subj4 AS subjectivity FROM doc_avg",
             q.LEXICON_CTE,
             doc_hits("documents"),
         ),

@@ -329,7 +329,7 @@ def _verdict_sql() -> str:
             "featured",
             f"""SELECT a.doc_id AS article_id, input_type, raw_input, text,
  CASE WHEN input_type = 'text' OR length({q.strip('text')}) > 80 THEN 'ok' ELSE 'too_short' END AS status,
- round(v, 4) AS sub_variance, round(subj, 4) AS mean_subjectivity, round({q.lexical_density('text')}, 4) AS lexical_density,
+ round(v, 4) AS sub_variance, subj4 AS mean_subjectivity, round({q.lexical_density('text')}, 4) AS lexical_density,
  round({q.caps_ratio('text')}, 4) AS caps_ratio, len({q.ml_tokens('text')}) AS word_count,
  CASE WHEN input_type = 'url' THEN {q.domain('raw_input')} ELSE '' END AS domain,
  {_REVIEW} AS final_text, ({_JUDGE})::DOUBLE AS judge_score, length({q.strip('text')}) < 50 AS short

@@ -3,6 +3,9 @@
 The lexicon is an input table ``(word, polarity, subjectivity)`` of any size. A document's value is the mean over its
 listed words, zero without any. Words are exploded, joined and summed up per sentence or document; Spark chooses the
 join from the lexicon's size, and on the map side the sums shrink to one row per sentence before anything is shuffled.
+
+Sums are whole numbers: values are taken in millionths, and a sentence's mean enters the variance in billionths. So
+every result, ties of the last decimal included, is the same whatever the order in which partitions arrive.
 """
 
 from __future__ import annotations
@@ -25,6 +28,26 @@ PROFILE = (
 )
 
 
+# A lexicon value in millionths, a sentence's mean in billionths.
+MICRO, NANO = 1_000_000, 1_000_000_000
+
+
+def _micro(col: str) -> Column:
+    return F.round(F.col(col) * F.lit(float(MICRO))).cast("long")
+
+
+def _mean(total: str, n: str) -> Column:
+    """The mean of ``n`` values in millionths that add up to ``total``, 0 without any."""
+    return F.when(F.col(n) > 0, F.col(total) / (F.col(n) * F.lit(MICRO)).cast("double")).otherwise(F.lit(0.0))
+
+
+def _rounded_mean(total: str, n: str) -> Column:
+    """The same at four decimals, half away from zero, decided in whole numbers."""
+    half_up = F.expr(f"(2 * abs({total}) + 100 * {n}) div (200 * {n})")
+    signed = F.when(F.col(total) < 0, -half_up).otherwise(half_up)
+    return F.when(F.col(n) > 0, signed / F.lit(10_000.0)).otherwise(F.lit(0.0))
+
+
 def lexicon_words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"([{WORD}]+)"), 1)
 
@@ -35,14 +58,18 @@ def doc_sentiment(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame)
     Words that miss the lexicon still carry their id, so no document is lost.
     """
     words = df.select(id_col, F.explode_outer(lexicon_words(F.col(text_col))).alias("word"))
-    return (
+    sums = (
         words.join(lexicon, "word", "left")
         .groupBy(id_col)
         .agg(
-            F.round(F.coalesce(F.avg("polarity"), F.lit(0.0)), 4).alias("polarity"),
-            F.round(F.coalesce(F.avg("subjectivity"), F.lit(0.0)), 4).alias("subjectivity"),
+            F.coalesce(F.sum(_micro("polarity")), F.lit(0)).alias("polarity"),
+            F.coalesce(F.sum(_micro("subjectivity")), F.lit(0)).alias("subj"),
+            F.count("subjectivity").alias("n"),
         )
     )
+    return sums.select(
+        id_col, _rounded_mean("polarity", "n").alias("polarity"), _rounded_mean("subj", "n").alias("subjectivity")
+    )
 
 
 def style_and_tone(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
@@ -51,18 +78,20 @@ def style_and_tone(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame
     A sentence break is white space, so the words of a text are those of its sentences. Text stays behind: per-document
     values are computed below the explodes, and only per-sentence sums are shuffled. Ids must be unique.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = df.select(
+    cut = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    cut = cut.withColumn("_sentences", style.sentences(F.col("_text")))
+    text, sentences = F.col("_text"), F.col("_sentences")
+    base = cut.select(
         F.col(id_col),
         F.struct(
             style.lexical_density(text).alias("density"),
             style.caps_ratio(text).alias("caps"),
             style.has_dateline(text).alias("dateline"),
-            style.exclamation_ratio(style.sentences(text)).alias("excl"),
+            style.exclamation_ratio(sentences).alias("excl"),
             style.caps_word_ratio(text).alias("caps_words"),
-            F.size(style.sentences(text)).cast("long").alias("n_sentences"),
+            F.size(sentences).cast("long").alias("n_sentences"),
         ).alias("own"),
-        F.transform(style.sentences(text), lexicon_words).alias("sentences"),
+        F.transform(sentences, lexicon_words).alias("sentences"),
     )
     words = base.select(id_col, "own", F.posexplode_outer("sentences").alias("pos", "words")).select(
         id_col, "own", "pos", F.explode_outer("words").alias("word")
@@ -71,27 +100,35 @@ def style_and_tone(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame
         words.join(lexicon, "word", "left")
         .groupBy(id_col, "pos", "own")
         .agg(
-            F.sum("polarity").alias("polarity"),
-            F.sum("subjectivity").alias("subj"),
+            F.coalesce(F.sum(_micro("polarity")), F.lit(0)).alias("polarity"),
+            F.coalesce(F.sum(_micro("subjectivity")), F.lit(0)).alias("subj"),
             F.count("subjectivity").alias("n"),
         )
+        .withColumn("mean", F.round(_mean("subj", "n") * F.lit(float(NANO))).cast("decimal(10,0)"))
     )
-    zero = F.lit(0.0)
     doc = sentence.groupBy(id_col, "own").agg(
-        F.coalesce(F.var_samp(F.coalesce(F.col("subj") / F.col("n"), zero)), zero).alias("variance"),
-        F.coalesce(F.sum("subj") / F.sum("n"), zero).alias("subj"),
-        F.coalesce(F.sum("polarity") / F.sum("n"), zero).alias("polarity"),
+        F.sum("polarity").alias("polarity"),
+        F.sum("subj").alias("subj"),
+        F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("m"),
+        F.sum("mean").alias("means"),
+        F.sum((F.col("mean") * F.col("mean")).cast("decimal(20,0)")).alias("squares"),
     )
-    tone = style.tone_score(F.col("subj"), F.col("own.excl"), F.col("own.caps_words"))
+    # m * squares - means ** 2 over m * (m - 1), all in whole numbers up to the last division.
+    above = F.expr("CAST(m * squares AS DECIMAL(38, 0)) - CAST(means * means AS DECIMAL(38, 0))").cast("double")
+    below = (F.col("m") * (F.col("m") - 1)).cast("double") * F.lit(float(NANO) ** 2)
+    variance = F.when(F.col("m") > 1, above / below).otherwise(F.lit(0.0))
+    subj = _mean("subj", "n")
+    tone = style.tone_score(subj, F.col("own.excl"), F.col("own.caps_words"))
     return doc.select(
         id_col,
-        F.round("variance", 4).alias("sub_variance"),
-        F.round("subj", 4).alias("mean_subjectivity"),
+        F.round(variance, 4).alias("sub_variance"),
+        _rounded_mean("subj", "n").alias("mean_subjectivity"),
         F.round("own.density", 4).alias("lexical_density"),
         F.round("own.caps", 4).alias("caps_ratio"),
         F.col("own.dateline").alias("has_dateline"),
-        F.round("polarity", 4).alias("overall_polarity"),
-        F.round("subj", 4).alias("overall_subjectivity"),
+        _rounded_mean("polarity", "n").alias("overall_polarity"),
+        _rounded_mean("subj", "n").alias("overall_subjectivity"),
         F.col("own.n_sentences").alias("sentence_count"),
         F.round("own.excl", 4).alias("exclamation_ratio"),
         F.round("own.caps_words", 4).alias("caps_word_ratio"),

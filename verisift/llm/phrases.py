@@ -1,17 +1,19 @@
 """Phrase collocations from a weighted de Bruijn graph of words.
 
 Nodes are runs of ``longest - 1`` words, edges runs of ``longest`` words weighed by their occurrences; two edges meet
-where the end of one is the start of the other. Only edges are counted in texts, together with what lies at the end of
-pieces. All shorter counts follow: an occurrence of a run of words either goes on by one word, and then is counted with a
-longer run that starts with it, or it ends its piece. So ``f(run) = sum of f(run + word) + pieces that end in run``, from
-the edges down to single words.
+where the end of one is the start of the other. Only edges are counted in texts, together with the runs that end short of
+an edge. All shorter counts follow: an occurrence of a run of words either goes on by one word, and then is counted with
+a longer run that starts with it, or it ends there. So ``f(run) = sum of f(run + word) + occurrences that end``, from the
+edges down to single words. Every place of a text is counted once, with the longest run from it.
 
 A run whose whole flow passes through one longer run is absorbed in it. Where edges follow each other through nodes like
 this, they are one unary path and are compacted to it; long passages that repeat are such paths.
 
-Counting is kept small by a sketch that loses nothing: words and pairs are first counted by hash in a table of cells, so
-a cell's count is at least that of any pair in it. Pieces are cut where a pair's cell stays below the least count, as no
-phrase across that place can reach it. The sketch grows with the input up to ``MAX_CELLS``; beyond, it only cuts less.
+Counting is kept small by sketches that lose nothing: words and pairs, then runs of frequent pairs, are first counted by
+hash in a table of cells, so a cell's count is at least that of any run in it. At a place a run ends, besides at the end
+of a piece, before the word that would take it to a cell below the least count: no phrase that long from that place can
+reach it, and shorter ones keep all their occurrences. Sketches grow with the input up to ``MAX_CELLS``; beyond, they
+only cut less.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ _TABLE = bytes(
 _U = np.uint64
 #: Cells of the sketch at least and at most (a bit each is broadcast), and those that one of its rows holds.
 MIN_CELLS, MAX_CELLS, ROW_CELLS = 2**20, 2**27, 2**16
-#: Words that a task counts at a time, and different words it keeps.
-FLUSH_WORDS, WORD_CACHE = 2_000_000, 300_000
+#: Words that a task counts at a time, different words and different phrases it keeps.
+FLUSH_WORDS, WORD_CACHE, PHRASE_CACHE = 2_000_000, 300_000, 400_000
 _BREAK, _NOTHING = 0, 1
 
 
@@ -76,12 +78,35 @@ class _Words(dict):
             self._reset()
 
 
-def _cells(words: np.ndarray, hashes: np.ndarray, n_cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of the words, and of the pairs that each word makes with the next one (meaningless at breaks)."""
-    own = hashes[words]
-    mask = _U(n_cells - 1)
-    pair = scramble(scramble(own[:-1]) + own[1:])
-    return (scramble(own) & mask).astype(np.int64), (pair & mask).astype(np.int64)
+class _Sketch:
+    """Frequent cells of some widths of runs: bits by the hash of a run."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self._bits, self._mask = bits, _U(len(bits) * 8 - 1)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        cells = (hashes & self._mask).astype(np.int64)
+        return (self._bits[cells >> 3] >> (7 - (cells & 7))) & 1 == 1
+
+
+def _longer(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of runs that go on by a word."""
+    return scramble(hashes + words)
+
+
+def _places(
+    known: _Words, words: np.ndarray, low: _Sketch | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, whether a place holds a frequent word, and whether it and the next make a frequent pair."""
+    own = known.hashes()[words]
+    real = words != _BREAK
+    if low is None:
+        return own, real, real[:-1] & real[1:]
+    real &= low.has(scramble(own))
+    joined = real[:-1] & real[1:]
+    at = np.flatnonzero(joined)
+    joined[at] = low.has(_longer(scramble(own[at]), own[at + 1]))
+    return own, real, joined
 
 
 def _by_language(
@@ -112,25 +137,37 @@ def _by_language(
         yield name, known[name], np.concatenate([np.zeros(1, dtype=np.int64), *parts])
 
 
-def _sketch_parts(texts: DataFrame, n_cells: int, least: int) -> DataFrame:
-    """(row, cells, counts): counts of the cells of a row of the sketch in a portion, cut at ``least``."""
+def _sketch_parts(texts: DataFrame, low: np.ndarray | None, widths: range, n_cells: int, least: int) -> DataFrame:
+    """(row, cells, counts): counts of the cells of a row of the sketch in a portion, cut at ``least``.
+
+    Runs of ``widths`` words are counted, those of more than two words where all their pairs are frequent by ``low``.
+    """
     kind = np.uint16 if least < 2**16 else np.int64
+    shared = texts.sparkSession.sparkContext.broadcast(low)
+    mask = _U(n_cells - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = None if shared.value is None else _Sketch(shared.value)
         for _, known, words in _by_language(batches):
-            own, pair = _cells(words, known.hashes(), n_cells)
-            real = words != _BREAK
-            met = np.concatenate([own[real], pair[real[:-1] & real[1:]]])
-            cells, counts = np.unique(met, return_counts=True)
+            own, real, joined = _places(known, words, sketch)
+            start = np.flatnonzero(real)
+            hashes, met = scramble(own[start]), []
+            for width in range(1, widths.stop):
+                if width in widths:
+                    met.append((hashes & mask).astype(np.int64))
+                on = np.append(joined, False)[start + width - 1]
+                start, hashes = start[on], hashes[on]
+                hashes = _longer(hashes, own[start + width])
+            cells, counts = np.unique(np.concatenate(met), return_counts=True)
             counts = np.minimum(counts, least).astype(kind)
-            rows, start = np.unique(cells // ROW_CELLS, return_index=True)
-            ends = [*start[1:].tolist(), len(cells)]
-            low = (cells % ROW_CELLS).astype(np.uint16)
+            rows, begin = np.unique(cells // ROW_CELLS, return_index=True)
+            ends = [*begin[1:].tolist(), len(cells)]
+            within = (cells % ROW_CELLS).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rows, type=pa.int64()),
-                    pa.array([low[a:b].tobytes() for a, b in zip(start, ends, strict=True)], type=pa.binary()),
-                    pa.array([counts[a:b].tobytes() for a, b in zip(start, ends, strict=True)], type=pa.binary()),
+                    pa.array([within[a:b].tobytes() for a, b in zip(begin, ends, strict=True)], type=pa.binary()),
+                    pa.array([counts[a:b].tobytes() for a, b in zip(begin, ends, strict=True)], type=pa.binary()),
                 ],
                 names=["row", "cells", "counts"],
             )
@@ -138,8 +175,8 @@ def _sketch_parts(texts: DataFrame, n_cells: int, least: int) -> DataFrame:
     return texts.mapInArrow(run, "row long, cells binary, counts binary")
 
 
-def _frequent_cells(texts: DataFrame, n_cells: int, least: int) -> np.ndarray:
-    """A bit per cell: whether words or pairs that fall in it occur ``least`` times in all.
+def _frequent_cells(texts: DataFrame, low: np.ndarray | None, widths: range, n_cells: int, least: int) -> np.ndarray:
+    """A bit per cell: whether runs of ``widths`` words that fall in it occur ``least`` times in all.
 
     Parts stream by one at a time in order of their row, so a task holds one row of the sketch.
     """
@@ -164,7 +201,7 @@ def _frequent_cells(texts: DataFrame, n_cells: int, least: int) -> np.ndarray:
         if row is not None:
             yield done()
 
-    parts = _sketch_parts(texts, n_cells, least).repartition("row").sortWithinPartitions("row")
+    parts = _sketch_parts(texts, low, widths, n_cells, least).repartition("row").sortWithinPartitions("row")
     frequent = np.zeros(n_cells // 8, dtype=np.uint8)
     width = ROW_CELLS // 8
     # At most MAX_CELLS bits come to the driver, whatever the table.
@@ -173,64 +210,75 @@ def _frequent_cells(texts: DataFrame, n_cells: int, least: int) -> np.ndarray:
     return frequent
 
 
-def _count_in_texts(texts: DataFrame, frequent: np.ndarray, n_cells: int, longest: int) -> DataFrame:
-    """(lang, width, phrase, n): edges, and the last runs of 1 to ``longest - 1`` words of every cut piece."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+_COUNTED = "lang string, width int, phrase string, n long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for lang, known, words in _by_language(batches):
-            own, pair = _cells(words, known.hashes(), n_cells)
-
-            def is_set(cells: np.ndarray) -> np.ndarray:
-                return (bits[cells >> 3] >> (7 - (cells & 7))).astype(np.uint8) & 1 == 1
 
-            real = (words != _BREAK) & is_set(own)
-            joined = real[:-1] & real[1:]
-            joined[joined] = is_set(pair[joined])
-            yield from _counted(lang, known.words, words, real, joined, longest)
+def _count_in_texts(texts: DataFrame, low: np.ndarray, high: np.ndarray, longest: int) -> DataFrame:
+    """(lang, width, phrase, n): the longest run from every place, summed up over what a task can keep."""
+    shared = texts.sparkSession.sparkContext.broadcast((low, high))
 
-    return texts.mapInArrow(run, "lang string, width int, phrase string, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = (_Sketch(bits) for bits in shared.value)
+        sums: dict[tuple[str, int], dict[bytes, int]] = {}
+        for lang, known, words in _by_language(batches):
+            for width, phrases, n in _counted(known, words, low, high, longest):
+                into = sums.setdefault((lang, width), {})
+                for phrase, count in zip(phrases, n, strict=True):
+                    into[phrase] = into.get(phrase, 0) + count
+            if sum(map(len, sums.values())) > PHRASE_CACHE:
+                yield from _batches(sums)
+                sums = {}
+        yield from _batches(sums)
+
+    return texts.mapInArrow(run, _COUNTED)
+
+
+def _batches(sums: dict[tuple[str, int], dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+    for (lang, width), counts in sums.items():
+        phrases, n = list(counts), list(counts.values())
+        for begin in range(0, len(phrases), 50_000):
+            chunk = phrases[begin : begin + 50_000]
+            columns = [
+                pa.array([lang] * len(chunk), type=pa.string()),
+                pa.array([width] * len(chunk), type=pa.int32()),
+                pa.array(chunk, type=pa.binary()).cast(pa.string()),
+                pa.array(n[begin : begin + 50_000], type=pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "width", "phrase", "n"])
 
 
 def _counted(
-    lang: str, names: list[bytes], words: np.ndarray, real: np.ndarray, joined: np.ndarray, longest: int
-) -> Iterator[pa.RecordBatch]:
-    """Counts of one portion. Runs are numbered exactly, one word longer at a time; equal numbers are equal runs."""
+    known: _Words, words: np.ndarray, low: _Sketch, high: _Sketch, longest: int
+) -> Iterator[tuple[int, list[bytes], list[int]]]:
+    """(width, phrases, counts) of one portion: the longest run from every place that may be frequent.
+
+    Runs are numbered exactly, one word longer at a time; equal numbers are equal runs. Hashes only tell where to end.
+    """
+    names = known.words
+    own, real, joined = _places(known, words, low)
+    goes_on = np.append(joined, False)
     start = np.flatnonzero(real)
-    number = words[start]
+    number, hashes = words[start], scramble(own[start])
     # A place where each number stands.
     place = np.zeros(len(names), dtype=np.int64)
     place[number] = start
-    # Of each place, whether the run from it goes on.
-    goes_on = np.append(joined, False)
     for width in range(1, longest + 1):
         if not len(start):
             return
-        ends = ~goes_on[start + width - 1]
-        counted = slice(None) if width == longest else ends
-        some, n = np.unique(number[counted], return_counts=True)
+        on = goes_on[start + width - 1] if width < longest else np.zeros(len(start), dtype=bool)
+        further = _longer(hashes[on], own[start[on] + width])
+        if width > 1:
+            more = high.has(further)
+            on[np.flatnonzero(on)[~more]] = False
+            further = further[more]
+        some, n = np.unique(number[~on], return_counts=True)
         if len(some):
-            at = place[some]
-            columns = [words[at + k].tolist() for k in range(width)]
-            phrases = [b" ".join([names[w] for w in row]).decode("utf-8", "surrogatepass") for row in zip(*columns)]
-            for begin in range(0, len(some), 50_000):
-                chunk = phrases[begin : begin + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(chunk), type=pa.string()),
-                        pa.array([width] * len(chunk), type=pa.int32()),
-                        pa.array(chunk, type=pa.string()),
-                        pa.array(n[begin : begin + 50_000], type=pa.int64()),
-                    ],
-                    names=["lang", "width", "phrase", "n"],
-                )
-        if width == longest:
-            return
-        start, number = start[~ends], number[~ends]
-        pairs = number * len(names) + words[start + width]
-        _, place, number = np.unique(pairs, return_index=True, return_inverse=True)
-        place = start[place]
+            columns = [words[place[some] + k].tolist() for k in range(width)]
+            yield width, [b" ".join([names[w] for w in row]) for row in zip(*columns, strict=True)], n.tolist()
+        start, hashes = start[on], further
+        pairs = number[on] * len(names) + words[start + width]
+        _, first, number = np.unique(pairs, return_index=True, return_inverse=True)
+        place = start[first]
 
 
 def head(phrase: Column, words: Column | int) -> Column:
@@ -248,8 +296,9 @@ def phrase_counts(texts: DataFrame, longest: int, least: int, n_words: int) -> d
     n_cells = MIN_CELLS
     while n_cells < MAX_CELLS and n_cells * 4 < n_words:
         n_cells *= 2
-    frequent = _frequent_cells(texts, n_cells, least)
-    counted = _count_in_texts(texts, frequent, n_cells, longest)
+    low = _frequent_cells(texts, None, range(1, 3), n_cells, least)
+    high = _frequent_cells(texts, low, range(3, longest + 1), n_cells, least) if longest > 2 else low
+    counted = _count_in_texts(texts, low, high, longest)
     counted = written(counted.groupBy("lang", "width", "phrase").agg(F.sum("n").alias("n")), "edges-and-ends")
     flow = counted.filter(F.col("width") == longest).select("lang", "phrase", F.col("n").alias("f"))
     levels = {longest: flow.filter(F.col("f") >= least)}

@@ -37,21 +37,54 @@ def related_articles(
     """``(query_id, doc_id, relevancy, place)``: the ``page_size`` corpus rows with the highest summed
     IDF of shared terms, ties by id.
 
-    ``queries`` is ``(query_id, query)``, ``corpus`` is ``(doc_id, text)``. The corpus is tokenised once, and only
-    (row, term) pairs of terms that a query has are kept. They meet the queries by term; sums are over the pairs that
-    share a term, and the window keeps a page per query before its shuffle.
+    ``queries`` is ``(query_id, query)``, ``corpus`` is ``(doc_id, text)``, both with unique ids. The corpus is tokenised
+    once, and only (row, term) pairs of terms that a query has are kept. Terms are taken rarest first. A few rows of
+    every term give each query a floor that its page reaches at least. A row that shares only terms from some point on
+    cannot pass what these terms add up to; from where that lies below the floor, terms are only probed in rows that a
+    rarer term brought up, and never bring up rows themselves. So a term that a third of all rows have costs nothing
+    for queries that have rarer ones.
     """
     asked = queries.select("query_id", F.explode(distinct_terms(F.col("query"))).alias("term"))
+    asked = stored(asked, "asked")
     wanted = asked.select("term").distinct()
     present = corpus.select("doc_id", F.explode(distinct_terms(F.col("text"))).alias("term"))
     present = stored(present.join(wanted, "term", "left_semi"), "present")
     weights = present.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = asked.join(weights.select("term", idf(F.col("df"), n_docs).alias("w")), "term")
-    scored = weighted.join(present, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("sum"))
-    scored = scored.select("query_id", "doc_id", F.round("sum", SIMILARITY_DIGITS).alias("relevancy"))
+    # What a row can reach with this term as its rarest: a query has few terms, whatever the corpus.
+    onward = W.partitionBy("query_id").orderBy(F.desc("w"), "term").rowsBetween(W.currentRow, W.unboundedFollowing)
+    weighted = stored(weighted.withColumn("reach", F.sum("w").over(onward)), "weighted")
+
+    some = F.row_number().over(W.partitionBy("term").orderBy("doc_id"))
+    few = present.withColumn("_n", some).filter(F.col("_n") <= page_size).drop("_n")
+    seeds = probed(weighted.select("query_id", "term").join(few, "term"), weighted, present)
+    floors = _page(seeds, page_size).filter(F.col("place") == page_size)
+    floors = floors.select("query_id", (F.col("relevancy") - 10.0**-SIMILARITY_DIGITS).alias("floor"))
+    open_ = weighted.join(floors, "query_id", "left").filter(F.col("reach") >= F.coalesce("floor", F.lit(0.0)))
+    found = probed(open_.select("query_id", "term").join(present, "term"), weighted, present)
+    return _page(found, page_size).select("query_id", "doc_id", "relevancy", F.col("place").cast("long").alias("place"))
+
+
+def probed(brought: DataFrame, weighted: DataFrame, present: DataFrame) -> DataFrame:
+    """(query_id, doc_id, relevancy) of the pairs in ``brought``, summed over all terms they share.
+
+    The terms of a row and the weights of a query travel as arrays, so a pair stays one row. Weights are added in one
+    order, the heaviest first.
+    """
+    pairs = brought.select("query_id", "doc_id").distinct()
+    rows = present.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    # As many terms as a row and the queries share, and as a query has.
+    rows = rows.groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
+    asked = weighted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("w", "term")), asc=False).alias("asked"))
+    both = pairs.join(rows, "doc_id").join(asked, "query_id")
+    shared = F.filter("asked", lambda a: F.array_contains("terms", a["term"]))
+    total = F.aggregate(shared, F.lit(0.0), lambda s, a: s + a["w"])
+    return both.select("query_id", "doc_id", F.round(total, SIMILARITY_DIGITS).alias("relevancy"))
+
+
+def _page(scored: DataFrame, page_size: int) -> DataFrame:
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("relevancy"), "doc_id"))
-    found = scored.withColumn("place", place).filter(F.col("place") <= page_size)
-    return found.select("query_id", "doc_id", "relevancy", F.col("place").cast("long").alias("place"))
+    return scored.withColumn("place", place).filter(F.col("place") <= page_size)
 
 
 def cross_reference(queries: DataFrame, related: DataFrame, sources: DataFrame) -> DataFrame:

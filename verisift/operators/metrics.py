@@ -10,11 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import stored
+from .prefix import sums_before
 
 METRICS = ("accuracy", "precision", "recall", "f1", "auc_roc")
-#: Distinct scores that a window of the second level sees, about.
-BUCKET_SCORES = 100_000
 
 
 def _n(condition: Column) -> Column:
@@ -58,46 +56,16 @@ def running_counts(scores: DataFrame, keys: list[str], score_digits: int | None
     """Per distinct score: its counts, and positives and negatives of all lower scores.
 
     Scores rounded to ``score_digits`` decimals have at most ``10**digits + 1`` values per key, so a
-    plain window is bounded. With ``score_digits=None`` the distinct scores are cut at their
-    quantiles and summed in two levels, so no task sees more than a bucket.
+    plain window is bounded. With ``score_digits=None`` scores are dealt by ranges; each range needs only what the
+    ranges before it add up to, so no task sees more than a range, however many scores differ.
     """
     at = _per_score(scores, keys, score_digits)
-    columns = [*keys, "score", "pos", "neg", "tp", "fp"]
-
-    def before(partition: list[str], order: str, col: str) -> Column:
-        window = W.partitionBy(*partition).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        return F.coalesce(F.sum(col).over(window), F.lit(0).cast("long"))
-
-    if score_digits is not None:
-        return at.select(
-            *columns, before(keys, "score", "pos").alias("pos_below"), before(keys, "score", "neg").alias("neg_below")
-        )
-    # The edges are few numbers, fixed on the driver so both levels see the same buckets.
-    at = stored(at, "per-score")
-    buckets = max(2, -(-at.count() // BUCKET_SCORES))
-    steps = [i / buckets for i in range(1, buckets)]
-    edges = sorted(set(at.agg(F.percentile_approx("score", steps, 10_000).alias("e")).first()["e"] or []))
-    edge_array = F.array(*[F.lit(e) for e in edges]).cast("array<double>")
-    at = at.withColumn("bucket", F.size(F.filter(edge_array, lambda e: e < F.col("score"))))
-    level = at.groupBy(*keys, "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    level = level.select(
-        *[F.col(k).alias(f"_{k}") for k in keys],
-        F.col("bucket").alias("_bucket"),
-        before(keys, "bucket", "pos").alias("_pos"),
-        before(keys, "bucket", "neg").alias("_neg"),
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("bucket") == F.col("_bucket")]
-    part = [*keys, "bucket"]
-    return (
-        at.withColumn("pos_in", before(part, "score", "pos"))
-        .withColumn("neg_in", before(part, "score", "neg"))
-        .join(level, same)
-        .select(
-            *columns,
-            (F.col("_pos") + F.col("pos_in")).alias("pos_below"),
-            (F.col("_neg") + F.col("neg_in")).alias("neg_below"),
-        )
-    )
+    sums = {"pos_below": "pos", "neg_below": "neg"}
+    if score_digits is None:
+        return sums_before(at, [*keys, "score"], keys, sums)
+    lower = W.partitionBy(*keys).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    below = (F.coalesce(F.sum(c).over(lower), F.lit(0).cast("long")).alias(into) for into, c in sums.items())
+    return at.select(*keys, "score", "pos", "neg", "tp", "fp", *below)
 
 
 def _auc() -> Column:

@@ -36,22 +36,23 @@ def positions(df: DataFrame, order: list[Column | str], group: list[str], into:
     return found.select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias(into))
 
 
-def running_sums(df: DataFrame, order: list[Column | str], sums: dict[str, str]) -> DataFrame:
-    """``df`` with ``sums`` (new column: summed column) up to and including the row; the order must be total.
+def sums_before(df: DataFrame, order: list[Column | str], group: list[str], sums: dict[str, str]) -> DataFrame:
+    """``df`` with ``sums`` (new column: summed column) over the earlier rows of the group, 0 for its first row.
 
-    Within a range a window adds up; ranges hold a partition of the table each.
+    ``order`` starts with the columns of ``group``, which may hold nulls, and is total within a group. A window only adds
+    up rows of one range.
     """
     rows = in_order(df, order)
-    totals = rows.groupBy("_part").agg(*(F.sum(c).alias(f"_all_{into}") for into, c in sums.items()))
-    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    for into in sums:
-        totals = totals.withColumn(f"_before_{into}", F.sum(f"_all_{into}").over(earlier))
-    here = W.partitionBy("_part").orderBy("_at")
-    found = rows.join(totals, "_part")
-    return found.select(
-        *df.columns,
-        *(
-            (F.sum(c).over(here) + F.coalesce(f"_before_{into}", F.lit(0))).alias(into)
-            for into, c in sums.items()
-        ),
+    totals = rows.groupBy("_part", *group).agg(*(F.sum(c).alias(f"_all_{into}") for into, c in sums.items()))
+    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(
+        F.col("_part").alias("_range"),
+        *(F.col(g).alias(f"_group_{g}") for g in group),
+        *(F.coalesce(F.sum(f"_all_{into}").over(earlier), F.lit(0)).alias(f"_before_{into}") for into in sums),
+    )
+    same = [F.col("_part") == F.col("_range"), *(F.col(g).eqNullSafe(F.col(f"_group_{g}")) for g in group)]
+    here = W.partitionBy("_part", *group).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    within = {into: F.coalesce(F.sum(c).over(here), F.lit(0)) for into, c in sums.items()}
+    return rows.join(totals, same).select(
+        *df.columns, *((F.col(f"_before_{into}") + inner).alias(into) for into, inner in within.items())
     )

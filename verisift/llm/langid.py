@@ -110,6 +110,15 @@ class LanguageNetwork:
     def parameters(self) -> list[np.ndarray]:
         return [*self.forth.parameters(), *self.back.parameters(), self.out, self.bias]
 
+    @classmethod
+    def of(cls, languages: list[str], parameters: list[np.ndarray]) -> LanguageNetwork:
+        """The network with ``parameters`` in the order of that method."""
+        network = object.__new__(cls)
+        network.languages = languages
+        network.forth, network.back = Recurrence(*parameters[:3]), Recurrence(*parameters[3:6])
+        network.out, network.bias = parameters[6:]
+        return network
+
     def position_probabilities(self, x: np.ndarray) -> np.ndarray:
         """Probabilities (steps, windows, languages) for windows ``x`` of byte values or PAD."""
         forth, _ = self.forth.states(x)
@@ -249,13 +258,15 @@ def label_languages(
     docs: DataFrame, network: LanguageNetwork, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "lang_score")
 ) -> DataFrame:
     """``docs`` with the language and its pooled probability that ``network`` gives, as ``identify_languages`` says."""
-    model = docs.sparkSession.sparkContext.broadcast(network)
+    # Plain arrays and names: a broadcast object would need this package on every executor.
+    model = docs.sparkSession.sparkContext.broadcast((network.languages, network.parameters()))
     kept = [c for c in docs.columns if c not in into]
     rows = docs.select(*(F.col(f"`{c}`") for c in kept))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = LanguageNetwork.of(*model.value)
         for batch in slices(batches, text_col):
-            found = model.value.predict(batch.column(text_col).to_pylist())
+            found = shared.predict(batch.column(text_col).to_pylist())
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*kept, *into])
 

@@ -3,6 +3,10 @@
 A fitted candidate is a ``PipelineModel`` over a ``features`` column. The linear SVM has no
 probability of its own: it is fitted on each fold's complement and calibrated on the fold by a
 one-dimensional logistic fit, and its probability is the mean over the folds.
+
+A search over settings reads its rows as few times as it can: the linear families fit all folds and settings in the same
+passes, a forest of more trees is the smaller one and the trees that it lacks, and the networks of all settings and folds
+train next to each other.
 """
 
 from __future__ import annotations
@@ -13,17 +17,10 @@ from multiprocessing.pool import ThreadPool
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorSlicer
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import SQLTransformer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -32,7 +29,10 @@ from ..session import stored
 from ..sources.artifacts import load_model, save_model
 from .corpus import split_key
 from .features import apply_features, fit_features
+from .linear import Problem, fit_together, held_out_f1
 from .metrics import binary_metrics
+from .network import ReluNetworkModel, fit_network, network_f1
+from .passes import sparse_rows
 from .ranking import rank_candidates
 
 CANDIDATES = ("logistic_regression", "svm", "random_forest", "neural_network")
@@ -44,25 +44,33 @@ TOLERANCE = 1e-4  # relative change of the objective at which a linear fit stops
 SVM_ITERATIONS = 1000
 SVM_FOLDS = 3
 TREES, MAX_TREE_DEPTH = 300, 30  # 30 is the deepest tree Spark grows
-HIDDEN_LAYERS, MLP_ITERATIONS = (256, 128), 20
-GRID_C = (0.5, 1.0, 2.0)
+HIDDEN_LAYERS, EPOCHS, ALPHA = (256, 128), 20, 1e-4
+GRID_C, GRID_SOLVER = (0.5, 1.0, 2.0), ("liblinear", "lbfgs")
 GRID_TREES, GRID_DEPTH, GRID_LEAF = (200, 300), (MAX_TREE_DEPTH, 20), (1, 2)
-GRID_LAYERS = ((128,), (64, 128))
-CV_FOLDS = 3
+GRID_LAYERS, GRID_ALPHA = ((128,), (64, 128)), (1e-4, 1e-3)
+CV_FOLDS, PARALLEL_FITS = 3, 4
 
 def _regularization(c: float, n_rows: int) -> float:
     """Spark divides the loss by the row count, so strength C becomes ``1 / (C * n)``."""
     return 1.0 / (c * max(n_rows, 1))
 
 
-def logistic_regression(n_rows: int, c: float = C) -> LogisticRegression:
-    return LogisticRegression(
+def logistic_regression(n_rows: int, c: float = C, solver: str = "lbfgs") -> list:
+    """Stages of a logistic regression; with ``liblinear`` the intercept is a weight and regularised like the others."""
+    bound = solver == "liblinear"
+    fit = LogisticRegression(
+        featuresCol="features_and_one" if bound else "features",
+        fitIntercept=not bound,
         regParam=_regularization(c, n_rows),
         elasticNetParam=0.0,
         standardization=False,
         maxIter=LR_ITERATIONS,
         tol=TOLERANCE,
     )
+    if not bound:
+        return [fit]
+    one = SQLTransformer(statement="SELECT *, 1.0D AS one FROM __THIS__")
+    return [one, VectorAssembler(inputCols=["features", "one"], outputCol="features_and_one"), fit]
 
 
 def linear_svm(n_rows: int, c: float = C) -> LinearSVC:
@@ -78,10 +86,19 @@ def random_forest(seed: int = 42, trees: int = TREES, depth: int = MAX_TREE_DEPT
 
 
 def neural_network(
-    n_features: int, seed: int = 42, hidden: tuple[int, ...] = HIDDEN_LAYERS, iterations: int = MLP_ITERATIONS
-) -> MultilayerPerceptronClassifier:
-    """Spark's network has sigmoid units and a batch solver, unlike a ReLU network with Adam."""
-    return MultilayerPerceptronClassifier(layers=[n_features, *hidden, 2], maxIter=iterations, seed=seed)
+    train: DataFrame,
+    n_features: int,
+    seed: int = 42,
+    hidden: tuple[int, ...] = HIDDEN_LAYERS,
+    alpha: float = ALPHA,
+    id_col: str = "doc_id",
+) -> ReluNetworkModel:
+    """Rectified layers, Adam, L2 strength ``alpha``; ends early by held-out rows."""
+    rows = stored(sparse_rows(train, id_col).hint("rebalance"), "sparse").persist()
+    try:
+        return ReluNetworkModel(fit_network(rows, n_features, hidden, alpha, EPOCHS, seed), n_features, hidden)
+    finally:
+        rows.unpersist()
 
 
 def with_fold(df: DataFrame, folds: int, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
@@ -150,18 +167,15 @@ def p_real(name: str) -> Column:
 
 
 def fit_candidate(name: str, train: DataFrame, n_features: int, seed: int = 42, id_col: str = "doc_id", **params) -> PipelineModel:
-    n_rows = train.count()
     if name == "svm":
         return fit_calibrated_svm(train, seed, params.get("c", C), id_col)
+    if name == "neural_network":
+        return PipelineModel([neural_network(train, n_features, seed, id_col=id_col, **params)])
     if name == "logistic_regression":
-        estimator = logistic_regression(n_rows, **params)
-    elif name == "random_forest":
-        estimator = random_forest(seed, **params)
-    elif name == "neural_network":
-        estimator = neural_network(n_features, seed, **params)
-    else:
-        raise ValueError(f"unknown candidate {name}")
-    return PipelineModel([estimator.fit(train)])
+        return Pipeline(stages=logistic_regression(train.count(), **params)).fit(train)
+    if name == "random_forest":
+        return PipelineModel([random_forest(seed, **params).fit(train)])
+    raise ValueError(f"unknown candidate {name}")
 
 
 def score_with(name: str, model: PipelineModel, table: DataFrame, keep: list[str]) -> DataFrame:
@@ -228,14 +242,11 @@ def fit_candidates(
     table = stored(table, "features").persist()
     try:
         fit_on = _split(table, "train")
-        tuning: dict[str, tuple[str, float]] = {}
-        models = {}
-        for name in names:
-            if tune:
-                models[name], best, score = tune_candidate(name, fit_on, len(feature_names), seed)
-                tuning[name] = (best, score)
-            else:
-                models[name] = fit_candidate(name, fit_on, len(feature_names), seed)
+        found = search(names, fit_on, len(feature_names), seed) if tune else {}
+        tuning = {name: (_described(params), score) for name, (params, score) in found.items()}
+        models = {
+            name: fit_candidate(name, fit_on, len(feature_names), seed, **found.get(name, ({}, None))[0]) for name in names
+        }
         metrics = metrics_of(models, table, ("validation", "test"))
         # One row per model and split.
         metrics = corpus.sparkSession.createDataFrame(metrics.collect(), metrics.schema)
@@ -244,61 +255,106 @@ def fit_candidates(
     return Trained(features, feature_names, models, metrics, tuning)
 
 
-def _grid(name: str, n_rows: int, n_features: int, seed: int):
+def grid_of(name: str) -> list[dict]:
+    """The settings that are tried for a family."""
     if name == "logistic_regression":
-        est = logistic_regression(n_rows)
-        return est, ParamGridBuilder().addGrid(est.regParam, [_regularization(c, n_rows) for c in GRID_C]).build()
+        return [{"c": c, "solver": solver} for c in GRID_C for solver in GRID_SOLVER]
     if name == "svm":
-        est = linear_svm(n_rows)
-        return est, ParamGridBuilder().addGrid(est.regParam, [_regularization(c, n_rows) for c in GRID_C]).build()
+        return [{"c": c} for c in GRID_C]
     if name == "random_forest":
-        est = random_forest(seed)
-        grid = ParamGridBuilder().addGrid(est.numTrees, list(GRID_TREES)).addGrid(est.maxDepth, list(GRID_DEPTH))
-        return est, grid.addGrid(est.minInstancesPerNode, list(GRID_LEAF)).build()
-    est = neural_network(n_features, seed)
-    return est, ParamGridBuilder().addGrid(est.layers, [[n_features, *h, 2] for h in GRID_LAYERS]).build()
-
-
-def _describe(name: str, params: dict, n_rows: int) -> tuple[str, dict]:
-    values = {p.name: v for p, v in params.items()}
-    if "regParam" in values:
-        c = round(1.0 / (values["regParam"] * n_rows), 6)
-        return f"C={c}", {"c": c}
-    if "numTrees" in values:
-        kw = {"trees": values["numTrees"], "depth": values["maxDepth"], "leaf": values["minInstancesPerNode"]}
-    else:
-        kw = {"hidden": tuple(values["layers"][1:-1])}
-    return ", ".join(f"{k}={v}" for k, v in kw.items()), kw
-
-
-def tune_candidate(
-    name: str, train: DataFrame, n_features: int, seed: int = 42, folds: int = CV_FOLDS, parallelism: int = 4
-) -> tuple[PipelineModel, str, float]:
-    """Best model by mean F1 of the positive class over the folds, its settings and that score."""
-    # Each fit of the search sees all folds but one.
-    n_rows = round(train.count() * (folds - 1) / folds)
-    estimator, grid = _grid(name, n_rows, n_features, seed)
-    judge = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=grid,
-        evaluator=judge,
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-        seed=seed,
-    ).fit(stored(with_fold(train, folds, seed).hint("rebalance"), "folds"))
-    scores = list(search.avgMetrics)
-    at = max(range(len(scores)), key=lambda i: (scores[i], -i))
-    text, params = _describe(name, grid[at], n_rows)
-    if name == "svm":
-        model = fit_calibrated_svm(train, seed, params["c"])
-    elif name == "logistic_regression":
-        # The strength refers to the rows of a fit, and this one sees them all.
-        model = PipelineModel([logistic_regression(train.count(), params["c"]).fit(train)])
-    else:
-        model = PipelineModel([search.bestModel])
-    return model, text, round(float(scores[at]), 4)
+        return [{"trees": t, "depth": d, "leaf": m} for d in GRID_DEPTH for m in GRID_LEAF for t in GRID_TREES]
+    return [{"hidden": hidden, "alpha": alpha} for hidden in GRID_LAYERS for alpha in GRID_ALPHA]
+
+
+def _described(params: dict) -> str:
+    return ", ".join(f"{k}={v}" for k, v in params.items())
+
+
+def linear_scores(names: tuple[str, ...], rows: DataFrame, n_features: int, folds: int) -> dict[str, list[list[float]]]:
+    """F1 per setting and fold of the linear families, fitted in the same passes."""
+    problems, owners = [], []
+    for name in names:
+        for at, params in enumerate(grid_of(name)):
+            for fold in range(folds):
+                loss = "hinge" if name == "svm" else "log"
+                problems.append(Problem(loss, params["c"], fold, params.get("solver") == "liblinear"))
+                owners.append((name, at))
+    weights, _ = fit_together(rows, problems, n_features, TOLERANCE)
+    scores: dict[str, list[list[float]]] = {name: [[] for _ in grid_of(name)] for name in names}
+    for (name, at), f1 in zip(owners, held_out_f1(rows, problems, weights), strict=True):
+        scores[name][at].append(f1)
+    return scores
+
+
+def _f1_of(said: Column, into: str) -> Column:
+    true = F.col("label") == 1
+    tp, wrong = (F.sum(c.cast("long")) for c in (said & true, said != true))
+    return F.coalesce(F.try_divide(2.0 * tp, 2.0 * tp + wrong), F.lit(0.0)).alias(into)
+
+
+def forest_scores(folded: DataFrame, folds: int, seed: int) -> list[list[float]]:
+    """F1 per setting and fold. Of one depth and leaf size, a larger forest is the next smaller one and further trees."""
+    steps = [n - before for n, before in zip(GRID_TREES, (0, *GRID_TREES), strict=False)]
+
+    def scored(task: tuple[int, int, int]) -> list[float]:
+        depth, leaf, fold = task
+        train, held = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold).select("label", "features")
+        total, votes = F.lit(0.0), []
+        for part, trees in enumerate(steps):
+            forest = random_forest(seed + part, trees, depth, leaf)
+            forest = forest.setProbabilityCol(f"p_{part}").setRawPredictionCol(f"r_{part}").setPredictionCol(f"c_{part}")
+            held = forest.fit(train).transform(held)
+            total = total + trees * vector_to_array(F.col(f"p_{part}"))[1]
+            votes.append(_f1_of(total > sum(steps[: part + 1]) / 2.0, f"f1_{part}"))
+        return list(held.agg(*votes).first())
+
+    tasks = [(d, m, fold) for d in GRID_DEPTH for m in GRID_LEAF for fold in range(folds)]
+    with ThreadPool(PARALLEL_FITS) as pool:
+        found = dict(zip(tasks, pool.map(scored, tasks), strict=True))
+    return [
+        [found[d, m, fold][part] for fold in range(folds)]
+        for d in GRID_DEPTH
+        for m in GRID_LEAF
+        for part in range(len(GRID_TREES))
+    ]
+
+
+def network_scores(rows: DataFrame, n_features: int, folds: int, seed: int) -> list[list[float]]:
+    """F1 per setting and fold; the fits are independent jobs over the same kept rows, so they share the cluster."""
+    tasks = [(params, fold) for params in grid_of("neural_network") for fold in range(folds)]
+
+    def scored(task: tuple[dict, int]) -> float:
+        params, fold = task
+        weights = fit_network(rows, n_features, params["hidden"], params["alpha"], EPOCHS, seed, fold)
+        return network_f1(rows, [(weights, params["hidden"], fold)], n_features)[0]
+
+    with ThreadPool(PARALLEL_FITS) as pool:
+        found = pool.map(scored, tasks)
+    return [found[at : at + folds] for at in range(0, len(found), folds)]
+
+
+def search(
+    names: tuple[str, ...], train: DataFrame, n_features: int, seed: int = 42, folds: int = CV_FOLDS
+) -> dict[str, tuple[dict, float]]:
+    """Per family the settings of the highest mean F1 over the folds (of equal ones the first) and that mean."""
+    folded = stored(with_fold(train, folds, seed).hint("rebalance"), "folds").persist()
+    rows = stored(sparse_rows(folded), "sparse").persist()
+    try:
+        linear = tuple(n for n in names if n in ("logistic_regression", "svm"))
+        scores = linear_scores(linear, rows, n_features, folds) if linear else {}
+        if "random_forest" in names:
+            scores["random_forest"] = forest_scores(folded, folds, seed)
+        if "neural_network" in names:
+            scores["neural_network"] = network_scores(rows, n_features, folds, seed)
+    finally:
+        folded.unpersist()
+        rows.unpersist()
+    best = {}
+    for name in names:
+        means = [sum(s) / len(s) for s in scores[name]]
+        at = max(range(len(means)), key=lambda i: (means[i], -i))
+        best[name] = (grid_of(name)[at], round(float(means[at]), 4))
+    return best
 
 
 def tuning_table(spark: SparkSession, trained: Trained) -> DataFrame:

@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import math
+import os
+import shutil
+import subprocess
 import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from verisift.catalog import all_queries
-from verisift.operators import corpus, metrics, models, similarity
+from verisift.operators import corpus, crossref, linear, metrics, models, network, passes, prefix, similarity
 from verisift.operators.features import apply_features, fit_features
 from verisift.plans.train_and_select import train_and_select
 from verisift.sources import artifacts, tables
 from verisift.sources.tables import require_columns
 
 QUERIES = {q.name: q for q in all_queries()}
+ROOT = Path(__file__).resolve().parent.parent
 
 
 def rows_of(df):
@@ -132,7 +137,7 @@ def _toy(spark):
     )
 
 
-@pytest.mark.parametrize("name", ["logistic_regression", "svm"])
+@pytest.mark.parametrize("name", models.CANDIDATES)
 def test_candidates_separate_a_toy_corpus(spark, name):
     trained = models.fit_candidates(_toy(spark), (name,))
     got = {r.split: r for r in trained.metrics.collect()}
@@ -148,16 +153,17 @@ def test_features_are_normed_and_scaled(spark):
     assert vector[-5] == pytest.approx(-1.0)
 
 
-def test_bundle_round_trip(spark, tmp_path):
+def test_bundle_of_all_families_round_trip(spark, tmp_path):
     toy = _toy(spark)
-    trained, paths = train_and_select(toy, str(tmp_path), ("logistic_regression",))
-    assert paths["winner"] == "logistic_regression"
-    saved = {"logistic_regression": paths["logistic_regression"], "gone": str(tmp_path / "gone")}
+    trained, paths = train_and_select(toy, str(tmp_path), models.CANDIDATES)
+    assert paths["winner"] in models.CANDIDATES
+    saved = {name: paths[name] for name in models.CANDIDATES} | {"gone": str(tmp_path / "gone")}
     got, failed = models.evaluate_families(spark, paths["features"], saved, toy, measure=metrics.binary_metrics)
-    assert failed == ["gone"] and got.first().f1 >= 0.99
+    before = trained.metrics.filter("split = 'test'").drop("split")
+    assert failed == ["gone"] and rows_of(got) == rows_of(before) and all(r.f1 >= 0.99 for r in got.collect())
     scored = models.score_table(
-        "logistic_regression",
-        artifacts.load_model(spark, paths["logistic_regression"]),
+        paths["winner"],
+        artifacts.load_model(spark, paths[paths["winner"]]),
         artifacts.load_model(spark, paths["features"]),
         toy,
     )
@@ -171,6 +177,33 @@ def test_stream_equals_batch(spark, sf_dir):
     assert rows_of(batch) == rows_of(stream)
 
 
+def test_stream_in_batches_with_a_restart_equals_batch(spark, sf_dir, tmp_path):
+    from verisift.catalog.verdict_queries import _SCORER, _VERDICT_COLUMNS, arriving_articles
+    from verisift.plans.score_articles import fixed_scorer
+    from verisift.sources.demo import demo_lexicon
+    from verisift.streaming.score_stream import ARRIVING, read_article_stream, start_scoring
+
+    rows = arriving_articles(spark, sf_dir).select(*(f.name for f in ARRIVING.fields))
+    lexicon, scorer = demo_lexicon(spark), fixed_scorer(*_SCORER)
+
+    def run() -> None:
+        stream = read_article_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+        start_scoring(stream, lexicon, scorer, str(tmp_path / "out"), str(tmp_path / "offsets")).awaitTermination()
+
+    for part in (0, 1):
+        half = rows.filter(F.pmod(F.xxhash64("article_id"), F.lit(2)) == part)
+        half.repartition(2, "article_id").write.mode("append").parquet(str(tmp_path / "in"))
+        run()
+    # The last batch again, as after a failure between its output and its commit.
+    last = max((tmp_path / "offsets" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    assert int(last.name) == 3
+    for file in (last, last.with_name(f".{last.name}.crc")):
+        file.unlink()
+    run()
+    out = spark.read.parquet(str(tmp_path / "out")).select(*_VERDICT_COLUMNS)
+    assert rows_of(out) == rows_of(QUERIES["score_articles"].build(spark, sf_dir).select(*_VERDICT_COLUMNS))
+
+
 def test_folds_are_even_within_labels(spark):
     rows = spark.range(200).selectExpr("id AS doc_id", "cast(id % 7 = 0 AS int) AS label")
     sizes = models.with_fold(rows, 3).groupBy("label", "fold").count().collect()
@@ -225,3 +258,162 @@ def test_saved_families_get_all_measures(spark):
         own = [r.part for r in got if r.model == model]
         assert own.count("metrics") == 1 and own.count("confusion") == 2 and own.count("report") > 2 and own.count("roc") == 3
     assert [r.model for r in got if r.selected] == ["logistic_regression"]
+
+
+def test_search_fits_full_grids_and_separates(spark):
+    trained = models.fit_candidates(_toy(spark), models.CANDIDATES, tune=True)
+    assert all(score >= 0.99 for _, score in trained.tuning.values())
+    sizes = [len(models.grid_of(name)) for name in models.CANDIDATES]
+    assert sizes == [6, 3, 8, 4]
+
+
+def _toy_rows(spark):
+    toy = _toy(spark)
+    fitted, names = fit_features(toy)
+    folded = models.with_fold(apply_features(fitted, toy, ["doc_id", "label"]), 3)
+    return folded, passes.sparse_rows(folded), len(names)
+
+
+def test_problems_fitted_together_equal_single_fits(spark):
+    folded, rows, n = _toy_rows(spark)
+    problems = [linear.Problem("log", c, fold) for c in (0.5, 2.0) for fold in (-1, 1)]
+    weights, turns = linear.fit_together(rows, problems, n, 1e-9)
+    assert turns < linear.PASSES
+    for problem, found in zip(problems, weights, strict=True):
+        part = folded.filter(f"fold <> {problem.fold}")
+        fit = models.logistic_regression(part.count(), problem.c)[0].setTol(1e-9).fit(part)
+        assert found[:-1] == pytest.approx(fit.coefficients.toArray(), abs=5e-3)
+        assert found[-1] == pytest.approx(fit.intercept, abs=5e-3)
+
+
+def test_network_gradient_equals_differences():
+    shapes = network.shapes_of(5, (4, 3))
+    weights = network.start_of(shapes, 1)
+    rows, index = np.array([0, 0, 1, 3, 3, 3]), np.array([0, 3, 1, 0, 2, 4])
+    value, label = np.array([1.0, 0.5, 2.0, 1.0, 1.0, 0.3]), np.array([1.0, 0.0, 0.0, 1.0])
+
+    def loss(flat):
+        layers = network.split(flat, shapes)
+        p = network.forward(rows, index, value, 4, layers)[-1][:, 0]
+        bound = sum((w**2).sum() for w, _ in layers)
+        return -(label * np.log(p) + (1 - label) * np.log(1 - p)).mean() + 0.1 / 2 / 4 * bound
+
+    got = network.gradient(rows, index, value, label, network.split(weights, shapes), 0.1, shapes)
+    want = [(loss(weights + 1e-6 * e) - loss(weights - 1e-6 * e)) / 2e-6 for e in np.eye(len(weights))]
+    assert got == pytest.approx(np.array(want), abs=1e-7)
+
+
+def test_running_counts_of_many_scores(spark):
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 2 == 0, "a").alias("model"),
+        (F.xxhash64("id") % 3 == 0).cast("int").alias("y_true"),
+        F.lit(1).alias("y_pred"),
+        F.round(F.pmod(F.xxhash64(F.col("id") + 7), F.lit(10**6)) / 1e6, 6).alias("y_score"),
+    )
+    by_ranges, by_window = (metrics.running_counts(rows, ["model"], digits) for digits in (None, 6))
+    assert rows_of(by_ranges) == rows_of(by_window.select(*by_ranges.columns))
+
+
+def test_positions_spread_a_hot_group(spark):
+    rows = spark.range(5_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("g"), "id")
+    placed = prefix.positions(rows, ["g", F.desc("id")], ["g"], "place").collect()
+    hot = sorted((r.place, -r.id) for r in placed if r.g == "hot")
+    assert len(placed) == 5_000 and [p for p, _ in hot] == list(range(len(hot))) and hot == sorted(hot, key=lambda x: x[1])
+    assert all(r.place == 0 for r in placed if r.g != "hot")
+
+
+def test_sentiment_does_not_depend_on_partitions(spark):
+    from verisift.operators import sentiment
+    from verisift.sources.demo import demo_lexicon
+
+    words = "good bad the and of that with was for la le secret massive".split()
+    docs = [(i, ". ".join(" ".join(words[(i * k + j) % 13] for j in range(k % 9)) for k in range(60))) for i in range(40)]
+    results = []
+    for parts in (1, 8, 50):
+        table = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        lexicon = demo_lexicon(spark).repartition(parts)
+        results.append(rows_of(sentiment.style_and_tone(table, "doc_id", "text", lexicon)))
+    assert results[0] == results[1] == results[2]
+
+
+def _nearest(test, train):
+    out = {}
+    for i, a in test:
+        out[i] = max((round(float(a @ b), 9), -j) for j, b in train)
+    return {i: (-j, s) for i, (s, j) in out.items()}
+
+
+def _random_sparse(rnd, n, terms=60):
+    rows = []
+    for i in range(n):
+        chosen = sorted(rnd.choice(terms, size=rnd.integers(0, 9), replace=False).tolist())
+        w = rnd.random(len(chosen)) + 0.05
+        rows.append((i, chosen, (w / np.linalg.norm(w)).tolist() if chosen else []))
+    return rows
+
+
+@pytest.mark.parametrize("tile", [512, 7])
+def test_nearest_rows_equal_brute_force(spark, monkeypatch, tile):
+    rnd = np.random.default_rng(tile)
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", tile)
+    sides = [_random_sparse(rnd, 60), _random_sparse(rnd, 90)]
+    sides[1] += [(1000 + i, *r[1:]) for i, r in enumerate(sides[1][:5])]
+    frames = [spark.createDataFrame(s, "id long, terms array<int>, weights array<double>") for s in sides]
+
+    def dense(rows):
+        return [(i, np.bincount(t, w, 60) if t else np.zeros(60)) for i, t, w in rows]
+
+    want = _nearest(*map(dense, sides))
+    got = {r.test_id: (r.train_id, r.similarity) for r in similarity.nearest_train_match(*frames, tile=tile).collect()}
+    assert got == {i: (j, pytest.approx(s, abs=2e-9)) for i, (j, s) in want.items()}
+    top = [r.test_id for r in similarity.top_matches(*frames, k=8, tile=tile).collect()]
+    assert top == [i for _, i in sorted((-s, i) for i, (_, s) in want.items())[:8]]
+    everything = similarity.top_matches(*frames, k=500, tile=tile)
+    assert everything.count() == 60
+
+
+@pytest.mark.parametrize("tile", [512, 16])
+def test_nearest_dense_rows_equal_brute_force(spark, tile):
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(6, 8))
+    train = [(i, centres[i % 6] + rnd.normal(size=8) * 0.2) for i in range(150)] + [(500, np.zeros(8)), (501, centres[0])]
+    train += [(600 + i, centres[1]) for i in range(40)]
+    test = [(i, centres[i % 6] + rnd.normal(size=8) * 0.3) for i in range(40)] + [(900, np.zeros(8)), (901, -centres.sum(axis=0))]
+    frames = [spark.createDataFrame([(i, v.tolist()) for i, v in s], "id long, embedding array<double>") for s in (test, train)]
+
+    def unit(rows):
+        return [(i, v / (np.linalg.norm(v) or 1.0)) for i, v in rows]
+
+    want = _nearest(unit(test), unit(train))
+    got = {r.test_id: (r.train_id, r.similarity) for r in similarity.nearest_dense_match(*frames, tile=tile).collect()}
+    assert {i: s for i, (_, s) in got.items()} == {i: pytest.approx(s, abs=2e-9) for i, (_, s) in want.items()}
+    assert similarity.nearest_dense_match(frames[0], frames[1].limit(0)).collect() == []
+
+
+def test_related_rows_with_a_common_term_equal_brute_force(spark):
+    rnd = np.random.default_rng(5)
+    docs = [(i, " ".join(["common"] * int(i % 3 > 0) + [f"t{int(w)}" for w in rnd.integers(0, 40, 6) ** 2 // 40])) for i in range(300)]
+    queries = [(0, "common t1 t7"), (1, "common"), (2, "nothing here"), (3, "common t0 t38 t2 t3"), (4, "t39")]
+    frames = [spark.createDataFrame(d, s) for d, s in ((queries, "query_id long, query string"), (docs, "doc_id long, text string"))]
+    got = sorted((r.query_id, r.place, r.doc_id, r.relevancy) for r in crossref.related_articles(*frames, len(docs)).collect())
+    sets = {i: set(t.split()) for i, t in docs}
+    df = {t: sum(t in s for s in sets.values()) for s in sets.values() for t in s}
+    want = []
+    for q, text in queries:
+        terms = set(text.split()) & set(df)
+        scores = [(-round(sum(np.log(301 / (1 + df[t])) + 1 for t in terms & s), 9), i) for i, s in sets.items() if terms & s]
+        want += [(q, place, i, -s) for place, (s, i) in enumerate(sorted(scores)[:5], 1)]
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
+
+
+def test_the_rest_runs_without_the_training_data_operators(tmp_path):
+    for name in ("__spark_entry__.py", "corpus_pipeline.py", "verisift"):
+        source = ROOT / name
+        if source.is_dir():
+            shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        elif source.exists():
+            shutil.copy(source, tmp_path / name)
+    code = "import __spark_entry__ as e; assert 'pipeline' not in e.queries() and 'op1_minhash_dedup' not in e.oracle_sql(); print(len(e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert done.returncode == 0 and int(done.stdout) > 100, done.stderr

@@ -296,11 +296,11 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def streamed_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """The same articles through a file stream; the result is what the stream wrote."""
+    """The same articles through a file stream of several micro-batches; the result is what the stream wrote."""
     folder = scratch_dir(spark)
     columns = [f.name for f in ARRIVING.fields]
-    arriving_articles(spark, sf).select(*columns).write.parquet(f"{folder}/in")
-    stream = read_article_stream(spark, f"{folder}/in")
+    arriving_articles(spark, sf).select(*columns).repartition(5, "article_id").write.parquet(f"{folder}/in")
+    stream = read_article_stream(spark, f"{folder}/in", files_per_trigger=2)
     lexicon = demo_lexicon(spark)
     start_scoring(stream, lexicon, fixed_scorer(*_SCORER), f"{folder}/out", f"{folder}/offsets").awaitTermination()
     out = spark.read.parquet(f"{folder}/out")

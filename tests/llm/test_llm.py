@@ -13,7 +13,8 @@ import pytest
 from compare import differences
 from pyspark.sql import functions as F
 
-from verisift.llm import bpe, chat, components, kdtree, langid, minhash, mixing, outliers, toxicity, urls, warc
+from verisift.llm import bpe, chat, components, kdtree, langid, minhash, mixing, negatives, outliers, phrases, sharding
+from verisift.llm import toxicity, urls, warc
 from verisift.llm.queries import QUERIES, URL_RULES, crc_mod
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -542,3 +543,189 @@ def test_languages_stay_where_none_is_known(spark, sf_dir):
     for rows in (unknown, held):
         out = [r.doc_id for r in corpus_pipeline.keep_languages(spark, rows, sf_dir).collect()]
         assert sorted(out, key=str) == [10, 4, 5, 6, 7, 7, None]
+
+
+# 11: hard negatives ------------------------------------------------------------------------------------------------
+
+
+def test_residue_products_are_exact():
+    rng = np.random.default_rng(0)
+    for size, dims in ((200, 64), (10**6, 5), (2**40, 64), (3, 3000)):
+        a, b = (rng.integers(-size, size, (n, dims)) for n in (4, 7))
+        primes = negatives.residue_primes(dims, dims * size * size)
+        got = negatives.ResidueMatrix(a, primes).scores(negatives.ResidueMatrix(b, primes))
+        want = a.astype(object) @ b.astype(object).T
+        assert all(int(g) == (int(w) + 2**63) % 2**64 - 2**63 for g, w in zip(got.ravel(), want.ravel(), strict=True))
+        half = max(primes) // 2
+        assert min(dims, negatives.DEPTH) * half * half < 2**24 and np.prod([int(p) for p in primes], dtype=object) > 2 * dims * size**2
+
+
+def brute_negatives(rows, positives=5, keep=5):
+    out = []
+    anchors = {(i, lab, tuple(v)) for i, lab, v in rows if i % 4 == 0}
+    for i, lab, v in anchors:
+        scored = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j, other) for j, other, w in rows if j != i and len(w) == len(v))
+        near = [(-s, j) for s, j, other in scored if other == lab][:positives]
+        for score, j in near:
+            fit = [(-s, k) for s, k, other in scored if other != lab and 80 * score <= -100 * s <= 100 * score][:keep]
+            out += [(i, j, rank, k, score, s) for rank, (s, k) in enumerate(fit, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("chunk", [16_384, 7])
+def test_hard_negatives_equal_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(negatives, "CHUNK", chunk)
+    rnd = random.Random(11)
+    # Ties without end, copies that fill a third of the table, two lengths, repeated rows and ids with two vectors.
+    rows = [(i, i % 3, [rnd.randrange(-2, 4) for _ in range(6 if i % 9 else 4)]) for i in range(90)]
+    rows += [(200 + i, i % 2, [1, 2, 0, 1, 1, 0]) for i in range(45)]
+    rows += [rows[4], rows[8], (8, 1, [3, 3, 3, 0, 0, 1])]
+    bad = [(300, None, [1.0]), (304, 1, None), (308, 1, []), (312, 1, [1.0, None]), (316, 1, [float("nan")]), (None, 1, [1.0] * 6)]
+    table = spark.createDataFrame(
+        [(i, lab, [float(x) / 256 for x in v], "x", 1) for i, lab, v in rows] + [(*b, "x", 1) for b in bad],
+        "vec_id long, label int, embedding array<double>, window string, rank int",
+    )
+    got = negatives.hard_negatives(table, F.col("vec_id") % 4 == 0, F.col("label")).collect()
+    columns = ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    assert sorted(tuple(r[c] for c in columns) for r in got) == brute_negatives(rows)
+    assert negatives.hard_negatives(table.limit(0), F.col("vec_id") % 4 == 0, F.col("label")).collect() == []
+
+
+# 12: sharding ------------------------------------------------------------------------------------------------------
+
+
+def test_shards_hold_every_source_in_proportion(spark):
+    rnd = random.Random(12)
+    rows = [(i, prose(rnd, rnd.randrange(9)), "hot" if i % 3 == 0 else f"s{i % 7}") for i in range(2_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sharding.shard_rows(table, 16).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in rows)
+    sizes = Counter(r.shard for r in got)
+    assert sorted(sizes) == list(range(16)) and max(sizes.values()) - min(sizes.values()) <= 1
+    for shard in sizes:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sizes[shard]))
+    per_source = Counter((r.source, r.shard) for r in got)
+    for source, n in Counter(s for _, _, s in rows).items():
+        assert all(abs(per_source[source, shard] - n / 16) <= 2 for shard in range(16))
+    texts = {i: t.encode() for i, t, _ in rows}
+    assert all((r.size, r.text_crc32) == (len(texts[r.doc_id]) + 1, zlib.crc32(texts[r.doc_id])) for r in got)
+    again = sharding.shard_rows(table.repartition(5), 16).collect()
+    assert {(r.doc_id, r.shard, r.slot) for r in got} == {(r.doc_id, r.shard, r.slot) for r in again}
+
+
+def test_shards_of_awkward_rows(spark, tmp_path):
+    got = sharding.shard_rows(awkward(spark), 4).collect()
+    assert Counter(r.doc_id for r in got) == Counter([1, 2, 3, 4, 5, 6, 7, 7, 8, None, 10])
+    assert {(r.size, r.text_crc32) for r in got if r.doc_id in (1, 2)} == {(1, 0)}
+    assert sorted(Counter(r.shard for r in got).values()) == [2, 3, 3, 3]
+    assert sharding.shard_rows(empty(spark)).collect() == []
+    few = sharding.shard_rows(awkward(spark).limit(3), 16).collect()
+    assert len({r.shard for r in few}) == 3 and all(r.slot == 0 for r in few)
+    # Extra columns with the operator's own names, and one row repeated until it fills most of the table.
+    copies = awkward(spark).filter("doc_id = 7").limit(1).crossJoin(spark.range(40)).drop("id")
+    table = awkward(spark).unionByName(copies).withColumn("shard", F.lit("own"))
+    sharding.write_shards(table, str(tmp_path / "shards"), 4)
+    written = spark.read.parquet(str(tmp_path / "shards"))
+    assert written.count() == 51 and {r["count"] for r in written.groupBy("shard").count().collect()} == {12, 13}
+    want = table.drop("shard").collect()
+    have = written.select(*(c for c in table.columns if c != "shard")).collect()
+    assert Counter(map(str, want)) == Counter(map(str, have))
+
+
+# 13: phrases -------------------------------------------------------------------------------------------------------
+
+
+def brute_phrases(docs, least, top):
+    counts, words = {}, Counter()
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for text, lang in docs:
+        lang = lang or "und"
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(lower)):
+            w = [x for x in re.split("[\x20\x09]", piece) if x]
+            words[lang] += len(w)
+            for k in range(1, 6):
+                counts.setdefault(lang, Counter()).update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        big = {p: a for p, a in f.items() if a >= least and len(p) > 1}
+        inner = Counter()
+        for p, a in big.items():
+            for k in range(2, len(p)):
+                for i in range(len(p) - k + 1):
+                    inner[p[i : i + k]] = max(inner[p[i : i + k]], a)
+        scored = []
+        for p, a in big.items():
+            if inner[p] < a:
+                score, k = min((1000 * a * words[lang] // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+                scored.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (score, a, p, left, right) in enumerate(sorted(scored)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, words[lang], -score))
+    return sorted(out)
+
+
+PHRASE_COLUMNS = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+@pytest.mark.parametrize("flush", [2_000_000, 200])
+def test_phrases_equal_brute_force(spark, monkeypatch, flush):
+    monkeypatch.setattr(phrases, "FLUSH_WORDS", flush)
+    monkeypatch.setattr(phrases, "WORD_CACHE", flush)
+    monkeypatch.setattr(phrases, "PHRASE_CACHE", flush)
+    rnd = random.Random(13)
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = []
+    for i in range(300):
+        words = " ".join(f"W{min(rnd.randrange(30), rnd.randrange(30))}{rnd.choice(['', '', ',', '.', '  '])}" for _ in range(60))
+        docs.append((f"{words}\n{passage}\t tail" if i % 4 == 0 else words, ("en", "de", None)[i % 3]))
+    docs += [("a a a a a a a a", "en")] * 5 + [(None, "en"), ("", "fr"), (" ,. \n", "en"), ("Ünï ÜNÏ a\x1cb", "und")] * 6
+    for parts in (1, 5):
+        table = spark.createDataFrame(docs, "text string, lang string").repartition(parts)
+        got = phrases.collocations(table, least=6, top=120).collect()
+        assert sorted(tuple(r[c] for c in PHRASE_COLUMNS) for r in got) == brute_phrases(docs, 6, 120)
+    long = {r.path_words for r in got if r.phrase.startswith("p1 ")}
+    assert long <= {30, 31} or not long
+
+
+def test_unary_paths_are_whole_passages(spark):
+    passage = " ".join(f"p{i}" for i in range(25))
+    table = spark.createDataFrame([(passage, "en")] * 9 + [("p3 p4 p5", "en")] * 4, "text string, lang string")
+    got = {r.phrase: r.path_words for r in phrases.collocations(table, least=3).collect()}
+    # p3 p4 p5 stands alone too, so the runs around it part the passage.
+    assert got["p10 p11 p12 p13 p14"] == 25 and got["p3 p4 p5"] is None
+    assert len(got) == 22
+
+
+def test_phrases_of_awkward_rows(spark):
+    got = phrases.collocations(awkward(spark), least=2).collect()
+    docs = [(r.text, r.lang) for r in awkward(spark).collect()]
+    assert sorted(tuple(r[c] for c in PHRASE_COLUMNS) for r in got) == brute_phrases(docs, 2, 2000)
+    assert phrases.collocations(empty(spark)).collect() == []
+
+
+# Registered queries --------------------------------------------------------------------------------------------------
+
+
+def test_registered_near_duplicates_equal_brute_force(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = QUERIES["op1_minhash_dedup"][0](spark, sf_dir).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(docs, 3, 85)
+
+
+def test_registered_classifiers_on_rows_they_did_not_see(spark):
+    """Accuracy and recall over the held-out rows of the larger table."""
+    sf_dir = "/root/testdata/sf0.01"
+    known = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    found = [r for r in QUERIES["op3_language_id"][0](spark, sf_dir).collect() if r.held_out and known[r.doc_id]]
+    right = sum(r.lang_pred == known[r.doc_id] for r in found)
+    assert len(found) > 150 and right >= 0.97 * len(found)
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    judged = [r for r in QUERIES["op4_toxicity"][0](spark, sf_dir).collect() if r.held_out and toxic.get(r.doc_id) is not None]
+    false_alarms = sum(r.predicted for r in judged if not toxic[r.doc_id])
+    assert false_alarms <= 0.03 * sum(not toxic[r.doc_id] for r in judged)
+
+
+@pytest.mark.parametrize("name", ["op6_url_filter", "op7_quality_rules", "op10_bpe"])
+def test_registered_queries_give_a_row_per_row(spark, sf_dir, name):
+    table, key = ("pages", "page_id") if name == "op6_url_filter" else ("documents", "doc_id")
+    want = Counter(r[0] for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key).collect())
+    assert Counter(r[key] for r in QUERIES[name][0](spark, sf_dir).collect()) == want

@@ -58,13 +58,23 @@ def _main_part(df: DataFrame, page: str, out: str) -> DataFrame:
         "_names", F.transform("_pieces", lambda p: F.lower(F.regexp_extract(p, r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1)))
     )
 
-    def first_place(selector: str) -> Column:
-        opening = _opening(selector)
-        return F.array_position(F.transform("_pieces", lambda p: p.rlike(opening)), True)
-
-    starts = [first_place(s) for s in ["article", *MAIN_SELECTORS, "body"]]
-    first = F.coalesce(*(F.when(at > 0, at) for at in starts)).cast("int")
-    df = df.withColumn("_first", first).withColumn("_tag", F.element_at("_names", F.coalesce("_first", F.lit(1))))
+    def rank(piece: Column, name: Column) -> Column:
+        """The first selector that the piece opens, null if none; most pieces only have their name compared."""
+        named, attributes = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for at, selector in reversed(list(enumerate(["article", *MAIN_SELECTORS, "body"]))):
+            opened = piece.rlike(_opening(selector))
+            if selector.isalpha():
+                named = F.when((name == selector) & opened, at).otherwise(named)
+            else:
+                attributes = F.when(opened, at).otherwise(attributes)
+        attributes = F.when(~name.startswith("/") & piece.rlike(rf"(?i)[{WS}](?:id|class|role)="), attributes)
+        return F.least(named, attributes)
+
+    # One pass over the pieces: the least selector, and its first piece.
+    zipped = F.arrays_zip(F.col("_pieces").alias("p"), F.col("_names").alias("n"))
+    ranks = F.transform(zipped, lambda x, i: F.struct(rank(x["p"], x["n"]).alias("rank"), (i + 1).alias("at")))
+    best = F.array_min(F.filter(ranks, lambda r: r["rank"].isNotNull()))
+    df = df.withColumn("_first", best["at"].cast("int")).withColumn("_tag", F.element_at("_names", F.coalesce("_first", F.lit(1))))
 
     def close(state: Column, name: Column) -> Column:
         step = F.when(name == F.col("_tag"), 1).when(name == F.concat(F.lit("/"), F.col("_tag")), -1).otherwise(0)

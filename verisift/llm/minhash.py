@@ -3,7 +3,7 @@
 1. A document's set of word shingles gives its size, a fingerprint of the set and a signature of ``coordinates`` minima.
    Documents of equal sets are one class from here on, represented by the least id.
 2. A class is posted under each (coordinate, value) pair that another class has too. Two classes that are as alike as
-   asked agree in at least ``matches`` coordinates, but for a chance of about one in ten million. So pairs are sorted
+   asked agree in at least ``matches`` coordinates, but for a chance below ``MISS``. So pairs are sorted
    by how many classes share them, and only the rarest ``coordinates - matches + 1`` of each class, its prefix, are
    posted: two classes with enough collisions meet there, and the common pairs are skipped. Postings are split by bands
    of set size, because sets of very different size cannot be alike.
@@ -34,10 +34,18 @@ BLOCK_WEIGHT, ROW_WEIGHT = 400_000, 200
 SEED = 1
 
 
-def least_matches(coordinates: int, similarity: float) -> int:
-    """Coordinates in which two sets of that similarity agree, less 5.3 standard deviations."""
-    mean = coordinates * similarity
-    return max(1, math.floor(mean - 5.3 * math.sqrt(mean * (1 - similarity))))
+#: The chance at most that two sets just as alike as asked agree in fewer coordinates than they are looked up by.
+MISS = 1e-6
+
+
+def least_matches(coordinates: int, similarity: float, miss: float = MISS) -> int:
+    """The most coordinates that sets of that similarity agree in but for a chance of ``miss``, from the binomial tail."""
+    below = 0.0
+    for matches in range(coordinates + 1):
+        below += math.comb(coordinates, matches) * similarity**matches * (1 - similarity) ** (coordinates - matches)
+        if below > miss:
+            return max(1, matches)
+    return coordinates
 
 
 @lru_cache(maxsize=1)

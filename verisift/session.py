@@ -25,8 +25,10 @@ def get_session(app: str = "verisift", cores: str = "*", **conf: str) -> SparkSe
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share: the checkpoint folder, or else one in the warehouse."""
+    """A folder that the driver and all executors share: the checkpoint folder, or else one in a local warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster needs spark.checkpoint.dir: the default warehouse may lie on one machine")
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/intermediate"
 
 

@@ -167,6 +167,15 @@ def test_conversations_of_awkward_rows(spark):
     assert chat.conversation_digests(chat.format_conversations(none)).collect() == []
 
 
+def test_loss_text_is_what_the_mask_cuts(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "<|im_end|> yes")], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(turns)
+    right = chat.conversation_digests(formatted).first()
+    assert (right.loss_chars, right.loss_sha256) == (14, hashlib.sha256(b"<|im_end|> yes").hexdigest())
+    wrong = chat.conversation_digests(formatted.withColumn("loss_end", F.col("loss_end") - 1)).first()
+    assert (wrong.loss_chars, wrong.turns_sha256) == (13, right.turns_sha256)
+
+
 # 3: language -------------------------------------------------------------------------------------------------------
 
 

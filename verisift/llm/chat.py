@@ -153,14 +153,16 @@ class _Digest:
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.formatted_chars = 0
 
-    def add(self, segment: str) -> None:
+    def add(self, segment: str, loss_start: float, loss_end: float) -> None:
+        """The next segment, with the offsets of what is under its mask, or no numbers."""
         self.formatted_chars += len(segment)
         for role, text, _, _ in self.parser.feed(segment):
             self.n_turns += 1
             self.turns.update(f"{role}\n{text}\n".encode())
-            if role == "assistant":
-                self.loss_chars += len(text)
-                self.loss.update(text.encode())
+        if not pd.isna(loss_start):
+            text = unescape_text(segment[int(loss_start) : int(loss_end)])
+            self.loss_chars += len(text)
+            self.loss.update(text.encode())
 
     def row(self, conv_id: str | None) -> tuple:
         self.parser.close()
@@ -178,9 +180,10 @@ _DIGEST = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, l
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation, what its formatted text reads back as: turns, their digest, the text under the loss mask.
+    """Per conversation, what its formatted text reads back as: turns, their digest, and the text that the loss mask cuts.
 
-    The parser streams over the sorted segments, so a conversation of any length takes the memory of one segment.
+    The parser streams over the sorted segments, so a conversation of any length takes the memory of one segment. The
+    digest of a conversation goes over its turns in order, so they all pass through one task.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,22 +191,23 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
         current, digest = None, None
         for batch in batches:
             done = []
-            for conv, segment in zip(batch["conv_id"], batch["segment"], strict=True):
+            columns = (batch[c] for c in ("conv_id", "segment", "loss_start", "loss_end"))
+            for conv, segment, start, end in zip(*columns, strict=True):
                 conv = None if pd.isna(conv) else conv
                 if digest is None or conv != current:
                     if digest is not None:
                         done.append(digest.row(current))
                     current, digest = conv, _Digest()
-                digest.add(segment)
+                digest.add(segment, start, end)
             yield pd.DataFrame(done, columns=names)
         if digest is not None:
             yield pd.DataFrame([digest.row(current)], columns=names)
 
     kind = formatted.schema["conv_id"].dataType
     ordered = (
-        formatted.select("conv_id", "turn", "role", "segment")
+        formatted.select("conv_id", "turn", "role", "segment", "loss_start", "loss_end")
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "segment")
-        .select(F.col("conv_id").cast("string").alias("conv_id"), "segment")
+        .select(F.col("conv_id").cast("string").alias("conv_id"), "segment", "loss_start", "loss_end")
     )
     return ordered.mapInPandas(read, _DIGEST).withColumn("conv_id", F.col("conv_id").cast(kind))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus
-from ..session import stored
 from ..sources.tables import FAKE, REAL, with_sequence
 from . import inputs
 from . import sqltext as q
@@ -56,11 +55,7 @@ def proportion_maps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def summary(spark: SparkSession, sf: str) -> DataFrame:
-    raw = corpus.with_dedup_key(inputs.labelled_variants(spark, sf))
-    kept = stored(
-        corpus.dedup_canonical(inputs.labelled_variants(spark, sf)).select("doc_id", "label"), "kept"
-    )
-    return corpus.preprocess_summary(raw, corpus.stratified_split(kept, *inputs.SHARES, seed=inputs.SEED))
+    return corpus.build_and_count(inputs.labelled_variants(spark, sf), *inputs.SHARES, seed=inputs.SEED)[1]
 
 
 def baseline(spark: SparkSession, sf: str) -> DataFrame:

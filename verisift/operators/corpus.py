@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_key, strip
+from ..session import stored
 
 SPLITS = ("train", "validation", "test")
 _HASH_PREFIX = 4  # hex digits: 65,536 buckets per label
@@ -170,41 +171,63 @@ def class_proportion_maps(df: DataFrame) -> DataFrame:
     )
 
 
-def preprocess_summary(raw: DataFrame, final: DataFrame) -> DataFrame:
-    """One row of counters from the raw labelled rows (with ``dedup_key``) and the split result."""
-    text = strip(F.coalesce(F.col("raw_text"), F.lit("")))
-    filled = text != ""
-    keyed = filled & (F.col("dedup_key") != "")
+_PARTS = {"train": "train", "val": "validation", "test": "test"}
+
 
-    def n(condition: Column) -> Column:
-        return F.coalesce(F.sum(condition.cast("long")), F.lit(0).cast("long"))
+def _n(condition: Column) -> Column:
+    return F.coalesce(F.sum(condition.cast("long")), F.lit(0).cast("long"))
 
-    before = raw.agg(
-        n(F.col("label") == 0).alias("raw_fake_rows"),
-        n(F.col("label") == 1).alias("raw_true_rows"),
+
+def raw_counters() -> list[Column]:
+    """Aggregates over raw labelled rows that have ``dedup_key``."""
+    filled = strip(F.coalesce(F.col("raw_text"), F.lit(""))) != ""
+    keyed = filled & (F.col("dedup_key") != "")
+    return [
+        _n(F.col("label") == 0).alias("raw_fake_rows"),
+        _n(F.col("label") == 1).alias("raw_true_rows"),
         F.count(F.lit(1)).alias("raw_total_rows"),
-        n(~filled).alias("empty_rows_removed"),
-        n(filled & ~keyed).alias("empty_key_rows_removed"),
-        n(keyed).alias("_keyed"),
-    )
-    parts = {"train": "train", "val": "validation", "test": "test"}
-    after = final.agg(
+        _n(~filled).alias("empty_rows_removed"),
+        _n(filled & ~keyed).alias("empty_key_rows_removed"),
+        _n(keyed).alias("_keyed"),
+    ]
+
+
+def final_counters() -> list[Column]:
+    """Aggregates over the split rows."""
+    return [
         F.count(F.lit(1)).alias("final_rows_after_preprocessing"),
-        *[n(F.col("split") == split).alias(f"{name}_rows") for name, split in parts.items()],
+        *[_n(F.col("split") == split).alias(f"{name}_rows") for name, split in _PARTS.items()],
         *[
             F.round(
                 F.avg(F.when(F.col("split") == split, (F.col("label") == label).cast("double"))), 4
             ).alias(f"{name}_share_{label}")
-            for name, split in parts.items()
+            for name, split in _PARTS.items()
             for label in (0, 1)
         ],
-    )
-    # Both sides are single rows: stack them and fold instead of a cross join.
-    both = before.unionByName(after, allowMissingColumns=True)
-    folded = both.agg(*[F.max(c).alias(c) for c in both.columns])
-    return folded.withColumn(
-        "duplicate_rows_removed", F.col("_keyed") - F.col("final_rows_after_preprocessing")
-    ).drop("_keyed")
+    ]
+
+
+def preprocess_summary(spark: SparkSession, raw: dict, final: dict) -> DataFrame:
+    """One row of counters, from what the writing jobs of both stages observed."""
+    row = {**raw, **final}
+    row["duplicate_rows_removed"] = row.pop("_keyed") - row["final_rows_after_preprocessing"]
+    kinds = [f"{name} {'double' if '_share_' in name else 'long'}" for name in row]
+    return spark.createDataFrame([tuple(row.values())], ", ".join(kinds))
+
+
+def build_and_count(
+    labelled: DataFrame, train: float = 0.70, val: float = 0.10, test: float = 0.20, seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
+    """The split of the rows that stay (``doc_id``, ``label``, ``split``) and the summary of how they came about.
+
+    Keys are computed once, in the job that writes them; that job and the one that writes the split count their rows on
+    the way, so counting costs no pass. Both count in the stage that writes, where a repeated task counts once.
+    """
+    before, after = Observation(), Observation()
+    keyed = stored(with_dedup_key(labelled).observe(before, *raw_counters()), "keyed")
+    kept = stored(dedup(keyed, F.col("dedup_key")).select("doc_id", "label"), "kept")
+    split = stored(stratified_split(kept, train, val, test, seed).observe(after, *final_counters()), "split")
+    return split, preprocess_summary(labelled.sparkSession, before.get, after.get)
 
 
 def majority_baseline(df: DataFrame) -> DataFrame:

@@ -212,17 +212,15 @@ def _frequent_cells(texts: DataFrame, low: np.ndarray | None, widths: range, n_c
     return frequent
 
 
-_PACKED = "bucket int, lang string, width int, phrases binary, counts binary"
+_COUNTED = "lang string, width int, phrase string, n long"
 
 
 def _count_in_texts(texts: DataFrame, low: np.ndarray, high: np.ndarray, longest: int) -> DataFrame:
-    """(lang, width, phrase, n): the longest run from every place of all texts.
+    """(lang, width, phrase, n): the longest run from every place, summed up over what a task can keep.
 
-    What a task has counted goes out as packed lists, one per bucket of phrases, and the lists of a bucket are added up
-    as they stream by. A bucket is a partition of the shuffle, so its sums are a partition's share of frequent phrases.
+    A phrase comes once per task and portion; the sums over all tasks are Spark's, which spills them.
     """
     shared = texts.sparkSession.sparkContext.broadcast((low, high))
-    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = (_Sketch(bits) for bits in shared.value)
@@ -233,43 +231,14 @@ def _count_in_texts(texts: DataFrame, low: np.ndarray, high: np.ndarray, longest
                 for phrase, count in zip(phrases, n, strict=True):
                     into[phrase] = into.get(phrase, 0) + count
             if sum(map(len, sums.values())) > PHRASE_CACHE:
-                yield from _packed(sums, buckets)
+                yield from _batches(sums)
                 sums = {}
-        yield from _packed(sums, buckets)
+        yield from _batches(sums)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int], dict[bytes, int]] = {}
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("lang", "width", "phrases", "counts"))
-            for lang, width, phrases, counts in zip(*columns, strict=True):
-                into = sums.setdefault((lang, width), {})
-                for phrase, n in zip(phrases.split(b"\n"), np.frombuffer(counts, dtype=np.int64).tolist(), strict=True):
-                    into[phrase] = into.get(phrase, 0) + n
-        yield from _unpacked(sums)
+    return texts.mapInArrow(run, _COUNTED)
 
-    packed = texts.mapInArrow(run, _PACKED).repartition(buckets, "bucket")
-    return packed.mapInArrow(add, "lang string, width int, phrase string, n long")
 
-
-def _packed(sums: dict[tuple[str, int], dict[bytes, int]], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Phrases joined by line breaks, which none of them holds, next to their counts."""
-    for (lang, width), counts in sums.items():
-        phrases, n = list(counts), np.array(list(counts.values()), dtype=np.int64)
-        bucket = np.array([xxhash.xxh3_64_intdigest(p) % buckets for p in phrases])
-        order = np.argsort(bucket, kind="stable")
-        own, begin = np.unique(bucket[order], return_index=True)
-        parts = [order[a:b] for a, b in zip(begin, [*begin[1:], len(order)], strict=True)]
-        columns = [
-            pa.array(own, type=pa.int32()),
-            pa.array([lang] * len(own), type=pa.string()),
-            pa.array([width] * len(own), type=pa.int32()),
-            pa.array([b"\n".join([phrases[i] for i in part]) for part in parts], type=pa.binary()),
-            pa.array([n[part].tobytes() for part in parts], type=pa.binary()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "lang", "width", "phrases", "counts"])
-
-
-def _unpacked(sums: dict[tuple[str, int], dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+def _batches(sums: dict[tuple[str, int], dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
     for (lang, width), counts in sums.items():
         phrases, n = list(counts), list(counts.values())
         for begin in range(0, len(phrases), 50_000):
@@ -335,7 +304,7 @@ def phrase_counts(texts: DataFrame, longest: int, least: int, n_words: int) -> d
     low = _frequent_cells(texts, None, range(1, 3), n_cells, least)
     high = _frequent_cells(texts, low, range(3, longest + 1), n_cells, least) if longest > 2 else low
     counted = _count_in_texts(texts, low, high, longest)
-    counted = written(counted, "edges-and-ends")
+    counted = written(counted.groupBy("lang", "width", "phrase").agg(F.sum("n").alias("n")), "edges-and-ends")
     flow = counted.filter(F.col("width") == longest).select("lang", "phrase", F.col("n").alias("f"))
     levels = {longest: flow.filter(F.col("f") >= least)}
     for width in range(longest - 1, 0, -1):

@@ -11,11 +11,13 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from verisift.catalog import all_queries
 from verisift.operators import corpus, crossref, linear, metrics, models, network, passes, prefix, similarity
-from verisift.operators.features import apply_features, fit_features
+from verisift.operators.features import apply_features, feature_values, fit_features
 from verisift.plans.train_and_select import train_and_select
 from verisift.sources import artifacts, tables
 from verisift.sources.tables import require_columns
@@ -153,6 +155,21 @@ def test_features_are_normed_and_scaled(spark):
     assert vector[-5] == pytest.approx(-1.0)
 
 
+def test_feature_values_of_sparse_dense_and_empty_vectors(spark):
+    kinds = [
+        (1, Vectors.sparse(3, {0: 1.5, 2: -2.0})),
+        (2, Vectors.dense([0.0, 4.0, 5.0])),
+        (3, Vectors.sparse(3, {})),
+        (1, Vectors.sparse(3, {0: 1.5, 2: -2.0})),
+        (None, None),
+    ]
+    rows = spark.createDataFrame(kinds, StructType([StructField("doc_id", LongType()), StructField("features", VectorUDT())]))
+    got = sorted((r.doc_id, r["name"], r.value) for r in feature_values(rows, ["a", "b", "c"], ["doc_id"]).collect())
+    once = [(1, "a", 1.5), (1, "c", -2.0)]
+    assert got == sorted([*once, *once, (2, "a", 0.0), (2, "b", 4.0), (2, "c", 5.0)])
+    assert feature_values(rows.limit(0), ["a", "b", "c"], ["doc_id"]).collect() == []
+
+
 def test_bundle_of_all_families_round_trip(spark, tmp_path):
     toy = _toy(spark)
     trained, paths = train_and_select(toy, str(tmp_path), models.CANDIDATES)

@@ -179,14 +179,8 @@ def ablation_texts(spark: SparkSession, sf: str) -> DataFrame:
     return audit.without_first_sentence(rows).select("doc_id", "ablate_text_ml")
 
 
-_VOCAB_CTES = (
-    q.LABELLED_CTE,
-    *q.split_ctes("labelled"),
-    (
-        "toks",
-        f"""SELECT l.doc_id, l.label, s.split, {q.terms('raw_text')} AS t FROM labelled l
- JOIN splits s ON l.doc_id = s.doc_id""",
-    ),
+#: From ``toks(doc_id, split, t)``, the terms of the rows, to ``vocab`` of the train rows and ``w``, normed weights.
+TERM_CTES = (
     ("train_n", "SELECT count(*) AS n FROM toks WHERE split = 'train'"),
     (
         "stats",
@@ -206,6 +200,16 @@ _VOCAB_CTES = (
     ("raw_w", "SELECT *, tf * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS w0 FROM tcounts"),
     ("w", "SELECT doc_id, split, term, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY doc_id)) AS w FROM raw_w"),
 )
+_VOCAB_CTES = (
+    q.LABELLED_CTE,
+    *q.split_ctes("labelled"),
+    (
+        "toks",
+        f"""SELECT l.doc_id, l.label, s.split, {q.terms('raw_text')} AS t FROM labelled l
+ JOIN splits s ON l.doc_id = s.doc_id""",
+    ),
+    *TERM_CTES,
+)
 _SIM_CTES = (
     *_VOCAB_CTES,
     (

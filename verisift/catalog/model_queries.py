@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, models
 from ..operators.corpus import class_counts
-from ..operators.features import apply_features, fit_features
+from ..operators.features import NUMERIC_COLUMNS, apply_features, feature_values, fit_features
 from ..operators.metrics import binary_metrics, classification_report, confusion_matrix, roc_points
 from ..operators.ranking import rank_candidates
 from ..operators.similarity import similar_train_matches, similarity_thresholds
@@ -20,8 +20,9 @@ from ..plans.build_corpus import build_corpus
 from ..plans.train_and_select import train_and_select
 from ..sources.artifacts import load_model
 from ..sources.demo import demo_lexicon
-from . import audit_queries, inputs
-from .base import Query, scratch_dir
+from . import audit_queries, inputs, sentiment_queries
+from . import sqltext as q
+from .base import Query, scratch_dir, with_ctes
 
 # Plural forms that occur in real articles; the synthetic texts rarely hold them.
 LEMMAS = (("isis", "isi"), ("articles", "article"), ("women", "woman"), ("stories", "story"), ("sources", "source"))
@@ -40,6 +41,12 @@ def built_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return class_counts(corpus(spark, sf))
 
 
+def built_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row of the corpus, its two long texts as digests."""
+    digests = [F.md5(c).alias(f"{c}_md5") for c in ("raw_text", "text_llm", "text_ml")]
+    return corpus(spark, sf).select("doc_id", "label", "split", *digests, *NUMERIC_COLUMNS)
+
+
 def _trainer(*names: str) -> Callable[[SparkSession, str], DataFrame]:
     def build(spark: SparkSession, sf: str) -> DataFrame:
         return models.fit_candidates(corpus(spark, sf), names).metrics
@@ -62,6 +69,14 @@ def feature_vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def assembled_values(spark: SparkSession, sf: str) -> DataFrame:
+    """All features of all rows by name; those that are 0 at four decimals are left out, as vectors do."""
+    rows = corpus(spark, sf)
+    fitted, names = fit_features(rows.filter("split = 'train'"))
+    values = feature_values(apply_features(fitted, rows, ["doc_id", "split"]), names, ["doc_id", "split"])
+    return values.withColumn("value", F.round("value", 4)).filter("value <> 0")
+
+
 def selected(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates fitted, the winner chosen on validation, everything saved and the models read back."""
     rows = corpus(spark, sf)
@@ -124,9 +139,74 @@ def audit_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_LEMMA_CASES = " ".join(f"WHEN '{token}' THEN '{lemma}'" for token, lemma in LEMMAS)
+#: CTEs ending in ``corpus``, the rows of ``build_corpus``.
+_CORPUS_CTES = (
+    q.LABELLED_CTE,
+    *q.canonical_ctes("labelled"),
+    *q.split_ctes("kept"),
+    ("texts", "SELECT k.doc_id, k.label, s.split, k.raw_text AS text FROM kept k JOIN splits s ON k.doc_id = s.doc_id"),
+    q.LEXICON_CTE,
+    sentiment_queries.doc_hits("texts"),
+    *sentiment_queries.sentence_ctes("texts"),
+    (
+        "corpus",
+        f"""SELECT d.doc_id, d.label, d.split, d.text AS raw_text, {q.clean_light('d.text')} AS text_llm,
+ array_to_string(list_transform({q.ml_tokens('d.text')}, lambda t: CASE t {_LEMMA_CASES} ELSE t END), ' ') AS text_ml,
+ round(v, 4) AS sub_variance, subj4 AS mean_subjectivity, round({q.lexical_density('d.text')}, 4) AS lexical_density,
+ round({q.caps_ratio('d.text')}, 4) AS caps_ratio, {q.has_dateline('d.text')}::INTEGER AS has_dateline
+ FROM texts d JOIN doc_avg a ON d.doc_id = a.doc_id JOIN variance v ON d.doc_id = v.doc_id""",
+    ),
+)
+_FEATURE_CTES = (
+    *_CORPUS_CTES,
+    ("toks", f"SELECT doc_id, label, split, {q.terms('text_ml')} AS t FROM corpus"),
+    *audit_queries.TERM_CTES,
+)
+
+
+def _scaled(column: str) -> str:
+    """The z-score of a column by the train rows, in long form."""
+    moments = f"SELECT avg({column}) AS m, stddev_pop({column}) AS s FROM corpus WHERE split = 'train'"
+    deviation = "CASE WHEN s = 0 THEN 1.0::DOUBLE ELSE s END"
+    return f"SELECT doc_id, split, '{column}' AS name, ({column} - m) / {deviation} AS value FROM corpus, ({moments})"
+
+
 QUERIES = [
-    Query("build_corpus", built_corpus),
-    Query("assemble_features", feature_vectors),
+    Query(
+        "build_corpus",
+        built_corpus,
+        with_ctes("SELECT split, label, count(*) AS n_rows FROM corpus GROUP BY split, label", *_CORPUS_CTES),
+    ),
+    Query(
+        "build_corpus_rows",
+        built_rows,
+        with_ctes(
+            "SELECT doc_id, label, split, md5(raw_text) AS raw_text_md5, md5(text_llm) AS text_llm_md5, "
+            f"md5(text_ml) AS text_ml_md5, {', '.join(NUMERIC_COLUMNS)} FROM corpus",
+            *_CORPUS_CTES,
+        ),
+    ),
+    Query(
+        "assemble_features",
+        feature_vectors,
+        with_ctes(
+            f"""SELECT doc_id, split, (SELECT count(*) FROM vocab) + {len(NUMERIC_COLUMNS)} AS n_features,
+ (SELECT count(*) FROM vocab) + {len(NUMERIC_COLUMNS)} AS n_names FROM corpus""",
+            *_FEATURE_CTES,
+        ),
+    ),
+    Query(
+        "assembled_values",
+        assembled_values,
+        with_ctes(
+            "SELECT * FROM (SELECT doc_id, split, name, round(value, 4) AS value FROM "
+            "(SELECT doc_id, split, term AS name, w AS value FROM w UNION ALL "
+            + " UNION ALL ".join(_scaled(c) for c in NUMERIC_COLUMNS)
+            + ")) WHERE value <> 0",
+            *_FEATURE_CTES,
+        ),
+    ),
     Query("train_logreg", _trainer("logistic_regression")),
     Query("train_svm_calibrated", _trainer("svm")),
     Query("train_forest", _trainer("random_forest")),

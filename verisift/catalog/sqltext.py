@@ -145,17 +145,22 @@ VARIANT_CTES = (
     ),
 )
 
-CANONICAL_CTES = (
-    *VARIANT_CTES,
-    ("filled", f"SELECT doc_id, label, {strip('raw_text')} AS raw_text FROM variants"),
-    ("keyed", f"SELECT *, {canonical_key('raw_text')} AS dedup_key FROM filled WHERE raw_text <> ''"),
-    (
-        "kept",
-        """SELECT doc_id, label, raw_text, dedup_key FROM (
+
+def canonical_ctes(source: str) -> tuple:
+    """CTEs ending in ``kept(doc_id, label, raw_text, dedup_key)``: the first row of every canonical key of ``source``."""
+    return (
+        ("filled", f"SELECT doc_id, label, {strip('raw_text')} AS raw_text FROM {source}"),
+        ("keyed", f"SELECT *, {canonical_key('raw_text')} AS dedup_key FROM filled WHERE raw_text <> ''"),
+        (
+            "kept",
+            """SELECT doc_id, label, raw_text, dedup_key FROM (
  SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY label, doc_id) AS rn FROM keyed WHERE dedup_key <> '')
  WHERE rn = 1""",
-    ),
-)
+        ),
+    )
+
+
+CANONICAL_CTES = (*VARIANT_CTES, *canonical_ctes("variants"))
 
 
 def split_ctes(source: str, shares: tuple[float, float, float] = SHARES, seed: int = SEED) -> tuple:

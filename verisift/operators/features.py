@@ -111,6 +111,21 @@ def apply_features(model: PipelineModel, df: DataFrame, keep: list[str] | None =
     return out.drop(*extra)
 
 
+def feature_values(vectors: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
+    """Vectors in long form: the ``keep`` columns, ``name`` and ``value`` of every component that the vector stores.
+
+    A row takes only what its vector stores, sparse or dense; null and empty vectors give no rows, repeated rows repeat.
+    The names are those of one model, at most its vocabulary and numeric columns, and are broadcast.
+    """
+    spark = vectors.sparkSession
+    named = spark.createDataFrame(list(enumerate(names)), "place int, name string")
+    v = F.unwrap_udt(F.col("features"))
+    places = F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1))
+    stored = F.arrays_zip(places.alias("place"), v["values"].alias("value"))
+    rows = vectors.select(*keep, F.explode(stored).alias("f")).select(*keep, "f.place", "f.value")
+    return rows.join(F.broadcast(named), "place").select(*keep, "name", "value")
+
+
 def fixed_score(intercept: float, coefficients: dict[str, float]) -> Column:
     """P(real) at four decimals from given coefficients over numeric columns."""
     z = F.lit(float(intercept))

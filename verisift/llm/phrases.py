@@ -39,7 +39,7 @@ _U = np.uint64
 #: Cells of the sketch at least and at most (a bit each is broadcast), and those that one of its rows holds.
 MIN_CELLS, MAX_CELLS, ROW_CELLS = 2**20, 2**27, 2**16
 #: Words that a task counts at a time, different words and different phrases it keeps.
-FLUSH_WORDS, WORD_CACHE, PHRASE_CACHE = 2_000_000, 300_000, 400_000
+FLUSH_WORDS, WORD_CACHE, PHRASE_CACHE = 2_000_000, 300_000, 1_200_000
 _BREAK, _NOTHING = 0, 1
 
 

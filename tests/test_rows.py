@@ -7,6 +7,7 @@ import os
 import shutil
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -126,6 +127,30 @@ def test_prefix_tiles_are_exact(spark):
         assert got == {i: b for i, b in brute.items() if b[1] > threshold}
 
 
+@pytest.mark.parametrize("long_list", [1, 256])
+def test_scans_of_train_rows_return_a_row_per_task_and_test_row(spark, monkeypatch, long_list):
+    """Rows that share a common term with all rows meet in no tile of their own."""
+    monkeypatch.setattr(similarity, "LONG_LIST", long_list, raising=False)
+    rnd = np.random.default_rng(11)
+
+    def rows(n):
+        out = []
+        for i in range(n):
+            weights = np.append(rnd.random(2), 3.0)
+            terms = [*sorted(rnd.choice(20, 2, replace=False).tolist()), 20]
+            out.append((i, terms, (weights / np.linalg.norm(weights)).tolist()))
+        return out
+
+    schema = "id long, terms array<int>, weights array<double>"
+    test, train = rows(12), rows(200)
+    left, right = spark.createDataFrame(test, schema), spark.createDataFrame(train, schema).repartition(2)
+    found = similarity._prefix_tiles(left, right, 0.95, 8).collect()
+    assert max(Counter(r.test_id for r in found).values()) <= 2
+    want = {i: b for i, b in _brute(test, train).items() if b[1] > 0.95}
+    got = {r.test_id: (r.train_id, round(r.similarity, 6)) for r in similarity.similar_train_matches(left, right, 0.95, 8).collect()}
+    assert len(want) == 12 and got == want
+
+
 def _toy(spark):
     rows = []
     for i in range(240):

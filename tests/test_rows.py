@@ -7,8 +7,10 @@ import os
 import shutil
 import subprocess
 import sys
+import tracemalloc
 from collections import Counter
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -328,6 +330,44 @@ def test_problems_fitted_together_equal_single_fits(spark):
         assert found[-1] == pytest.approx(fit.intercept, abs=5e-3)
 
 
+def test_network_steps_need_no_whole_copies():
+    """A step of the solver works in place, with the same sums as Adam on whole arrays."""
+    rnd = np.random.default_rng(4)
+    n, n_features, hidden = 130, 30_000, (16,)
+    batch = SimpleNamespace(
+        n=n,
+        row=np.repeat(np.arange(n), 5),
+        index=np.concatenate([rnd.choice(n_features, 5, replace=False) for _ in range(n)]),
+        value=rnd.random(5 * n),
+        label=rnd.integers(0, 2, n).astype(float),
+        fold=np.full(n, -1),
+        key=np.full(n, 500),
+    )
+    shapes = network.shapes_of(n_features, hidden)
+    weights = network.start_of(shapes, 3)
+    state = np.concatenate([weights, np.zeros(2 * len(weights))])
+    tracemalloc.start()
+    got = network._epoch(iter([batch]), state, 0, -1, 0.1, 7, shapes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Weights, moments and gradient, and the sums that leave the task.
+    assert peak < 8.5 * weights.nbytes
+
+    order = np.random.default_rng([7, 0]).permutation(np.arange(n))
+    first, second = np.zeros_like(weights), np.zeros_like(weights)
+    for step, at in enumerate(range(0, n, network.BATCH), 1):
+        rows = order[at : at + network.BATCH]
+        taken = np.concatenate([np.flatnonzero(batch.row == r) for r in rows])
+        place = np.repeat(np.arange(len(rows)), 5)
+        layers = network.split(weights, shapes)
+        g = network.gradient(place, batch.index[taken], batch.value[taken], batch.label[rows], layers, 0.1, shapes)
+        first = 0.9 * first + 0.1 * g
+        second = 0.999 * second + 0.001 * g * g
+        rate = network.RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+        weights = weights - rate * first / (np.sqrt(second) + 1e-8)
+    assert got[: len(weights)] / n == pytest.approx(weights, abs=1e-9)
+
+
 def test_network_gradient_equals_differences():
     shapes = network.shapes_of(5, (4, 3))
     weights = network.start_of(shapes, 1)

@@ -454,6 +454,25 @@ def test_nearest_rows_equal_brute_force(spark, monkeypatch, tile):
     assert everything.count() == 60
 
 
+def test_visits_leave_in_small_batches(spark, monkeypatch):
+    """Rows that must visit every part leave a batch per few rows, not one of all rows times all parts."""
+    rnd = np.random.default_rng(6)
+    vectors = [(v / np.linalg.norm(v)).tolist() for v in rnd.normal(size=(200, 4))]
+    schema = "id long, embedding array<double>, part long, known double"
+    rows = spark.createDataFrame([(i, v, 0, None) for i, v in enumerate(vectors)], schema).coalesce(1)
+    balls = spark.createDataFrame([(p, v, 2.0) for p, v in enumerate(vectors[:5])], "part long, centre array<double>, radius double")
+    sizes = []
+
+    def kept(df, run, schema):
+        batch = df.coalesce(1).toArrow().combine_chunks().to_batches()[0]
+        sizes.extend(out.num_rows for out in run(iter([batch])))
+        return df
+
+    monkeypatch.setattr(type(rows), "mapInArrow", kept)
+    similarity._visits(rows, balls)
+    assert sum(sizes) == 200 * 4 and max(sizes) <= 64 * 4
+
+
 @pytest.mark.parametrize("tile", [512, 16])
 def test_nearest_dense_rows_equal_brute_force(spark, tile):
     rnd = np.random.default_rng(3)

@@ -15,6 +15,7 @@ from types import SimpleNamespace
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -173,6 +174,20 @@ def test_candidates_separate_a_toy_corpus(spark, name):
     assert got["validation"].f1 >= 0.99 and got["test"].auc_roc >= 0.99
 
 
+@pytest.mark.parametrize(
+    ("name", "params"), [("logistic_regression", {}), ("svm", {}), ("random_forest", {"trees": 3, "depth": 2})]
+)
+def test_candidates_score_in_a_session_that_observed(spark, name, params):
+    seen = Observation()
+    assert spark.range(10).observe(seen, F.count(F.lit(1)).alias("n")).count() == 10 and seen.get == {"n": 10}
+    toy = _toy(spark)
+    fitted, names = fit_features(toy)
+    rows = apply_features(fitted, toy, ["doc_id", "label"])
+    model = models.fit_candidate(name, rows, len(names), **params)
+    scored = models.score_with(name, model, rows, ["doc_id", "label"]).collect()
+    assert len(scored) == 240 and sum(r.y_pred == r.label for r in scored) >= 238
+
+
 def test_features_are_normed_and_scaled(spark):
     toy = _toy(spark)
     fitted, names = fit_features(toy.filter("split = 'train'"))

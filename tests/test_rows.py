@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from verisift.catalog import all_queries
+from verisift.functions import style, text
 from verisift.operators import corpus, crossref, linear, metrics, models, network, passes, prefix, similarity
+from verisift.operators.vocabulary import ngram_terms
 from verisift.operators.features import apply_features, feature_values, fit_features
 from verisift.plans.train_and_select import train_and_select
 from verisift.sources import artifacts, tables
@@ -533,3 +535,25 @@ def test_the_rest_runs_without_the_training_data_operators(tmp_path):
     code = "import __spark_entry__ as e; assert 'pipeline' not in e.queries() and 'op1_minhash_dedup' not in e.oracle_sql(); print(len(e.queries()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
     assert done.returncode == 0 and int(done.stdout) > 100, done.stderr
+
+
+def test_values_used_several_times_are_computed_once(spark):
+    docs = spark.createDataFrame([("A b, ab CD",)], "text string")
+    c = F.col("text")
+    for column, costly in ((ngram_terms(c), "regexp_extract_all("), (style.lexical_density(c), "split("), (style.caps_word_ratio(c), "split(")):
+        plan = docs.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(costly) == 1
+
+
+def test_faster_patterns_say_the_same(spark):
+    chars = [chr(i) for i in range(1, 0x3100)] + [" a", "a ", " ", "  ", " \t", "\t ", "a b", "a  b", "a\u2003b"]
+    words = [a + w + b for w in text.SPLIT_WORDS for a in ("", " ", "x", "\u00e9", "-") for b in ("", " ", "y", "1")]
+    rows = spark.createDataFrame([(s,) for s in (*chars, *words, *(f"x{ch}y" for ch in chars))], "s string")
+    pairs = [(text.NO_WORD, f"[^{text.WORD}{text.WS}]", "#"), (text.SPACES, f"[{text.WS}]+", " "), (f"[{text.WORD_FAST}]", f"[{text.WORD}]", "#")]
+    for whole in text.SPLIT_WORDS:
+        new, old = rf"{whole}(?<![{text.WORD}]{whole})(?![{text.WORD}])", rf"(?<![{text.WORD}]){whole}(?![{text.WORD}])"
+        pairs.append((new, old, "#"))
+    for new, old, by in pairs:
+        # The patterns for words follow the lower-casing of the text.
+        s = F.lower("s") if by == "#" else F.col("s")
+        assert rows.filter(F.regexp_replace(s, new, by) != F.regexp_replace(s, old, by)).count() == 0

@@ -28,6 +28,11 @@ def _words(value: str) -> str:
     return f"array_remove(split({_strip(value)}, {_pattern(f'[{text.WS}]+')}), '')"
 
 
+def _once(value: str, body: str) -> str:
+    """``body`` over ``t``, the value, which is computed once."""
+    return f"element_at(transform(array({value}), t -> {body}), 1)"
+
+
 def _share(part: str, whole: str) -> str:
     return f"coalesce(CASE WHEN {whole} > 0 THEN {part} / {whole} END, 0D)"
 
@@ -39,10 +44,10 @@ def sql_functions() -> dict[str, tuple[str, str]]:
     for regex in (text.DATELINE_PREFIX, text.AGENCY_TAG, text.PHOTO_CREDIT, text.READ_MORE):
         published = _replace(published, regex)
     published = _strip(published)
-    light = _strip(_replace(_replace(_replace(published, text.LINK), text.MARKUP), f"[{ws}]+", " "))
-    plain = _replace(f"lower({light})", f"[^{word}{ws}]")
+    light = _strip(_replace(_replace(_replace(published, text.LINK), text.MARKUP), text.SPACES, " "))
+    plain = _replace(f"lower({light})", text.NO_WORD)
     for whole, parts in text.SPLIT_WORDS.items():
-        plain = _replace(plain, f"(?<![{word}]){whole}(?![{word}])", parts)
+        plain = _replace(plain, f"{whole}(?<![{word}]{whole})(?![{word}])", parts)
     stop = ", ".join('"' + w + '"' for w in text.STOP_WORDS)
     lower_words = _words("lower(c)")
     flags = " + ".join(
@@ -53,7 +58,7 @@ def sql_functions() -> dict[str, tuple[str, str]]:
             ("c", text.HANDLE, 0.1),
         )
     )
-    capitals = "length(" + _replace("c", r"[^\p{IsUppercase}]") + ")"
+    capitals = "length(" + _replace("c", r"[^\p{IsUppercase}]+") + ")"
     host = f"regexp_extract({_strip('c')}, {_pattern(r'^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)')}, 1)"
     body = _strip("coalesce(c, '')")
     rest = f"regexp_extract({body}, {_pattern(rf'(?s)^.*?[.!?][{ws}]+(.*)$')}, 1)"
@@ -70,7 +75,7 @@ def sql_functions() -> dict[str, tuple[str, str]]:
         ),
         "leakage_score": ("DOUBLE", f"coalesce(least({flags}, 1D), 0D)"),
         "word_count": ("BIGINT", f"cast(size({_words('c')}) AS BIGINT)"),
-        "lexical_density": ("DOUBLE", _share(f"size(array_distinct({lower_words}))", f"size({lower_words})")),
+        "lexical_density": ("DOUBLE", _once(lower_words, _share("size(array_distinct(t))", "size(t)"))),
         "caps_ratio": ("DOUBLE", _share(capitals, "length(c)")),
         "has_dateline": ("BOOLEAN", f"coalesce(substring(c, 1, 100) RLIKE {_pattern(style.DATELINE)}, false)"),
         "extract_domain": ("STRING", _replace(f"lower({host})", r"^www\.")),

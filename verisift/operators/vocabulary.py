@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD
+from ..functions.text import WORD_FAST, once
 
 # Vocabulary limits of the text models.
 MAX_FEATURES = 20_000
@@ -16,10 +16,13 @@ MAX_DF = 0.95
 
 def ngram_terms(c: Column) -> Column:
     """Words of two or more characters and their neighbouring pairs."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"([{WORD}]{{2,}})"), 1)
-    left = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
-    right = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
-    return F.concat(tokens, F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    def with_pairs(tokens: Column) -> Column:
+        left = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
+        right = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
+        return F.concat(tokens, F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    return once(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"([{WORD_FAST}]{{2,}})"), 1), with_pairs)
 
 
 def term_stats(docs: DataFrame, terms_col: str = "terms") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from verisift.catalog import all_queries
 from verisift.functions import style, text
-from verisift.operators import corpus, crossref, linear, metrics, models, network, passes, prefix, similarity
+from verisift.operators import corpus, crossref, linear, metrics, models, network, passes, prefix, sentiment, similarity
 from verisift.operators.vocabulary import ngram_terms
 from verisift.operators.features import apply_features, feature_values, fit_features
 from verisift.plans.train_and_select import train_and_select
@@ -537,6 +537,29 @@ def test_the_rest_runs_without_the_training_data_operators(tmp_path):
     assert done.returncode == 0 and int(done.stdout) > 100, done.stderr
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+
+
+TEXTS = ["Good news. BAD day! The worst of it", "", None, "no listed word here", "Good. Good! bad?", "the the. Und nicht.  É good", "Good news. BAD day! The worst of it"]
+
+
+def test_style_and_tone_is_computed_in_the_row(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, 10 * i, t) for i, t in enumerate(TEXTS)], "place long, id long, text string")
+    listed = [("good", 0.7, 0.61), ("good", None, 0.3), ("bad", -0.71, None), ("the", 0.01, 0.11), ("worst", -0.9, 0.9), (None, 1.0, 1.0)]
+    lexicon = spark.createDataFrame(listed, "word string, polarity double, subjectivity double")
+    wide = sentiment.with_style_and_tone(docs, "id", "text", lexicon)
+    assert "Exchange" not in plan_of(wide) and "Join" not in plan_of(wide)
+    narrow = sentiment.style_and_tone(docs, "id", "text", lexicon)
+    assert "Join" not in plan_of(narrow)
+    in_row = rows_of(wide), rows_of(narrow)
+    assert len(in_row[0]) == len(in_row[1]) == len(TEXTS)
+    monkeypatch.setattr(sentiment, "IN_ROW", 3)
+    by_join = [f(docs, "id", "text", lexicon) for f in (sentiment.with_style_and_tone, sentiment.style_and_tone)]
+    assert "Join" in plan_of(by_join[1])
+    assert in_row == tuple(map(rows_of, by_join))
+
+
 def test_values_used_several_times_are_computed_once(spark):
     docs = spark.createDataFrame([("A b, ab CD",)], "text string")
     c = F.col("text")

@@ -21,7 +21,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from verisift.catalog import all_queries
 from verisift.functions import style, text
-from verisift.operators import corpus, crossref, linear, metrics, models, network, passes, prefix, sentiment, similarity
+from verisift.operators import corpus, crossref, lemmas, linear, metrics, models, network, passes, prefix, sentiment, similarity
 from verisift.operators.vocabulary import ngram_terms
 from verisift.operators.features import apply_features, feature_values, fit_features
 from verisift.plans.train_and_select import train_and_select
@@ -560,6 +560,18 @@ def test_style_and_tone_is_computed_in_the_row(spark, monkeypatch):
     assert in_row == tuple(map(rows_of, by_join))
 
 
+def test_lemmas_are_looked_up_in_the_row(spark, monkeypatch):
+    texts = ["Women read articles daily", "", None, "nothing changes", "women women articles"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "women")], "doc_id long, raw_text string")
+    table = spark.createDataFrame([("women", "woman"), ("articles", "article"), (None, "x")], "token string, lemma string")
+    done = lemmas.with_clean_ml(docs, table)
+    assert "Exchange" not in plan_of(done) and "Join" not in plan_of(done)
+    got = {r.doc_id: r.text_ml for r in done.collect()}
+    assert got == {0: "woman read article daily", 1: "", 2: "", 3: "nothing changes", 4: "woman woman article", None: "women"}
+    monkeypatch.setattr(lemmas, "IN_ROW", 1)
+    assert got == {r.doc_id: r.text_ml for r in lemmas.with_clean_ml(docs, table).collect()}
+
+
 def test_values_used_several_times_are_computed_once(spark):
     docs = spark.createDataFrame([("A b, ab CD",)], "text string")
     c = F.col("text")

@@ -22,7 +22,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from verisift.catalog import all_queries
 from verisift.functions import style, text
 from verisift.operators import corpus, crossref, lemmas, linear, metrics, models, network, passes, prefix, sentiment, similarity
-from verisift.operators.vocabulary import ngram_terms
+from verisift.operators.vocabulary import ngram_terms, term_stats
 from verisift.operators.features import apply_features, feature_values, fit_features
 from verisift.plans.train_and_select import train_and_select
 from verisift.sources import artifacts, tables
@@ -580,6 +580,13 @@ def test_values_used_several_times_are_computed_once(spark):
         assert plan.count(costly) == 1
 
 
+def test_term_stats_build_no_row_per_term_before_the_explode(spark):
+    docs = spark.createDataFrame([(["a", "b", "a"],), ([],), (None,), (["a", None, None],), (["b c"],)], "terms array<string>")
+    stats = term_stats(docs)
+    assert "lambda" not in plan_of(stats)
+    assert {tuple(r) for r in stats.collect()} == {("a", 3, 2), ("b", 1, 1), ("b c", 1, 1), (None, 2, 1)}
+
+
 def test_faster_patterns_say_the_same(spark):
     chars = [chr(i) for i in range(1, 0x3100)] + [" a", "a ", " ", "  ", " \t", "\t ", "a b", "a  b", "a\u2003b"]
     words = [a + w + b for w in text.SPLIT_WORDS for a in ("", " ", "x", "\u00e9", "-") for b in ("", " ", "y", "1")]

@@ -599,3 +599,28 @@ def test_faster_patterns_say_the_same(spark):
         # The patterns for words follow the lower-casing of the text.
         s = F.lower("s") if by == "#" else F.col("s")
         assert rows.filter(F.regexp_replace(s, new, by) != F.regexp_replace(s, old, by)).count() == 0
+
+
+def test_keys_that_are_not_empty_are_computed_once(spark, tmp_path):
+    texts = [(1, "Same text!", "en", "a"), (2, "?!", "en", "b"), (3, None, "de", "c"), (4, "Größe", "de", "d"), (5, "no label", "de", "e")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 1)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    found = QUERIES["drop_empty_key"].build(spark, str(tmp_path))
+    # The pattern of photo credits stands once in every key.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Photo by") == 1
+    assert sorted(map(tuple, found.collect())) == [(4, "same text"), (5, "same text"), (16, "größe"), (17, "größe")]
+
+
+def test_canonical_keys_collapse_white_space_and_marks_in_one_pass(spark):
+    texts = ["a b", " A  -  b ", "a\x85b  c", "..a..b", "a_b1", "ΟΔΟΣ - ΣΑΣ", "\U0001d400x \U0001f600 y", "İ i̇", "-", "", None, "a <b\n> c <d> e"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    for normalize in (True, False):
+        plain = F.coalesce(F.col("t"), F.lit(""))
+        plain = text.nfkc(plain) if normalize else plain
+        two = text.collapse_spaces(F.regexp_replace(F.lower(text.clean_light(plain)), text.NO_WORD, " "))
+        both = rows.select(text.canonical_key(F.col("t"), normalize).alias("one"), two.alias("two"))
+        assert all(r.one == r.two for r in both.collect())
+        key = text.canonical_key(F.col("t"), normalize)
+        replaced = rows.select(key.alias("k"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
+        assert replaced == 7

@@ -695,6 +695,18 @@ def test_phrases_equal_brute_force(spark, monkeypatch, flush):
     assert long <= {30, 31} or not long
 
 
+def test_phrases_are_handed_on_by_few_tasks(spark):
+    docs = [("one two three four five six", "en")] * 400
+    low = np.full(phrases.MIN_CELLS // 8, 255, dtype=np.uint8)
+    many = spark.createDataFrame(docs, "text string, lang string").repartition(100)
+    counted = phrases._count_in_texts(many, low, low, 5)
+    tasks = phrases.SPREAD * spark.sparkContext.defaultParallelism
+    # Two runs of five words, and four that end with the text, from every task.
+    assert counted.count() <= 6 * tasks < 600
+    sums = {r.phrase: r.n for r in counted.groupBy("phrase").agg(F.sum("n").alias("n")).collect()}
+    assert sums["one two three four five"] == 400 and sums["six"] == 400 and len(sums) == 6
+
+
 def test_unary_paths_are_whole_passages(spark):
     passage = " ".join(f"p{i}" for i in range(25))
     table = spark.createDataFrame([(passage, "en")] * 9 + [("p3 p4 p5", "en")] * 4, "text string, lang string")

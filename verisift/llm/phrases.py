@@ -40,6 +40,8 @@ _U = np.uint64
 MIN_CELLS, MAX_CELLS, ROW_CELLS = 2**20, 2**27, 2**16
 #: Words that a task counts at a time, different words and different phrases it keeps.
 FLUSH_WORDS, WORD_CACHE, PHRASE_CACHE = 2_000_000, 300_000, 400_000
+#: Tasks per core that count phrases: each hands on all phrases that it met, so they are no more than keep cores busy.
+SPREAD = 2
 _BREAK, _NOTHING = 0, 1
 
 
@@ -218,8 +220,11 @@ _COUNTED = "lang string, width int, phrase string, n long"
 def _count_in_texts(texts: DataFrame, low: np.ndarray, high: np.ndarray, longest: int) -> DataFrame:
     """(lang, width, phrase, n): the longest run from every place, summed up over what a task can keep.
 
-    A phrase comes once per task and portion; the sums over all tasks are Spark's, which spills them.
+    A phrase comes once per task and portion; the sums over all tasks are Spark's, which spills them. A frequent phrase is
+    met by almost every task, so partitions are read several to a task: what is handed on grows with the phrases, not with
+    the phrases times the files.
     """
+    texts = texts.coalesce(SPREAD * texts.sparkSession.sparkContext.defaultParallelism)
     shared = texts.sparkSession.sparkContext.broadcast((low, high))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,7 @@ from verisift.operators import corpus, crossref, lemmas, linear, metrics, models
 from verisift.operators.vocabulary import ngram_terms, term_stats
 from verisift.operators.features import apply_features, feature_values, fit_features
 from verisift.plans.train_and_select import train_and_select
+from verisift.session import stored
 from verisift.sources import artifacts, tables
 from verisift.sources.tables import require_columns
 
@@ -190,6 +191,25 @@ def test_candidates_score_in_a_session_that_observed(spark, name, params):
     assert len(scored) == 240 and sum(r.y_pred == r.label for r in scored) >= 238
 
 
+def test_solver_steps_over_few_entries_shuffle_nothing(spark, monkeypatch):
+    toy = _toy(spark)
+    fitted, names = fit_features(toy)
+    rows = stored(apply_features(fitted, toy, ["doc_id", "label"]).repartition(8), "solver")
+    assert rows.rdd.getNumPartitions() == 8
+    spark.sparkContext.setJobGroup("solver", "a logistic fit")
+    try:
+        models.fit_candidate("logistic_regression", rows, len(names))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [len(tracker.getJobInfo(job).stageIds) for job in tracker.getJobIdsForGroup("solver")]
+    # The count of rows and entries shuffles a row per task; steps do not.
+    assert sum(n > 1 for n in stages) <= 2 < sum(n == 1 for n in stages)
+    monkeypatch.setattr(models, "SOLVER_ENTRIES", 300)
+    several, n_rows = models.solver_rows(rows)
+    assert n_rows == 240 and 1 < several.rdd.getNumPartitions() <= 8
+
+
 def test_features_are_normed_and_scaled(spark):
     toy = _toy(spark)
     fitted, names = fit_features(toy.filter("split = 'train'"))

@@ -14,14 +14,15 @@ from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from verisift.catalog import all_queries
 from verisift.functions import style, text
-from verisift.operators import corpus, crossref, lemmas, linear, metrics, models, network, passes, prefix, sentiment, similarity
+from verisift.operators import corpus, crossref, forest, lemmas, linear, metrics, models, network, passes, prefix, sentiment, similarity
 from verisift.operators.vocabulary import ngram_terms, term_stats
 from verisift.operators.features import apply_features, feature_values, fit_features
 from verisift.plans.train_and_select import train_and_select
@@ -191,6 +192,48 @@ def test_candidates_score_in_a_session_that_observed(spark, name, params):
     assert len(scored) == 240 and sum(r.y_pred == r.label for r in scored) >= 238
 
 
+def _mixed_rows(spark, n=400):
+    rnd, rows = np.random.default_rng(1), []
+    for i in range(n):
+        x = {int(j): round(float(rnd.random()), 3) + 0.1 for j in rnd.choice(12, 4, replace=False)}
+        x[12] = float(rnd.normal())
+        rows.append((i, int(x.get(0, 0) + x.get(1, 0) * x.get(2, 0) + x[12] / 2 + rnd.normal() * 0.3 > 0.4), Vectors.sparse(14, x)))
+    kinds = {"doc_id": LongType(), "label": IntegerType(), "features": VectorUDT()}
+    return spark.createDataFrame(rows, StructType([StructField(*kind) for kind in kinds.items()]))
+
+
+def _chances(model, rows):
+    return np.array([r.probability[1] for r in model.transform(rows).orderBy("doc_id").collect()])
+
+
+def test_a_tree_of_all_features_equals_the_one_of_spark(spark):
+    rows = _mixed_rows(spark)
+    for depth in (3, 7):
+        own = forest.fit_forest(passes.sparse_rows(rows), 14, 1, depth, taken=14, bootstrap=False)
+        other = DecisionTreeClassifier(maxDepth=depth, maxBins=forest.BINS).fit(rows)
+        assert len(own.trees.feature) == other.numNodes
+        assert _chances(own, rows) == pytest.approx(_chances(other, rows), abs=1e-12)
+
+
+def test_a_forest_does_not_depend_on_partitions(spark):
+    rows = _mixed_rows(spark)
+    found = [_chances(models.fit_candidate("random_forest", rows.repartition(n), 14, trees=6, depth=9), rows) for n in (1, 5)]
+    assert np.array_equal(*found) and found[0].std() > 0.1
+
+
+def test_a_cut_forest_is_the_one_grown_to_that_depth(spark):
+    rows = models.with_fold(_mixed_rows(spark), 2)
+    sparse = passes.sparse_rows(rows)
+    splits = forest.find_splits(sparse, 14)
+    table = forest.binned(sparse, splits)
+    growths = [forest.Growth(4, 1, 0), forest.Growth(4, 3, 1)]
+    deep, flat = (forest.grow(table, splits.zero, growths, depth) for depth in (9, 4))
+    for at in range(2):
+        (one, a), (two, b) = (grown.finished(at, 4) for grown in (deep, flat))
+        assert np.array_equal(a, b) and all(np.array_equal(getattr(one, f), getattr(two, f)) for f in ("feature", "cut", "left"))
+    assert forest.forest_f1(sparse, 14, growths, (9, 4), (2, 4)).min() > 0.6
+
+
 def test_solver_steps_over_few_entries_shuffle_nothing(spark, monkeypatch):
     toy = _toy(spark)
     fitted, names = fit_features(toy)

@@ -7,6 +7,7 @@ import os
 import shutil
 import subprocess
 import sys
+import time
 import tracemalloc
 from collections import Counter
 from pathlib import Path
@@ -448,6 +449,48 @@ def test_network_steps_need_no_whole_copies():
     assert got[: len(weights)] / n == pytest.approx(weights, abs=1e-9)
 
 
+def _files(folder):
+    return {f for f in Path(folder).rglob("shuffle_*.data")}
+
+
+def test_shuffles_of_a_pass_are_gone_when_it_ends(spark, monkeypatch):
+    """Sums of many tasks are shuffled; the files of one pass are not there in the next."""
+    monkeypatch.setattr(passes, "DIRECT", 10)
+    _, rows, _ = _toy_rows(spark)
+    rows = stored(rows.repartition(4), "passes")
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    before = {f for d in folder for f in _files(d)}
+    total = passes.summed(rows, lambda batches: sum(np.array([b.n, b.label.sum(), 1.0] * 10) for b in batches), 30)
+    assert total.tolist()[:2] == [240, 120]
+    until = time.time() + 10
+    while (left := {f for d in folder for f in _files(d)} - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+
+
+def test_network_tasks_are_counted_by_entries(spark, monkeypatch):
+    _, rows, n = _toy_rows(spark)
+    rows = stored(rows.repartition(8), "entries")
+    assert network.in_tasks(rows).rdd.getNumPartitions() == 1 < rows.rdd.getNumPartitions()
+    assert network.in_tasks(rows.limit(0)).rdd.getNumPartitions() <= 1
+    entries = rows.select(F.sum(F.size("indices"))).first()[0]
+    monkeypatch.setattr(network, "TASK_ENTRIES", -(-entries // 3))
+    assert network.in_tasks(rows).rdd.getNumPartitions() == 3
+
+
+def test_a_pass_of_one_task_shuffles_nothing(spark, monkeypatch):
+    monkeypatch.setattr(passes, "DIRECT", 10)
+    _, rows, _ = _toy_rows(spark)
+    rows = stored(rows.coalesce(1), "one")
+    spark.sparkContext.setJobGroup("one", "a pass")
+    try:
+        passes.summed(rows, lambda batches: sum(np.full(30, float(b.n)) for b in batches), 30)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    assert all(len(tracker.getJobInfo(job).stageIds) == 1 for job in tracker.getJobIdsForGroup("one"))
+
+
 def test_network_gradient_equals_differences():
     shapes = network.shapes_of(5, (4, 3))
     weights = network.start_of(shapes, 1)

@@ -491,6 +491,20 @@ def test_a_pass_of_one_task_shuffles_nothing(spark, monkeypatch):
     assert all(len(tracker.getJobInfo(job).stageIds) == 1 for job in tracker.getJobIdsForGroup("one"))
 
 
+def test_the_driver_keeps_no_moments_while_an_epoch_runs(spark, monkeypatch):
+    _, rows, n = _toy_rows(spark)
+    size, held = sum(r * c + c for r, c in network.shapes_of(n, (8,))), []
+
+    def counted(rows, of, length):
+        names = sys._getframe(1).f_locals
+        held.append(max(len(v if v.base is None else v.base) for v in names.values() if isinstance(v, np.ndarray) and v.ndim))
+        return passes.summed(rows, of, length)
+
+    monkeypatch.setattr(network, "summed", counted)
+    best = network.fit_network(stored(rows, "moments"), n, (8,), 1e-4, 2)
+    assert len(best) == size and best.base is None and max(held) == size and len(held) == 3
+
+
 def test_network_gradient_equals_differences():
     shapes = network.shapes_of(5, (4, 3))
     weights = network.start_of(shapes, 1)
